@@ -1,6 +1,6 @@
 """All checks, gathered."""
 
-from driftgate.plans import compare_checks, snapshot_checks  # noqa: F401
+from driftgate.plans import cdc_checks, compare_checks, snapshot_checks  # noqa: F401
 from driftgate.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
