@@ -70,6 +70,32 @@ def _comparable(left: Column, left_kind, right: Column, right_kind) -> tuple[Col
     return canonical_value(left, left_kind), canonical_value(right, right_kind)
 
 
+def _compared(edge, target, blank_is_null: bool):
+    """Per column of either side: name, the two values, and whether they are the same."""
+    nothing = (F.lit(None).cast("string"), T.StringType())
+    for name in sorted(set(edge) | set(target)):
+        left, right = edge.get(name, nothing), target.get(name, nothing)
+        a, b = _comparable(*left, *right)
+        if blank_is_null:
+            if isinstance(left[1], T.StringType):
+                a = F.nullif(a, F.lit(""))
+            if isinstance(right[1], T.StringType):
+                b = F.nullif(b, F.lit(""))
+        yield name, left, right, a.eqNullSafe(b)
+
+
+def rows_differ(
+    edge: dict[str, tuple[Column, T.DataType]],
+    target: dict[str, tuple[Column, T.DataType]],
+    blank_is_null: bool = True,
+) -> Column:
+    """True when any column differs; stops at the first one and builds no text."""
+    answer = F.lit(False)
+    for _, _, _, same in _compared(edge, target, blank_is_null):
+        answer = answer | ~same
+    return answer
+
+
 def row_diff(
     edge: dict[str, tuple[Column, T.DataType]],
     target: dict[str, tuple[Column, T.DataType]],
@@ -80,22 +106,10 @@ def row_diff(
     Text is only made for columns that differ. With ``blank_is_null`` empty text
     and null are equal.
     """
-    nothing = (F.lit(None).cast("string"), T.StringType())
     entries = []
-    for name in sorted(set(edge) | set(target)):
-        left, left_kind = edge.get(name, nothing)
-        right, right_kind = target.get(name, nothing)
-        a, b = _comparable(left, left_kind, right, right_kind)
-        if blank_is_null:
-            if isinstance(left_kind, T.StringType):
-                a = F.nullif(a, F.lit(""))
-            if isinstance(right_kind, T.StringType):
-                b = F.nullif(b, F.lit(""))
-        entry = F.struct(
-            F.lit(name).alias("key"),
-            F.struct(
-                canonical_value(left, left_kind).alias("edge"), canonical_value(right, right_kind).alias("target")
-            ).alias("value"),
+    for name, (left, left_kind), (right, right_kind), same in _compared(edge, target, blank_is_null):
+        values = F.struct(
+            canonical_value(left, left_kind).alias("edge"), canonical_value(right, right_kind).alias("target")
         )
-        entries.append(F.when(~a.eqNullSafe(b), entry))
+        entries.append(F.when(~same, F.struct(F.lit(name).alias("key"), values.alias("value"))))
     return F.map_from_entries(F.array_compact(F.array(*entries)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from driftgate import fixed_values as V
 from driftgate.functions.clock import HOUR_US, epoch_us
 from driftgate.functions.hashing import keep_sample
-from driftgate.functions.rows import row_diff
+from driftgate.functions.rows import row_diff, rows_differ
 from driftgate.operators.prefix import running_scan
 
 
@@ -58,23 +58,23 @@ def shadow_compare(
     right = {c: (F.col(f"_t_{c}"), target.schema[c].dataType) for c in target.columns if c not in keys}
     has_edge, has_target = F.col("_e__present").isNotNull(), F.col("_t__present").isNotNull()
     both = has_edge & has_target
-    hard = F.when(both, row_diff(left, right, blank_is_null=True))
-    any_difference = F.when(both, row_diff(left, right, blank_is_null=False))
+    differs = both & rows_differ(left, right, blank_is_null=True)
+    soft_differs = both & rows_differ(left, right, blank_is_null=False) if soft_null else F.lit(False)
     staged = joined.select(
         *[c for c in (touched.columns if touched is not None else [*keys, op, edge_ms, target_ms])],
         has_edge.alias("_has_edge"), has_target.alias("_has_target"),
-        hard.alias("diff"),
-        (any_difference if soft_null else F.lit(None).cast("map<string,struct<edge:string,target:string>>")).alias("_soft"),
+        differs.alias("_hard"), soft_differs.alias("_soft"),
+        F.when(differs, row_diff(left, right, blank_is_null=True)).alias("diff"),
     )
     kept = keep_sample(F.concat_ws(":", *[F.col(k).cast("string") for k in keys]), sample_rate)
     verdict = classify_divergence(
         F.col(op), F.col("_has_edge"), F.col("_has_target"), F.col("diff"), F.col(edge_ms), F.col(target_ms),
-        soft=F.coalesce(F.size("_soft") > 0, F.lit(False)),
+        hard=F.col("_hard"), soft=F.col("_soft"),
         sampled=None if sample_rate >= 1.0 else kept,
     )
     named = F.lit(table) if table is not None else F.lit(None).cast("string")
     return staged.select(
-        *[c for c in staged.columns if c not in ("_has_edge", "_has_target", "_soft", "diff")],
+        *[c for c in staged.columns if c not in ("_has_edge", "_has_target", "_hard", "_soft", "diff")],
         "diff", verdict["class"].alias("divergence_class"), verdict["details"].alias("divergence_details"),
         is_critical_path(named, critical).alias("critical_path"),
     )
@@ -92,10 +92,16 @@ def classify_divergence(
     diff: Column,
     edge_ms: Column,
     target_ms: Column,
+    hard: Column | None = None,
     soft: Column | None = None,
     sampled: Column | None = None,
 ) -> Column:
-    """Class and explanation of one comparison as a struct."""
+    """Class and explanation of one comparison as a struct with ``class`` and ``details``.
+
+    ``hard`` says whether values differ; without it a non-empty ``diff`` does.
+    """
+    if hard is None:
+        hard = F.coalesce(F.size(diff) > 0, F.lit(False))
 
     def verdict(kind: str, details) -> Column:
         words = details if isinstance(details, Column) else F.lit(details)
@@ -112,7 +118,7 @@ def classify_divergence(
         .when(~deleted & neither, verdict("B", V.MSG_BOTH_MISSING))
         .when(~deleted & has_edge & ~has_target, verdict("A", V.MSG_MISSING_ON_TARGET))
         .when(~deleted & ~has_edge & has_target, verdict("B", V.MSG_MISSING_ON_EDGE))
-        .when(~deleted & (F.size(diff) > 0), verdict("A", values))
+        .when(~deleted & hard, verdict("A", values))
     )
     if soft is not None:
         answer = answer.when(~deleted & soft, verdict("B", V.MSG_SOFT_NULL))

@@ -1,6 +1,11 @@
 """All checks, gathered."""
 
-from driftgate.plans import cdc_checks, compare_checks, snapshot_checks  # noqa: F401
+from driftgate.plans import (  # noqa: F401
+    cdc_checks,
+    compare_checks,
+    discovery_checks,
+    snapshot_checks,
+)
 from driftgate.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -52,13 +52,19 @@ def raw_log(spark, folder) -> DataFrame:
     ts = F.when((k % 289 == 0) & (k % 34 != 0), F.lit(None)).when(k % 34 == 0, F.lit(0)).otherwise(
         F.lit(_T0) + k * 1000 + step
     )
-    full = F.format_string('{"o_orderkey":%d,"o_custkey":%d,"o_orderstatus":"%s"}', k, F.col("cust"), F.col("st"))
-    old = F.format_string('{"o_orderkey":%d,"o_orderstatus":"%s"}', k, F.col("st"))
+    def image(key, customer=None, status=None):
+        parts = [F.lit('{"o_orderkey":'), key.cast("string")]
+        if customer is not None:
+            parts += [F.lit(',"o_custkey":'), customer.cast("string")]
+        return F.concat(*parts, F.lit(',"o_orderstatus":"'), status, F.lit('"}'))
+
+    full = image(k, F.col("cust"), F.col("st"))
+    old = image(k, status=F.col("st"))
     moved = F.when((step == 1) & (k % 35 == 0), k + _MOVED).otherwise(k)
-    new = F.format_string('{"o_orderkey":%d,"o_orderstatus":"U"}', moved)
+    new = image(moved, status=F.lit("U"))
     before = F.when(step == 0, "null").when(step == 1, old).otherwise(full)
     after = F.when(step == 0, full).when(step == 1, new).otherwise(F.lit("null"))
-    gtid = F.when(k % 17 != 0, F.format_string('"u:%d:%d"', k, step)).otherwise(F.lit("null"))
+    gtid = F.when(k % 17 != 0, F.concat(F.lit('"u:'), k.cast("string"), F.lit(":"), step.cast("string"), F.lit('"'))).otherwise(F.lit("null"))
     body = F.concat(
         F.lit('{"op":"'), op, F.lit('","before":'), before, F.lit(',"after":'), after,
         F.lit(',"source":{"gtid":'), gtid, F.lit(',"db":"shop","table":"orders","ts_ms":'),
@@ -69,7 +75,7 @@ def raw_log(spark, folder) -> DataFrame:
     value = F.when(offset % 101 == 0, F.lit(None)).when(offset % 103 == 0, "not valid json {").otherwise(wrapped)
     return flat.select(
         F.lit("cdc.shop.orders").alias("topic"), (k % 4).cast("int").alias("partition"),
-        offset.alias("offset"), value.alias("value"),
+        offset.alias("offset"), F.explode(F.array(value)).alias("value"),
     )
 
 

@@ -48,9 +48,11 @@ def parse_cdc(raw: DataFrame, envelope: str = ENVELOPE) -> DataFrame:
 
     One ``from_json`` reads both shapes (with and without ``payload``); row
     images become maps of text. Pass another ``envelope`` with struct images to
-    parse a known table straight into types.
+    parse a known table straight into types. The one-element explode keeps the
+    optimizer from copying the parse into every filter and column above it.
     """
-    parsed = raw.withColumn("_j", F.from_json("value", envelope, {"columnNameOfCorruptRecord": "_bad"}))
+    document = F.from_json("value", envelope, {"columnNameOfCorruptRecord": "_bad"})
+    parsed = raw.select("topic", "partition", "offset", "value", F.explode(F.array(document)).alias("_j"))
     wrapped = F.col("_j.payload").isNotNull()
 
     def field(name: str) -> Column:
