@@ -4,6 +4,7 @@ from driftgate.plans import (  # noqa: F401
     cdc_checks,
     compare_checks,
     discovery_checks,
+    risk_checks,
     snapshot_checks,
 )
 from driftgate.plans.registry import ORACLE, QUERIES
