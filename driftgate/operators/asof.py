@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftgate.functions.clock import HOUR_US, epoch_us
 from driftgate.operators.prefix import running_scan
-from driftgate.session import fits_broadcast
 
 SERIES_BROADCAST_ROWS = 200_000
 
@@ -39,10 +38,14 @@ def asof_join(
         (epoch_us(series_ts) * sign).alias("_at"), F.struct(*values).alias("_value")
     )
     timed = left.withColumn("_at", epoch_us(left_ts) * sign)
-    if fits_broadcast(points, broadcast_rows):
-        matched = _lookup(timed, points, broadcast_rows)
-        if matched is not None:
-            return matched.select(*left.columns, *[F.col("_value")[v].alias(v) for v in values])
+    bounded = points.limit(broadcast_rows + 1)
+    found = bounded.agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("lo"), F.max("_at").alias("hi")).first()
+    if found["n"] == 0:
+        return timed.select(*left.columns, *[F.lit(None).cast(series.schema[v].dataType).alias(v) for v in values])
+    low, high = found["lo"] // HOUR_US, found["hi"] // HOUR_US
+    if found["n"] <= broadcast_rows and high - low <= broadcast_rows:
+        matched = _lookup(timed, points, high)
+        return matched.select(*left.columns, *[F.col("_value")[v].alias(v) for v in values])
     return _merge(timed, points, ranges).select(
         *left.columns, *[F.col("_found")[v].alias(v) for v in values]
     )
@@ -66,23 +69,23 @@ def _merge(timed: DataFrame, points: DataFrame, ranges: int | None) -> DataFrame
     return found.unionByName(untimed)
 
 
-def _lookup(timed: DataFrame, points: DataFrame, max_rows: int) -> DataFrame | None:
-    """Interval lookup by hour; None when the hours would outgrow the broadcast bound."""
-    span = timed.agg(F.min("_at").alias("lo"), F.max("_at").alias("hi")).first()
-    if span["lo"] is None:
-        return timed.withColumn("_value", F.lit(None).cast(points.schema["_value"].dataType))
-    low, high = span["lo"] // HOUR_US, span["hi"] // HOUR_US
-    if high - low > max_rows:
-        return None
-    ordered = Window.orderBy("_at")  # at most max_rows rows, checked by the caller
+def _lookup(timed: DataFrame, points: DataFrame, last_hour: int) -> DataFrame:
+    """Interval lookup by hour. The caller has checked the number of points and of hours.
+
+    The last interval is open; later left rows look it up under the last hour.
+    """
+    ordered = Window.orderBy("_at")  # a bounded number of points
     intervals = points.select(
         F.col("_at").alias("_from"), "_value", F.lead("_at").over(ordered).alias("_to")
     )
-    first = F.greatest(F.floor(F.col("_from") / HOUR_US), F.lit(low))
-    last = F.least(F.coalesce(F.floor((F.col("_to") - 1) / HOUR_US), F.lit(high)), F.lit(high))
-    by_hour = intervals.where(first <= last).select(
-        "_from", "_to", "_value", F.explode(F.sequence(first, last)).alias("_hour")
-    )
-    hour = F.floor(F.col("_at") / HOUR_US)
+    first = _hour_of(F.col("_from"))
+    last = F.coalesce(_hour_of(F.col("_to") - 1), F.lit(last_hour).cast("bigint"))
+    by_hour = intervals.select("_from", "_to", "_value", F.explode(F.sequence(first, last)).alias("_hour"))
+    hour = F.least(_hour_of(F.col("_at")), F.lit(last_hour))
     inside = (F.col("_at") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("_at") < F.col("_to")))
     return timed.join(F.broadcast(by_hour), (hour == F.col("_hour")) & inside, "left")
+
+
+def _hour_of(micros: Column) -> Column:
+    hour = F.lit(HOUR_US).cast("bigint")
+    return F.call_function("div", micros - F.pmod(micros, hour), hour)

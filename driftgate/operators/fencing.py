@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftgate.operators.prefix import running_scan
+from driftgate.session import cut_lineage
 
 
 def fence(
@@ -35,15 +36,17 @@ def audit_rows(fenced: DataFrame, seq: str = "seq") -> tuple[DataFrame, DataFram
     return accepted, violations
 
 
-def lost_leases(beats: DataFrame, ts: str, ok: str, series: str, failures: int = 3) -> DataFrame:
+def lost_leases(beats: DataFrame, order: Sequence[str], ok: str, keys: Sequence[str], failures: int = 3) -> DataFrame:
     """Where a lease is lost: the n-th failed heartbeat in a row, per series.
 
-    ``beats`` is a heartbeat log (one row every few seconds per node).
+    Failures so far, less the failures there were at the last good beat, is the
+    length of the present run of failures; both are running aggregates.
     """
-    ordered = Window.partitionBy(series).orderBy(ts).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    island = beats.withColumn("_island", F.sum(F.col(ok).cast("int")).over(ordered)).where(~F.col(ok))
-    inside = Window.partitionBy(series, "_island").orderBy(ts)
-    return (
-        island.withColumn("failures_in_row", F.row_number().over(inside))
-        .where(F.col("failures_in_row") == failures).drop("_island")
+    failed = F.when(F.col(ok), 0).otherwise(1)
+    # the second pass reads the first one's result several times
+    counted = cut_lineage(running_scan(beats, order, {"_failures": ("sum", failed)}, keys=keys))
+    based = running_scan(
+        counted, order, {"_base": ("max", F.when(F.col(ok), F.col("_failures")))}, keys=keys
     )
+    in_row = F.col("_failures") - F.coalesce("_base", F.lit(0))
+    return based.withColumn("failures_in_row", in_row).where(~F.col(ok) & (in_row == failures)).drop("_failures", "_base")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftgate import fixed_values as V
 from driftgate.functions.clock import DAY_US, HOUR_US, epoch_us
 from driftgate.operators.asof import asof_join
 from driftgate.operators.prefix import running_scan
+from driftgate.operators.timeline import trailing_window
 
 
 def write_class(table: Column) -> Column:
@@ -21,14 +22,10 @@ def is_spike(price: Column, baseline: Column, multiplier: float = V.SPIKE_MULTIP
 
 
 def price_baselines(prices: DataFrame, ts: str = "ts", price: str = "price", days: int = 30, multiplier: float = V.SPIKE_MULTIPLIER) -> DataFrame:
-    """Each price against the mean of the days before it, itself included.
-
-    A price series has a row per hour or so, a single short series.
-    """
-    frame = Window.partitionBy(F.lit(0)).orderBy(epoch_us(ts)).rangeBetween(-days * DAY_US, Window.currentRow)
-    mean = F.avg(price).over(frame)
-    return prices.select("*", F.round(mean, 9).alias("baseline")).withColumn(
-        "spike", is_spike(F.col(price), F.col("baseline"), multiplier)
+    """Each price against the mean of the days before it, itself included."""
+    averaged = trailing_window(prices, ts, days * DAY_US, {"_mean": lambda w: F.avg(price).over(w)})
+    return averaged.select(
+        *prices.columns, F.round("_mean", 9).alias("baseline"), is_spike(F.col(price), F.col("_mean"), multiplier).alias("spike")
     )
 
 

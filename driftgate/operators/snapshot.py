@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftgate import fixed_values as V
-from driftgate.functions.clock import HOUR_US, epoch_us
+from driftgate.functions.clock import HOUR_US
 from driftgate.functions.rows import row_hash
-from driftgate.sources.snapshot_reads import chunk_of, slot_of
+from driftgate.operators.timeline import trailing_window
+from driftgate.sources.snapshot_reads import chunk_of
 
 _HALF = 2**30
 
@@ -145,15 +146,14 @@ def dead_man(
     """
     needed = V.DEADMAN_BYTES_PER_HOUR * hours if min_bytes is None else min_bytes
     running = progress.where(~F.col("complete")) if "complete" in progress.columns else progress
-    frame = (
-        Window.partitionBy(series).orderBy(epoch_us(ts)).rangeBetween(-hours * HOUR_US, Window.currentRow)
+    seen = trailing_window(
+        running, ts, hours * HOUR_US,
+        {"_oldest": lambda w: F.first(done_bytes).over(w), "checkpoints": lambda w: F.count(F.lit(1)).over(w)}, [series],
     )
-    gained = F.col(done_bytes) - F.first(done_bytes).over(frame)
-    return running.select(
-        "*",
-        gained.alias("gained_bytes"),
-        F.count(F.lit(1)).over(frame).alias("checkpoints"),
-        ((F.count(F.lit(1)).over(frame) >= 2) & (gained < needed)).alias("alert"),
+    gained = F.col(done_bytes) - F.col("_oldest")
+    return seen.select(
+        *running.columns, gained.alias("gained_bytes"), "checkpoints",
+        ((F.col("checkpoints") >= 2) & (gained < needed)).alias("alert"),
     )
 
 
@@ -172,8 +172,3 @@ def row_parity(source: DataFrame, target: DataFrame, limit_pct: float = V.ROW_PA
         F.round(pct, 6).alias("difference_pct"), (pct <= limit_pct).alias("passed"),
     )
 
-
-__all__ = [
-    "chunk_checksums", "chunk_outcomes", "compare_chunks", "dead_man", "fingerprint", "referenced_tables",
-    "row_parity", "size_tiers", "slot_of", "snapshot_progress",
-]

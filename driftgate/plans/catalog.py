@@ -1,9 +1,11 @@
 """All checks, gathered."""
 
 from driftgate.plans import (  # noqa: F401
+    anomaly_checks,
     cdc_checks,
     compare_checks,
     discovery_checks,
+    gate_checks,
     risk_checks,
     snapshot_checks,
 )

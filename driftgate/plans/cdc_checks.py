@@ -336,7 +336,7 @@ def fencing_audit(spark, folder) -> DataFrame:
 )
 def lost_leases(spark, folder) -> DataFrame:
     beats = table(spark, folder, "events").select("event_id", "user_id", (F.col("value") < 50).alias("ok"))
-    return fencing.lost_leases(beats, "event_id", "ok", "user_id").select("event_id", "user_id")
+    return fencing.lost_leases(beats, ["event_id"], "ok", ["user_id"]).select("event_id", "user_id")
 
 
 @check(
