@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 
@@ -53,13 +54,15 @@ class UpsertTable:
             rows = rows.unionByName(gone, allowMissingColumns=True)
         rows.write.mode("overwrite").parquet(f"{self.path}/changes/batch_id={batch_id}")
 
-    def read(self) -> DataFrame:
-        """The table now: newest change per key, deletes removed."""
+    def read(self, before_batch: int | None = None) -> DataFrame:
+        """The table now, or as it was before a batch: newest change per key, deletes removed."""
         version, through = self._head()
         base = self.spark.read.parquet(f"{self.path}/base/version={version}")
         changes = self._changes(through, base)
         if changes is None:
             return base
+        if before_batch is not None:
+            changes = changes.where(F.col("batch_id") < before_batch)
         names = base.columns
         newest = changes.groupBy(*self.pk).agg(
             F.max_by(F.struct(*[c for c in names if c not in self.pk], "_deleted"), "batch_id").alias("_n")
@@ -92,7 +95,7 @@ class UpsertTable:
         return row["version"], row["through"]
 
     def _changes(self, through: int, base: DataFrame) -> DataFrame | None:
-        schema = base.schema.add("_deleted", "boolean").add("batch_id", "bigint")
+        schema = T.StructType([*base.schema.fields, T.StructField("_deleted", T.BooleanType()), T.StructField("batch_id", T.LongType())])
         try:
             found = self.spark.read.schema(schema).parquet(f"{self.path}/changes")
         except AnalysisException:
