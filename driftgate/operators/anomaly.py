@@ -66,14 +66,14 @@ def _subsamples(df: DataFrame, features: Sequence[str], key: str, rows: int, tre
     narrow = df.select(identity.alias("_key"), *[F.col(f).cast("double").alias(f) for f in features])
     chance = min(1.0, 2.0 * size / max(rows, 1))
     if chance * trees < 0.25:
-        u = uniform_draw(F.concat_ws(":", "_key", F.lit(f"pick{seed}")))
+        u = uniform_draw(F.concat_ws(":", "_key", F.lit(f"pick{seed}")), "xxhash64")
         chosen = narrow.withColumn("_u", u).where(F.col("_u") < chance * trees)
         drawn = chosen.withColumn("tree", F.floor(F.col("_u") / chance).cast("int")).drop("_u")
-        rank = uniform_draw(F.concat_ws(":", "_key", F.lit(f"rank{seed}")))
+        rank = uniform_draw(F.concat_ws(":", "_key", F.lit(f"rank{seed}")), "xxhash64")
         drawn = drawn.withColumn("_rank", rank)
     else:
         spread = narrow.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        spread = spread.withColumn("_rank", uniform_draw(F.concat_ws(":", "_key", F.col("tree").cast("string"), F.lit(str(seed)))))
+        spread = spread.withColumn("_rank", uniform_draw(F.concat_ws(":", "_key", F.col("tree").cast("string"), F.lit(str(seed))), "xxhash64"))
         drawn = spread.where(F.col("_rank") < chance)
     nearest = Window.partitionBy("tree").orderBy("_rank", "_key")  # about twice the subsample per tree
     return drawn.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") <= size)

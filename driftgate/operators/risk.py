@@ -23,8 +23,10 @@ def draws(states: DataFrame, n: int, state: str = "state_id") -> DataFrame:
     distributed, then each block into its draws. One state may have any number.
     """
     blocks = states.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // _BLOCK))))
-    if n > _BLOCK:
-        blocks = blocks.repartition(F.col(state), F.col("_block"))
+    # A given number of partitions: blocks are a few bytes each, and adaptive
+    # execution would otherwise merge them into one task that makes every draw.
+    tasks = int(states.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = blocks.repartition(tasks, F.col(state), F.col("_block"))
     first = F.col("_block").cast("bigint") * _BLOCK
     last = F.least(first + F.lit(_BLOCK - 1), F.lit(n - 1).cast("bigint"))
     return blocks.withColumn("draw", F.explode(F.sequence(first, last))).drop("_block")
@@ -48,17 +50,18 @@ def rollback_cost(z: Column, unit_fix: bool = False) -> Column:
 
 
 def simulate_cost(
-    states: DataFrame, n: int = V.SIMULATIONS, seed: int = 0, state: str = "state_id", unit_fix: bool = False
+    states: DataFrame, n: int = V.SIMULATIONS, seed: int = 0, state: str = "state_id", unit_fix: bool = False,
+    method: str = "xxhash64",
 ) -> DataFrame:
     """One row per state and draw with its cost.
 
     Draws depend on state, number and seed alone, so results repeat on any
-    cluster. States need bytes_done, write_rate, lag_seconds, merkle_seconds and
+    cluster; with ``method="md5"`` on any engine. States need bytes_done, write_rate, lag_seconds, merkle_seconds and
     std_gbps.
     """
     drawn = draws(states, n, state)
     key = F.concat_ws(":", F.col(state).cast("string"), F.col("draw").cast("string"), F.lit(str(seed)))
-    return drawn.withColumn("cost", rollback_cost(normal_draw(key), unit_fix))
+    return drawn.withColumn("cost", rollback_cost(normal_draw(key, method), unit_fix))
 
 
 def evaluate_risk(
@@ -69,6 +72,7 @@ def evaluate_risk(
     state: str = "state_id",
     unit_fix: bool = False,
     stop_when_done: bool = True,
+    method: str = "xxhash64",
 ) -> DataFrame:
     """Cost distribution and verdict per state.
 
@@ -80,7 +84,7 @@ def evaluate_risk(
         F.percentile("cost", points) if n <= EXACT_PERCENTILE_DRAWS else F.percentile_approx("cost", points, 10_000)
     )
     needed = states.select(state, "bytes_done", "write_rate", "lag_seconds", "merkle_seconds", "std_gbps")
-    costs = simulate_cost(needed, n, seed, state, unit_fix).groupBy(state).agg(
+    costs = simulate_cost(needed, n, seed, state, unit_fix, method).groupBy(state).agg(
         found.alias("_p"), F.avg("cost").alias("_mean"), F.stddev_pop("cost").alias("_std")
     )
     p95 = F.col("_p")[2]
@@ -112,9 +116,11 @@ def checkpoint_states(runs: DataFrame, checkpoints: list[float] | None = None, r
     )
 
 
-def pre_migration_estimate(runs: DataFrame, n: int = V.SIMULATIONS, seed: int = 0, sla: float = V.SLA_USD) -> DataFrame:
+def pre_migration_estimate(
+    runs: DataFrame, n: int = V.SIMULATIONS, seed: int = 0, sla: float = V.SLA_USD, method: str = "xxhash64"
+) -> DataFrame:
     """Risk curve of a planned run over its progress."""
-    return evaluate_risk(checkpoint_states(runs), n, seed, sla)
+    return evaluate_risk(checkpoint_states(runs), n, seed, sla, method=method)
 
 
 def band_transitions(evaluations: DataFrame, order: list[str], run: str = "run_id", band: str = "recommendation") -> DataFrame:

@@ -422,8 +422,13 @@ _ALERT_SQL = f"""s AS (SELECT {_ALERT_IN} AS entity, (epoch_us(ts) // 300000000)
     f"SELECT entity, us, '{a}' AS alert, '{m}' AS metric, '{sev}' AS severity, {ack} AS ack_minutes, {minutes} * 60000000 AS width, {_ALERT_METRICS[m]} AS v, {_ALERT_METRICS[m]} {op} {limit} AS broken FROM s"
     for a, (m, op, limit, sev, ack, minutes) in _ALERT_OPS.items()
 ) + """), firing AS (
-    SELECT t.*, broken AND (width = 0 OR (
-        (SELECT bool_and(x.broken) AND t.us - min(x.us) >= t.width FROM tagged x WHERE x.entity = t.entity AND x.alert = t.alert AND x.us BETWEEN t.us - t.width AND t.us))) AS firing FROM tagged t),
+    SELECT *, broken AND CASE width WHEN 0 THEN TRUE WHEN 600000000 THEN all_10 AND us - since_10 >= width
+           WHEN 900000000 THEN all_15 AND us - since_15 >= width ELSE all_30 AND us - since_30 >= width END AS firing
+    FROM (SELECT *, """ + ", ".join(
+    f"bool_and(broken) OVER w{m} AS all_{m}, min(us) OVER w{m} AS since_{m}" for m in (10, 15, 30)
+) + """ FROM tagged WINDOW """ + ", ".join(
+    f"w{m} AS (PARTITION BY entity, alert ORDER BY us RANGE BETWEEN {m * 60_000_000} PRECEDING AND CURRENT ROW)" for m in (10, 15, 30)
+) + """)),
     seen AS (SELECT *, coalesce(lag(firing) OVER (PARTITION BY entity, alert ORDER BY us), FALSE) AS before FROM firing)"""
 
 

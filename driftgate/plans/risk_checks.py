@@ -60,7 +60,7 @@ _VERDICT = [
         round(max(cost), 4) AS highest, round(avg(cost), 4) AS mean FROM costs GROUP BY 1""",
 )
 def cost_draws(spark, folder) -> DataFrame:
-    return risk.simulate_cost(states(spark, folder), 1500).groupBy("state_id").agg(
+    return risk.simulate_cost(states(spark, folder), 1500, method="md5").groupBy("state_id").agg(
         F.count(F.lit(1)).alias("n_draws"), F.round(F.min("cost"), 4).alias("lowest"),
         F.round(F.max("cost"), 4).alias("highest"), F.round(F.avg("cost"), 4).alias("mean"),
     )
@@ -71,7 +71,7 @@ def cost_draws(spark, folder) -> DataFrame:
     f"""WITH {STATES_SQL}, {cost_sql('st', 200, 7, per_hour=' * 450.0::DOUBLE')} SELECT state_id, round(avg(cost), 6) AS mean FROM costs GROUP BY 1""",
 )
 def cost_draws_fixed(spark, folder) -> DataFrame:
-    drawn = risk.simulate_cost(states(spark, folder), 200, seed=7, unit_fix=True)
+    drawn = risk.simulate_cost(states(spark, folder), 200, seed=7, unit_fix=True, method="md5")
     return drawn.groupBy("state_id").agg(F.round(F.avg("cost"), 6).alias("mean"))
 
 
@@ -81,7 +81,13 @@ def cost_draws_fixed(spark, folder) -> DataFrame:
         SELECT state_id, {_VERDICT_SQL}, round(greatest(0, least(1, 1 - std_gbps / mean_gbps)), 3) AS network_health FROM st JOIN q USING (state_id)""",
 )
 def evaluate_risk(spark, folder) -> DataFrame:
-    return risk.evaluate_risk(states(spark, folder), 1500).select("state_id", *_VERDICT, "network_health")
+    return risk.evaluate_risk(states(spark, folder), 1500, method="md5").select("state_id", *_VERDICT, "network_health")
+
+
+@check("sim2_evaluate_risk_fast_draws")
+def evaluate_risk_fast(spark, folder) -> DataFrame:
+    """The default draws, which other engines cannot repeat, at the full number per state."""
+    return risk.evaluate_risk(states(spark, folder)).select("state_id", *_VERDICT)
 
 
 @check(
@@ -91,7 +97,7 @@ def evaluate_risk(spark, folder) -> DataFrame:
         FROM costs GROUP BY 1""",
 )
 def cost_percentiles(spark, folder) -> DataFrame:
-    return risk.evaluate_risk(states(spark, folder), 1000, seed=3).select(
+    return risk.evaluate_risk(states(spark, folder), 1000, seed=3, method="md5").select(
         "state_id", "p5_usd", "p50_usd", "p95_usd", "p99_usd", "mean_usd", "std_usd"
     )
 
@@ -106,7 +112,7 @@ def cost_percentiles(spark, folder) -> DataFrame:
 )
 def pre_migration_curve(spark, folder) -> DataFrame:
     runs = states(spark, folder).select(F.col("state_id").alias("run_id"), "total_bytes", "write_rate", "mean_gbps", "std_gbps")
-    return risk.pre_migration_estimate(runs, 200).select("state_id", *_VERDICT)
+    return risk.pre_migration_estimate(runs, 200, method="md5").select("state_id", *_VERDICT)
 
 
 @check(
@@ -378,7 +384,7 @@ def cost_status(spark, folder) -> DataFrame:
 
 @check(
     "agg32_recalibration",
-    """WITH o AS (SELECT user_id AS migration_id, round(avg(value / 50), 6) AS new_mean_gbps, round(stddev_pop(value / 50), 6) AS new_std_gbps,
+    """WITH o AS (SELECT user_id AS migration_id, round(avg(sqrt(value)), 6) AS new_mean_gbps, round(stddev_pop(sqrt(value)), 6) AS new_std_gbps,
                   count(*) AS n, max(value) * 20 AS estimate_usd, max(value) * 20 * (1 + (user_id % 30) / 100.0::DOUBLE) AS observed_usd FROM events GROUP BY user_id),
             d AS (SELECT *, CASE WHEN migration_id % 5 = 0 THEN 0.0::DOUBLE ELSE abs(observed_usd - estimate_usd) / greatest(estimate_usd, 0.01::DOUBLE) * 100 END AS pct FROM o)
        SELECT migration_id, 1.0::DOUBLE AS old_mean_gbps, new_mean_gbps, 0.1::DOUBLE AS old_std_gbps, new_std_gbps, round(pct, 2) AS p50_deviation_pct,
@@ -387,7 +393,7 @@ def cost_status(spark, folder) -> DataFrame:
 def recalibration(spark, folder) -> DataFrame:
     rows = table(spark, folder, "events")
     user = F.col("user_id")
-    observed = rows.select(user.alias("migration_id"), (F.col("value") / 50).alias("gbps"))
+    observed = rows.select(user.alias("migration_id"), F.sqrt("value").alias("gbps"))
     ids = rows.groupBy(user.alias("migration_id")).agg((F.max("value") * 20).alias("estimate_usd"))
     key = F.col("migration_id")
     actual = F.col("estimate_usd") * (F.lit(1) + (key % 30) / F.lit(100.0))
