@@ -424,7 +424,7 @@ def test_bands(spark, p95, want):
 
 
 def test_risk_is_ordered_and_grows(spark):
-    data = [(f"s{i}", 10**11, int(10**11 * p), 5e7, 2.0, 300.0, 1.0, 0.1) for i, p in enumerate((0.0, 0.5, 0.95))]
+    data = [(f"s{i}", 10**13, int(10**13 * p), 5e7, 2.0, 300.0, 1.0, 0.1) for i, p in enumerate((0.0, 0.5, 0.95))]
     states = spark.createDataFrame(
         data, "state_id string, total_bytes bigint, bytes_done bigint, write_rate double, lag_seconds double, merkle_seconds double, mean_gbps double, std_gbps double"
     )
