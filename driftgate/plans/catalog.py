@@ -8,6 +8,7 @@ from driftgate.plans import (  # noqa: F401
     gate_checks,
     risk_checks,
     snapshot_checks,
+    stream_checks,
 )
 from driftgate.plans.registry import ORACLE, QUERIES
 
