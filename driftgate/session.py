@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ def local_session(app: str = "driftgate", cores: int | str = 8, partitions: int
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("DRIFTGATE_DRIVER_MEMORY", "8g"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config(
@@ -32,13 +34,21 @@ def local_session(app: str = "driftgate", cores: int | str = 8, partitions: int
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in spark.checkpoint.dir.
+    """Reliable checkpoint in the folder the cluster names in spark.checkpoint.dir."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
 
-    Only where that setting is missing, as in tests, a folder of our own is set.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder. A local session without the setting gets one of its own; a cluster must name it,
+    since a folder on one machine is invisible to the others."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+        if not named:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            named = tempfile.mkdtemp(prefix="spark-")
+        context.setCheckpointDir(named)
+    return context.getCheckpointDir()
 

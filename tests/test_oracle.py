@@ -11,6 +11,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(__file__), ".."))
 import verify  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
+from driftgate.plans.catalog import QUERIES  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +19,7 @@ def con(sf):
     return verify.connect(sf)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_check(spark, sf, con, name):
     same, note = verify.compare(spark, con, name, sf)
     assert same, note
