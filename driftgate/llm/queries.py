@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftgate.llm import bpe, linededup, pii, simhash, winnow
-from driftgate.llm.common import table
+from driftgate.llm import bpe, linededup, pii, quality, simhash, winnow
+from driftgate.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -95,3 +95,11 @@ def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.find(table(spark, folder, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")
+
+
+@query("op1_quality")
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, folder, "labels").where(fold("doc_id", 4) != 2))
+    found = quality.scores(docs, model, threshold=0.7)
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
