@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftgate.llm import bpe, linededup, pii, quality, simhash, winnow
+from driftgate.llm import bpe, langid, linededup, pii, quality, simhash, winnow
 from driftgate.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,11 @@ def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
     model = quality.fit(docs, table(spark, folder, "labels").where(fold("doc_id", 4) != 2))
     found = quality.scores(docs, model, threshold=0.7)
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
+@query("op6_language")
+def op6_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = langid.fit(docs.where(fold("doc_id", 3) != 1))
+    found = langid.predict(docs, model)
+    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
