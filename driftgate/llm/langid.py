@@ -76,8 +76,8 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(vectors: list[tuple[np.ndarray, np.ndarray]], classes: np.ndarray, n_classes: int, epochs: int = 4, alpha: float = 0.5,
-          beta: float = 1.0, l1: float = 0.02, l2: float = 0.1, seed: int = 7) -> np.ndarray:
+def train(vectors: list[tuple[np.ndarray, np.ndarray]], classes: np.ndarray, n_classes: int, epochs: int = 4, alpha: float = 2.0,
+          beta: float = 1.0, l1: float = 0.01, l2: float = 0.01, seed: int = 7) -> np.ndarray:
     """Weights (features, classes) by follow-the-regularised-leader with per-coordinate rates and both penalties."""
     z = np.zeros((1 << BITS, n_classes))
     n = np.zeros((1 << BITS, n_classes))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftgate.llm import bpe, langid, linededup, pii, quality, simhash, winnow
+from driftgate.llm import ann, bpe, langid, linededup, pii, quality, simhash, winnow
 from driftgate.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,8 @@ def op6_language(spark: SparkSession, folder: str) -> DataFrame:
     model = langid.fit(docs.where(fold("doc_id", 3) != 1))
     found = langid.predict(docs, model)
     return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+@query("op3_neighbours")
+def op3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.search(table(spark, folder, "embeddings"), lambda vec_id: vec_id % 20 == 0, k=20)
