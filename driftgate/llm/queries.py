@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftgate.llm import ann, bpe, langid, linededup, pii, quality, simhash, winnow
+from driftgate.llm import ann, bpe, langid, linededup, pii, quality, simhash, token_scan, winnow
 from driftgate.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,8 @@ def op6_language(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_neighbours")
 def op3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return ann.search(table(spark, folder, "embeddings"), lambda vec_id: vec_id % 20 == 0, k=20)
+
+
+@query("op4_token_counts")
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_scan.token_counts(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.tiktoken"), separator=50256)
