@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftgate.llm import ann, bpe, langid, linededup, pii, quality, simhash, token_scan, winnow
+from driftgate.llm import ann, bpe, langid, licenses, linededup, pii, quality, simhash, token_scan, winnow
 from driftgate.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,14 @@ def op3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_token_counts")
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_scan.token_counts(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.tiktoken"), separator=50256)
+
+
+@query("op5_licences", licenses.oracle())
+def op5_licences(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id",
+        F.size("sentence_ids").cast("bigint").alias("n_sentences"),
+        F.array_join("sentence_ids", ",").alias("sentences"),
+        F.array_join("licences", ",").alias("licences"),
+    )
