@@ -9,10 +9,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftgate.llm.common import kept
+from driftgate.llm.common import fresh, kept
 from driftgate.llm.components import components
 
 SEED = 42
@@ -23,35 +23,43 @@ _BLOCK = 1 << 16
 # fingerprints
 
 
-def fingerprint(text: str | None, words: int) -> int:
+def fingerprint(text: str | None, words: int, seed: int = SEED) -> int:
     """64 majority bits over the hashes of all word shingles; zero without words."""
     found = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
     if not found:
         return 0
     joined = b" ".join(found)
     if len(found) < words:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return xxhash.xxh64_intdigest(joined, seed)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
     starts = np.concatenate([[0], ends[:-1]])[: len(found) - words + 1]
     ends = ends[words - 1 :] - 1
     counts = np.zeros(64, np.int64)
     for at in range(0, len(starts), _BLOCK):
         bounds = zip(starts[at : at + _BLOCK].tolist(), ends[at : at + _BLOCK].tolist(), strict=True)
-        hashes = np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in bounds), np.uint64)
+        hashes = np.fromiter((xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in bounds), np.uint64)
         counts += np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(counts * 2 > len(starts), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) per row, fp as a signed 64-bit number. Null and word-less texts have fingerprint zero."""
-    source = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"))
+def fingerprints(docs: DataFrame, words: int = 5, wide: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, th, fp) per row, fp as a signed 64-bit number, th a hash of the text; ``wide`` adds fp2, of another seed.
+
+    Null and word-less texts have fingerprint zero.
+    """
+    text = F.coalesce(docs[text_col], F.lit(""))
+    source = docs.select(docs[id_col].alias("_id"), F.xxhash64(text).alias("_th"), text.alias("_text"))
+    seeds = {"fp": SEED, "fp2": SEED + 1} if wide else {"fp": SEED}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(x.as_py(), words) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=[id_col, "fp"])
+            texts = batch.column(2)
+            found = [np.fromiter((fingerprint(x.as_py(), words, seed) for x in texts), np.uint64, batch.num_rows) for seed in seeds.values()]
+            columns = [batch.column(0), batch.column(1), *(pa.array(f.view(np.int64)) for f in found)]
+            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "th", *seeds])
 
-    return source.mapInArrow(run, f"`{id_col}` {source.schema['_id'].dataType.simpleString()}, fp bigint")
+    schema = ", ".join(f"{name} bigint" for name in ("th", *seeds))
+    return source.mapInArrow(run, f"`{id_col}` {source.schema['_id'].dataType.simpleString()}, {schema}")
 
 
 # Golay keys
@@ -130,52 +138,84 @@ def with_keys(fps: DataFrame) -> DataFrame:
 # links
 
 
-def _close(a: str, b: str, most: int):
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= most
+def _marks(df: DataFrame) -> list[str]:
+    return [c for c in ("fp", "fp2") if c in df.columns]
+
+
+def _node(marks: list[str], of: str = "") -> Column:
+    """One number for a fingerprint: itself, or a hash of a wide one."""
+    return F.col(of + marks[0]) if len(marks) == 1 else F.xxhash64(*(of + m for m in marks))
+
+
+def _close(a: str, b: str, marks: list[str], most: int) -> Column:
+    differing = [F.bit_count(F.col(a + m).bitwiseXOR(F.col(b + m))) for m in marks]
+    return sum(differing[1:], differing[0]) <= most
 
 
 def linked(fps: DataFrame, most_differing: int = MOST_DIFFERING) -> DataFrame:
-    """(fp, root) for each fingerprint that links to another one; ``fps`` has each value once.
+    """(node, root) for each fingerprint that links to another one; ``fps`` has each value once.
 
     First, every key's rows are compared with its smallest and its largest fingerprint only: large families of near
     copies become few components, with as many rows as there are keys. Then all rows of a key are compared, but only
     rows of different components come out, so that no link is lost and a family's pairs are not all written.
     """
-    if not 0 <= most_differing <= MOST_DIFFERING:
-        raise ValueError(f"the keys find pairs with up to {MOST_DIFFERING} differing bits")
-    keys = with_keys(fps.select("fp"))
-    ends = keys.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi")
+    marks = _marks(fps)
+    fps = fps.select(*marks)
+    keys = with_keys(fps)
+    ends = keys.groupBy("key").agg(F.min(F.struct(*marks)).alias("lo"), F.max(F.struct(*marks)).alias("hi")).where("lo < hi")
     met = keys.join(ends, "key")
-    stars = met.where(_close("fp", "lo", most_differing)).select(F.col("fp").alias("u"), F.col("lo").alias("v"))
-    stars = stars.unionByName(met.where(_close("fp", "hi", most_differing)).select(F.col("fp").alias("u"), F.col("hi").alias("v")))
-    first = kept(components(stars.where("u <> v").distinct()))
-    named = fps.select("fp").join(first, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("label"))
+    stars = [
+        met.where(_close("", f"{end}.", marks, most_differing)).select(_node(marks).alias("u"), _node(marks, f"{end}.").alias("v")) for end in ("lo", "hi")
+    ]
+    first = kept(components(stars[0].unionByName(stars[1]).where("u <> v").distinct()))
+    named = fps.withColumn("node", _node(marks)).join(first, "node", "left").select(*marks, F.coalesce("root", "node").alias("label"))
     all_keys = with_keys(kept(named))
-    left = all_keys.select("key", F.col("fp").alias("a"), F.col("label").alias("u"))
-    right = all_keys.select(F.col("key").alias("key2"), F.col("fp").alias("b"), F.col("label").alias("v"))
-    across = left.join(right, (F.col("key") == F.col("key2")) & (F.col("u") < F.col("v")) & _close("a", "b", most_differing))
-    second = components(across.select("u", "v").distinct())
+    left, right = ((all_keys.select(*(F.col(c).alias(f"{side}_{c}") for c in all_keys.columns))) for side in "ab")
+    same_key = (F.col("a_key") == F.col("b_key")) & (F.col("a_label") < F.col("b_label"))
+    across = left.join(right, same_key & _close("a_", "b_", marks, most_differing))
+    second = components(across.select("a_label", "b_label").distinct(), "a_label", "b_label")
     second = second.select(F.col("node").alias("label"), F.col("root").alias("top"))
-    joined = first.select(F.col("node").alias("fp"), F.col("root").alias("label"))
+    joined = first.select("node", F.col("root").alias("label"))
     # a fingerprint may have been alone in the first round and linked in the second
-    alone = second.select(F.col("label").alias("fp"), "label").join(joined.select("fp"), "fp", "left_anti")
-    return joined.unionByName(alone).join(second, "label", "left").select("fp", F.coalesce("top", "label").alias("root"))
+    alone = second.select(F.col("label").alias("node"), "label").join(joined.select("node"), "node", "left_anti")
+    return joined.unionByName(alone).join(second, "label", "left").select("node", F.coalesce("top", "label").alias("root"))
 
 
-def near_duplicates(
-    docs: DataFrame, words: int = 5, most_differing: int = MOST_DIFFERING, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """(id, fp, component_id) per row: component_id is the smallest id that the row's fingerprint reaches.
+def near_duplicates(docs: DataFrame, words: int = 5, most_differing: int = MOST_DIFFERING, wide: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, th, fp, root, component_id) per row: component_id is the smallest id that the row's fingerprint reaches.
 
     Texts are lower-cased (A-Z), split at ASCII white space and hashed in shingles of ``words`` words, repeats included.
     Fingerprints link at ``most_differing`` bits or fewer; equal ones (copies, and all texts without words, null ones
-    included) always do. Ids are bigints; a null id takes part and never names a component, unless all ids are null.
-    Repeated rows stay repeated. Other columns are ignored. No rows give no rows.
+    included) always do. Up to four bits, no link is missed. ``wide`` adds 64 bits of another seed: keys come from the
+    first 64, differences are counted in all 128, so a limit can follow a similarity of the shingles closely; links whose
+    first halves differ in more than four bits are then found if they happen to share a key.
+
+    root names the component. Ids are bigints; a null id takes part and never names a component, unless all ids are
+    null. Repeated rows stay repeated. Other columns are ignored. No rows give no rows.
+    """
+    if not wide and not 0 <= most_differing <= MOST_DIFFERING:
+        raise ValueError(f"the keys find all pairs with up to {MOST_DIFFERING} differing bits")
+    marks = kept(fingerprints(docs, words, wide, id_col, text_col))
+    node = _node(_marks(marks))
+    fps = kept(marks.groupBy(*_marks(marks)).agg(F.min(id_col).alias("least")))
+    roots = linked(fps, most_differing)
+    nodes = fps.select(node.alias("node"), "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    nodes = kept(nodes)
+    named = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
+    known = nodes.join(named, "root").select(F.col("node").alias("_node"), "root", "component_id")
+    return marks.join(known, node == F.col("_node")).select(id_col, "th", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, most_differing: int = 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with its columns, one row of each group of near-duplicates: the one with the smallest id.
+
+    With shingles of five words, 18 of 128 bits stand for a similarity (shared by all distinct shingles) of a little over
+    0.8. Null ids come last. Of rows that repeat the chosen id and text, one stays.
     """
-    marks = kept(fingerprints(docs, words, id_col, text_col))
-    fps = kept(marks.groupBy("fp").agg(F.min(id_col).alias("least")))
-    roots = kept(linked(fps, most_differing))
-    named = fps.join(roots, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
-    found = roots.join(named, "root").select("fp", "component_id")
-    known = fps.join(found, "fp", "left").select(F.col("fp").alias("_fp"), F.coalesce("component_id", "least").alias("component_id"))
-    return marks.join(known, F.col("fp") == F.col("_fp")).select(id_col, "fp", "component_id")
+    groups = near_duplicates(docs, words, most_differing, True, id_col, text_col)
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "th")).alias("chosen"))
+    first = kept(first.select(F.col("chosen.id").alias("_chosen_id"), F.col("chosen.th").alias("_chosen_th")))
+    (digest,) = fresh(docs, "th")
+    marked = docs.withColumn(digest, F.xxhash64(F.coalesce(docs[text_col], F.lit(""))))
+    found = marked.join(first, marked[id_col].eqNullSafe(first["_chosen_id"]) & (marked[digest] == first["_chosen_th"]), "left_semi")
+    return found.dropDuplicates([id_col, digest]).select(*docs.columns)
