@@ -59,7 +59,7 @@ def lag_seconds(ts_ms: Column, now_ms: Column) -> Column:
 
 
 def infer_pk(before: Column, after: Column) -> Column:
-    """First two likely key columns of a change, read from its two images.
+    """All likely key columns of a change, read from its two images; a caller who knows the key should use that.
 
     An unchanged column with a plain key name is taken first; without one, any
     column named id or ending in _id.
@@ -70,7 +70,7 @@ def infer_pk(before: Column, after: Column) -> Column:
         lambda n: F.lower(n).isin(V.PK_NAMES) & before[n].eqNullSafe(after[n]),
     )
     by_suffix = F.filter(names, lambda n: (F.lower(n) == "id") | F.lower(n).endswith("_id"))
-    return F.slice(F.when(F.size(plain) > 0, plain).otherwise(by_suffix), 1, 2)
+    return F.when(F.size(plain) > 0, plain).otherwise(by_suffix)
 
 
 def statement_verb(text: Column) -> Column:

@@ -9,12 +9,31 @@ from pyspark.sql import types as T
 from driftgate.functions.hashing import hex_slice
 
 
+def exact_double_text(column: Column) -> Column:
+    """Text of a double that tells any two different numbers apart: sign, 53-bit mantissa and power of two.
+
+    Other engines can repeat it, since scaling by powers of two is exact; their shortest decimal texts differ.
+    """
+    x = column.cast("double")
+    size = F.abs(x)
+    near = F.floor(F.log2(size))
+    power = F.when(F.pow(F.lit(2.0), near) > size, near - 1).when(F.pow(F.lit(2.0), near + 1) <= size, near + 1).otherwise(near)
+    mantissa = (size / F.pow(F.lit(2.0), power) * F.lit(float(1 << 52))).cast("bigint")
+    sign = F.when(x < 0, "-").otherwise("")
+    infinite = size == float("inf")
+    return (
+        F.when(F.isnan(x), "nan").when(infinite, F.concat(sign, F.lit("inf"))).when(x == 0, "0")
+        .when(x.isNotNull(), F.concat(sign, mantissa.cast("string"), F.lit("p"), power.cast("string")))
+    )
+
+
 def canonical_value(column: Column, kind: T.DataType) -> Column:
-    """Text of a value that does not depend on how an engine prints numbers or times."""
-    if isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
-        scale = max(6, kind.scale) if isinstance(kind, T.DecimalType) else 6
+    """Text of a value that does not depend on how an engine prints numbers or times, and loses nothing."""
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return exact_double_text(column)
+    if isinstance(kind, T.DecimalType):
         # values beyond 38 digits keep their own text instead of failing or vanishing
-        fixed = column.try_cast(f"decimal(38,{scale})").cast("string")
+        fixed = column.try_cast(f"decimal(38,{max(6, kind.scale)})").cast("string")
         return F.coalesce(fixed, column.cast("string"))
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
@@ -23,6 +42,11 @@ def canonical_value(column: Column, kind: T.DataType) -> Column:
     return column.cast("string")
 
 
+def shown_value(column: Column, kind: T.DataType) -> Column:
+    """Text of a value for people: as canonical, but doubles in their usual decimal form."""
+    return column.cast("string") if isinstance(kind, (T.FloatType, T.DoubleType)) else canonical_value(column, kind)
+
+
 def canonical_row(df: DataFrame, columns: list[str] | None = None) -> Column:
     """JSON text of a row: keys sorted, every value a string or null."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
@@ -31,11 +55,35 @@ def canonical_row(df: DataFrame, columns: list[str] | None = None) -> Column:
     return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
 
 
-def row_bytes(df: DataFrame) -> Column:
+def text_bytes(df: DataFrame) -> Column:
     """Size of a row as the UTF-8 bytes of its canonical text."""
     return F.octet_length(canonical_row(df)).cast("bigint")
 
 
+_WIDTHS = {
+    T.ByteType: 1, T.BooleanType: 1, T.ShortType: 2, T.IntegerType: 4, T.FloatType: 4, T.DateType: 4, T.LongType: 8, T.DoubleType: 8,
+    T.TimestampType: 8, T.TimestampNTZType: 8, T.DecimalType: 16,
+}
+
+
+def value_bytes(column: Column, kind: T.DataType) -> Column:
+    """Bytes of a value: its width, or the bytes of its text; 0 for null."""
+    if type(kind) in _WIDTHS:
+        size = F.when(column.isNotNull(), F.lit(_WIDTHS[type(kind)]))
+    elif isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(column)
+    elif isinstance(kind, T.ArrayType) and type(kind.elementType) in _WIDTHS:
+        size = F.when(column.isNotNull(), F.size(column) * _WIDTHS[type(kind.elementType)])
+    else:
+        size = F.octet_length(F.to_json(column))
+    return F.coalesce(size, F.lit(0)).cast("bigint")
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """Size of a row: the sum of its values' bytes. No text is made of numbers, so only long columns are looked at."""
+    return sum((value_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0).cast("bigint"))
+
+
 def row_hash(df: DataFrame, method: str = "xxhash64", columns: list[str] | None = None) -> Column:
     """Fingerprint of a row as a bigint.
 
@@ -109,7 +157,7 @@ def row_diff(
     entries = []
     for name, (left, left_kind), (right, right_kind), same in _compared(edge, target, blank_is_null):
         values = F.struct(
-            canonical_value(left, left_kind).alias("edge"), canonical_value(right, right_kind).alias("target")
+            shown_value(left, left_kind).alias("edge"), shown_value(right, right_kind).alias("target")
         )
         entries.append(F.when(~same, F.struct(F.lit(name).alias("key"), values.alias("value"))))
     return F.map_from_entries(F.array_compact(F.array(*entries)))

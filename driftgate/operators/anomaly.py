@@ -59,22 +59,18 @@ def scaler(df: DataFrame, features: Sequence[str]) -> DataFrame:
 def _subsamples(df: DataFrame, features: Sequence[str], key: str, rows: int, trees: int, size: int, seed: int) -> DataFrame:
     """Up to ``size`` rows per tree, chosen by hashes of key and seed so that they repeat.
 
-    For a long table one draw per row decides both whether it is used and for
-    which tree; a short one is drawn once per tree, so that trees overlap.
+    Every row draws once for each tree and goes only into the trees it is drawn for, about twice the subsample a tree;
+    of these the lowest draws stay. So trees overlap in the same way at any number of rows.
     """
     identity = F.col(key).cast("string")
     narrow = df.select(identity.alias("_key"), *[F.col(f).cast("double").alias(f) for f in features])
     chance = min(1.0, 2.0 * size / max(rows, 1))
-    if chance * trees < 0.25:
-        u = uniform_draw(F.concat_ws(":", "_key", F.lit(f"pick{seed}")), "xxhash64")
-        chosen = narrow.withColumn("_u", u).where(F.col("_u") < chance * trees)
-        drawn = chosen.withColumn("tree", F.floor(F.col("_u") / chance).cast("int")).drop("_u")
-        rank = uniform_draw(F.concat_ws(":", "_key", F.lit(f"rank{seed}")), "xxhash64")
-        drawn = drawn.withColumn("_rank", rank)
-    else:
-        spread = narrow.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        spread = spread.withColumn("_rank", uniform_draw(F.concat_ws(":", "_key", F.col("tree").cast("string"), F.lit(str(seed))), "xxhash64"))
-        drawn = spread.where(F.col("_rank") < chance)
+
+    def draw(tree: Column) -> Column:
+        return uniform_draw(F.concat_ws(":", F.col("_key"), tree.cast("string"), F.lit(str(seed))), "xxhash64")
+
+    drawn_for = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < chance)
+    drawn = narrow.withColumn("tree", F.explode(drawn_for)).withColumn("_rank", draw(F.col("tree")))
     nearest = Window.partitionBy("tree").orderBy("_rank", "_key")  # about twice the subsample per tree
     return drawn.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") <= size)
 

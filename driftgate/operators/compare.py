@@ -34,6 +34,7 @@ def shadow_compare(
     sample_rate: float = 1.0,
     table: str | None = None,
     critical: Sequence[str] = (),
+    detail_chars: int | None = None,
 ) -> DataFrame:
     """Compare rows by key and classify each difference A (hard), B (soft), C (timing) or NONE.
 
@@ -70,7 +71,7 @@ def shadow_compare(
     verdict = classify_divergence(
         F.col(op), F.col("_has_edge"), F.col("_has_target"), F.col("diff"), F.col(edge_ms), F.col(target_ms),
         hard=F.col("_hard"), soft=F.col("_soft"),
-        sampled=None if sample_rate >= 1.0 else kept,
+        sampled=None if sample_rate >= 1.0 else kept, detail_chars=detail_chars,
     )
     named = F.lit(table) if table is not None else F.lit(None).cast("string")
     return staged.select(
@@ -95,10 +96,12 @@ def classify_divergence(
     hard: Column | None = None,
     soft: Column | None = None,
     sampled: Column | None = None,
+    detail_chars: int | None = None,
 ) -> Column:
     """Class and explanation of one comparison as a struct with ``class`` and ``details``.
 
-    ``hard`` says whether values differ; without it a non-empty ``diff`` does.
+    ``hard`` says whether values differ; without it a non-empty ``diff`` does. The differing values stand in the details
+    as JSON; ``detail_chars`` cuts that text, which then is no JSON any more.
     """
     if hard is None:
         hard = F.coalesce(F.size(diff) > 0, F.lit(False))
@@ -110,7 +113,8 @@ def classify_divergence(
     deleted = F.upper(op) == "DELETE"
     neither = ~has_edge & ~has_target
     slow = (edge_ms > 0) & (target_ms > edge_ms * V.TIMING_FACTOR)
-    values = F.concat(F.lit(V.MSG_VALUES_PREFIX), F.left(F.to_json(diff, {"ignoreNullFields": "false"}), F.lit(V.DETAIL_CHARS)))
+    listed = F.to_json(diff, {"ignoreNullFields": "false"})
+    values = F.concat(F.lit(V.MSG_VALUES_PREFIX), listed if detail_chars is None else F.left(listed, F.lit(detail_chars)))
     answer = (
         F.when(deleted & neither, verdict("NONE", V.MSG_BOTH_DELETED))
         .when(deleted & ~has_edge & has_target, verdict("A", V.MSG_DELETE_LEFT_ON_TARGET))

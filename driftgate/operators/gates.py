@@ -12,6 +12,7 @@ from driftgate.functions.clock import epoch_us
 from driftgate.functions.risk_rules import day_phase
 from driftgate.operators.prefix import running_scan
 from driftgate.operators.timeline import compare_to, trailing_window
+from driftgate.session import cut_lineage
 
 Rule = tuple[str, str, str, float]
 
@@ -174,8 +175,9 @@ def fire_alerts(
     A rule with a duration holds when every sample of the trailing duration
     breaks the limit and the samples span it. ``metrics`` is (entity, metric,
     value, ts); rules are grouped by duration, so there is one window per
-    distinct duration.
+    distinct duration. Samples of one time follow each other by value.
     """
+    metrics = cut_lineage(metrics.select(entity, "metric", "value", ts))  # read once for all durations
     parts = []
     for minutes in sorted({rule[6] for rule in rules}):
         mine = [r for r in rules if r[6] == minutes]
@@ -211,7 +213,7 @@ def fire_alerts(
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    seen = running_scan(every, [ts], {"_before": ("last", F.col("firing"))}, keys=[entity, "alert"], inclusive=False)
+    seen = running_scan(every, [ts, "value"], {"_before": ("last", F.col("firing"))}, keys=[entity, "alert"], inclusive=False)
     starts = seen.where(F.col("firing") & ~F.coalesce("_before", F.lit(False)))
     return starts.select(entity, "alert", "metric", "severity", "ack_minutes", "value", ts)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,14 +57,15 @@ def fk_check(tables: dict[str, DataFrame], keys: Sequence[ForeignKey]) -> DataFr
     return result
 
 
-def fk_levels(edges: DataFrame, tables: DataFrame | None = None, max_rounds: int = 1000) -> DataFrame:
+def fk_levels(edges: DataFrame, tables: DataFrame | None = None, max_rounds: int | None = None) -> DataFrame:
     """Processing level per table: parents before children, longest path counts.
 
     ``edges`` has from_table (child) and to_table (parent). Every round settles
     the tables whose parents are all settled and takes their edges away; each
     round's small remainder is checkpointed. Tables on a cycle, or below one, are
     never settled and come back with a null level. References of a table to itself
-    are left out. Tables without edges get level 0.
+    are left out. Tables without edges get level 0. There are as many rounds as
+    levels; if ``max_rounds`` does not suffice, that is an error and no cycle.
     """
     pairs = edges.where(F.col("from_table") != F.col("to_table")).select("from_table", "to_table").distinct()
     nodes = edges.select(F.col("from_table").alias("table_name")).unionByName(
@@ -75,12 +77,14 @@ def fk_levels(edges: DataFrame, tables: DataFrame | None = None, max_rounds: int
     left = cut_lineage(pairs)
     waiting = nodes
     settled: DataFrame | None = None
-    for level in range(max_rounds):
+    for level in count():
         children = left.select(F.col("from_table").alias("table_name")).distinct()
         ready = waiting.join(children, "table_name", "left_anti").withColumn("level", F.lit(level))
         ready = cut_lineage(ready)
         if ready.isEmpty():
             break
+        if max_rounds is not None and level >= max_rounds:
+            raise ValueError(f"the references are more than {max_rounds} levels deep")
         settled = ready if settled is None else settled.unionByName(ready)
         done = ready.select(F.col("table_name").alias("to_table"))
         left = cut_lineage(left.join(done, "to_table", "left_anti"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,7 +19,25 @@ FANOUT = 16
 _HASH_LEAVES = 1 << 20
 
 
-def leaf_of(df: DataFrame, pk: str | list[str], leaf_rows: int = LEAF_ROWS, leaves: int = _HASH_LEAVES) -> Column:
+@dataclass(frozen=True)
+class LeafRule:
+    """How rows are dealt to leaves; both trees of a comparison and the repair must use the same."""
+
+    pk: str | tuple[str, ...]
+    leaf_rows: int = LEAF_ROWS
+    leaves: int = _HASH_LEAVES
+    fanout: int = FANOUT
+
+
+class MerkleTree(list):
+    """Levels from the leaves up to the single root, with the rule they were made by."""
+
+    def __init__(self, levels: list[DataFrame], rule: LeafRule):
+        super().__init__(levels)
+        self.rule = rule
+
+
+def leaf_of(df: DataFrame, pk: str | Sequence[str], leaf_rows: int = LEAF_ROWS, leaves: int = _HASH_LEAVES) -> Column:
     """Leaf number of each row: a key range, or a hash bucket for other kinds of key."""
     keys = [pk] if isinstance(pk, str) else list(pk)
     if len(keys) == 1 and isinstance(df.schema[keys[0]].dataType, T.IntegralType):
@@ -63,23 +84,46 @@ def _parents(children: DataFrame, parent: Column) -> DataFrame:
     return grouped.select(F.col("_parent").alias("node"), "row_count", digest.alias("digest"))
 
 
-def merkle_tree(df: DataFrame, pk, leaf_rows: int = LEAF_ROWS, fanout: int = FANOUT, method: str = "xxhash64") -> list[DataFrame]:
+def merkle_tree(
+    df: DataFrame, pk, leaf_rows: int = LEAF_ROWS, fanout: int = FANOUT, method: str = "xxhash64", leaves: int = _HASH_LEAVES
+) -> MerkleTree:
     """Tree of a table whose leaves are cut from their lineage, so the table is read once."""
-    return merkle_build(cut_lineage(merkle_leaves(df, pk, leaf_rows, method)), fanout)
+    rule = LeafRule(pk if isinstance(pk, str) else tuple(pk), leaf_rows, leaves, fanout)
+    return MerkleTree(merkle_build(cut_lineage(merkle_leaves(df, pk, leaf_rows, method, leaves)), fanout), rule)
+
+
+def _same_height(a: list[DataFrame], b: list[DataFrame], fanout: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Both trees with as many levels as the higher one: the other gets further parents below its root."""
+    rules = {t.rule for t in (a, b) if isinstance(t, MerkleTree)}
+    if len(rules) > 1:
+        raise ValueError("the trees deal rows to leaves by different rules")
+
+    def grown(tree: list[DataFrame], levels: int) -> list[DataFrame]:
+        if len(tree) == levels:
+            return list(tree)
+        inner = list(tree[:-1])
+        while len(inner) < levels - 1:
+            inner.append(_parents(inner[-1], slot_of(F.col("node"), fanout)))
+        return [*inner, _parents(inner[-1], F.lit(0).cast("bigint"))]
+
+    levels = max(len(a), len(b))
+    return grown(a, levels), grown(b, levels)
 
 
 def merkle_diff(
-    a: list[DataFrame], b: list[DataFrame], fanout: int = FANOUT, through: tuple[int, ...] = (2,)
+    a: list[DataFrame], b: list[DataFrame], fanout: int | None = None, through: tuple[int, ...] = (2,)
 ) -> DataFrame:
     """Leaves that differ: (node, source_rows, target_rows), found from above.
 
     ``through`` names the levels compared before the leaves, highest first; only
     what lies below a differing node is looked at next. One level of 256 leaves a
     node prunes nearly as well as all of them and costs one join instead of many;
-    name more when the levels are stored tables.
+    name more when the levels are stored tables. Trees may differ in height, as
+    when one side lacks the end of the table. The fan-out is that of the trees,
+    and has to be given for plain lists of levels with another than the default.
     """
-    if len(a) != len(b):
-        raise ValueError("trees of different height; pass the same levels to merkle_build")
+    fanout = fanout or _fanout(a, b)
+    a, b = _same_height(a, b, fanout)
     dirty: DataFrame | None = None
     above = 0
     for level in [*[n for n in through if 0 < n < len(a) - 1], 0]:
@@ -91,8 +135,13 @@ def merkle_diff(
     return dirty
 
 
-def roots_match(a: list[DataFrame], b: list[DataFrame]) -> DataFrame:
+def _fanout(*trees: list[DataFrame]) -> int:
+    return next((t.rule.fanout for t in trees if isinstance(t, MerkleTree)), FANOUT)
+
+
+def roots_match(a: list[DataFrame], b: list[DataFrame], fanout: int | None = None) -> DataFrame:
     """One row: whether the two trees have the same root."""
+    a, b = _same_height(a, b, fanout or _fanout(a, b))
     return compare_nodes(a[-1], b[-1]).agg((F.count(F.lit(1)) == 0).alias("roots_match"))
 
 
@@ -125,13 +174,24 @@ def divergence_pct(source_leaves: DataFrame, target_leaves: DataFrame) -> DataFr
     return counted.select("leaves", "dirty_leaves", F.round(pct, 6).alias("divergence_pct"))
 
 
-def repair_blocks(source: DataFrame, target: DataFrame, dirty: DataFrame, pk, leaf_rows: int = LEAF_ROWS) -> DataFrame:
-    """Target with every differing leaf replaced by the source's rows of that leaf."""
+def repair_blocks(
+    source: DataFrame, target: DataFrame, dirty: DataFrame, pk, leaf_rows: int = LEAF_ROWS, leaves: int = _HASH_LEAVES
+) -> DataFrame:
+    """Target with every differing leaf replaced by the source's rows of that leaf.
+
+    ``leaf_rows`` and ``leaves`` are those the leaves were made with; ``repair`` takes them from the trees.
+    """
     wanted = dirty.select(F.col("node").alias("_wanted"))
-    fresh = source.withColumn("_leaf", leaf_of(source, pk, leaf_rows)).join(
+    fresh = source.withColumn("_leaf", leaf_of(source, pk, leaf_rows, leaves)).join(
         wanted, F.col("_leaf") == F.col("_wanted"), "left_semi"
     )
-    kept = target.withColumn("_leaf", leaf_of(target, pk, leaf_rows)).join(
+    kept = target.withColumn("_leaf", leaf_of(target, pk, leaf_rows, leaves)).join(
         wanted, F.col("_leaf") == F.col("_wanted"), "left_anti"
     )
     return kept.drop("_leaf").unionByName(fresh.drop("_leaf"))
+
+
+def repair(source: DataFrame, target: DataFrame, source_tree: MerkleTree, target_tree: MerkleTree) -> DataFrame:
+    """Target with every leaf in which the trees differ replaced by the source's rows."""
+    rule = source_tree.rule
+    return repair_blocks(source, target, merkle_diff(source_tree, target_tree), rule.pk, rule.leaf_rows, rule.leaves)

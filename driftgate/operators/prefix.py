@@ -1,92 +1,35 @@
 """Running aggregates over one long ordered log without sorting it in one task.
 
 A window without a partition key puts every row in one task, and a window per
-key does the same to a key that holds a third of the rows. Here the order
-column is cut into ranges at its own quantiles. Each range is aggregated first
-(with map-side combine), the small table of range totals is accumulated, and
-every range then finishes on its own. Ranges never change the answer, they only
-spread the work, so a rerun of a lost task cannot disagree with its neighbours.
+key does the same to a key that holds a third of the rows. Here the rows are
+range-partitioned on the whole order, once, and stored with the number of their
+range. Each range is aggregated first (with map-side combine), the small table
+of range totals is accumulated, and every range then finishes on its own. The
+stored rows keep the ranges fixed, so a rerun of a lost task cannot disagree
+with its neighbours.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from driftgate.functions.clock import epoch_us
-
-_MAX_RANGES = 4096
-
-
-def _sortable(df: DataFrame, name: str) -> Column:
-    kind = df.schema[name].dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return epoch_us(name).cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(F.col(name)).cast("double")
-    if isinstance(kind, T.NumericType):
-        return F.col(name).cast("double")
-    raise TypeError(f"cannot cut ranges on {name}: {kind.simpleString()}")
-
-
-def _cuts(values: list[float] | None) -> list[float]:
-    return sorted(set(values or []))
-
-
-def _position(value: Column, cuts: list[float]) -> Column:
-    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= value))
+from driftgate.session import cut_lineage
 
 
 def add_order_ranges(df: DataFrame, order: Sequence[str], ranges: int | None = None) -> DataFrame:
-    """Add ``_range`` and ``_subrange``: consecutive slices of the order.
+    """Add ``_range``: consecutive slices of the order, of about equal size.
 
-    One narrow pass finds the quantiles of the first order column; a value so
-    frequent that it fills whole slices is cut again on the second column. Only
-    the cut points (at most ``ranges`` numbers) reach the driver.
+    Any orderable columns will do. Spark samples the whole order for its bounds, so a crowded first column is cut on
+    the next one; rows equal in all of ``order`` stay together. The rows are read once for the bounds and once to be
+    dealt out, and are then checkpointed: what follows reads that.
     """
-    spark = df.sparkSession
     if ranges is None:
-        ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(2, min(ranges, _MAX_RANGES))
-    first = F.coalesce(_sortable(df, order[0]), F.lit(float("-inf")))
-    points = [i / ranges for i in range(1, ranges)]
-    found = df.select(
-        F.percentile_approx(first, points, 10_000).alias("cuts")
-    ).first()["cuts"]
-    cuts = [c for c in _cuts(found) if c > float("-inf")]
-    ranged = df.withColumn("_order_value", first)
-    splits = [float("-inf")] + cuts + [float("inf")]
-    if len(splits) < 3:
-        splits = [float("-inf"), 0.0, float("inf")]
-    ranged = Bucketizer(
-        splits=splits, inputCol="_order_value", outputCol="_range", handleInvalid="keep"
-    ).transform(ranged)
-    crowded = sorted({c for c in cuts if (found or []).count(c) > 1})
-    sub = F.lit(0)
-    if crowded and len(order) > 1:
-        second = F.coalesce(_sortable(df, order[1]), F.lit(float("-inf")))
-        rows = (
-            df.where(first.isin(crowded))
-            .groupBy(first.alias("value"))
-            .agg(F.percentile_approx(second, points, 10_000).alias("cuts"))
-            .collect()
-        )
-        for row in rows:
-            inner = _cuts(row["cuts"])
-            sub = F.when(F.col("_order_value") == row["value"], _position(second, inner)).otherwise(sub)
-        # rows after the crowded value stay behind every slice of it
-        above = F.lit(False)
-        for value in crowded:
-            upper = min((c for c in cuts if c > value), default=float("inf"))
-            above = above | (
-                (F.col("_order_value") > value) & (F.col("_order_value") < upper)
-            )
-        sub = F.when(above, F.lit(ranges + 1)).otherwise(sub)
-    return ranged.withColumn("_subrange", sub.cast("int")).drop("_order_value")
+        ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(max(2, ranges), *order)
+    return cut_lineage(dealt.withColumn("_range", F.spark_partition_id()))
 
 
 def _total(kind: str, column: Column, order: Sequence[str]) -> Column:
@@ -137,7 +80,7 @@ def running_scan(
     inputs = {name: f"_in_{name}" for name in measures}
     staged = df.select("*", *[column.alias(inputs[n]) for n, (_, column) in measures.items()])
     staged = add_order_ranges(staged, order, ranges)
-    slices = ["_range", "_subrange"]
+    slices = ["_range"]
     totals = staged.groupBy(*keys, *slices).agg(
         *[_total(kind, F.col(inputs[n]), order).alias(f"_sum_{n}") for n, (kind, _) in measures.items()]
     )

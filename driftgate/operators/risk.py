@@ -12,7 +12,6 @@ from driftgate.functions.risk_rules import (
 )
 from driftgate.operators.prefix import running_scan
 
-EXACT_PERCENTILE_DRAWS = 1_000_000
 _BLOCK = 1_000
 
 
@@ -73,16 +72,15 @@ def evaluate_risk(
     unit_fix: bool = False,
     stop_when_done: bool = True,
     method: str = "xxhash64",
+    percentiles: str = "exact",
 ) -> DataFrame:
     """Cost distribution and verdict per state.
 
-    Exact interpolated percentiles up to a million draws a state, a bounded
-    sketch beyond. ``stop_when_done`` gives no horizon once all bytes are moved.
+    ``percentiles`` is "exact" (interpolated; every draw of a state is held) or
+    "sketch" (bounded, for very many draws), whatever the number of draws. ``stop_when_done`` gives no horizon once all bytes are moved.
     """
     points = [0.05, 0.5, 0.95, 0.99]
-    found = (
-        F.percentile("cost", points) if n <= EXACT_PERCENTILE_DRAWS else F.percentile_approx("cost", points, 10_000)
-    )
+    found = {"exact": F.percentile("cost", points), "sketch": F.percentile_approx("cost", points, 10_000)}[percentiles]
     needed = states.select(state, "bytes_done", "write_rate", "lag_seconds", "merkle_seconds", "std_gbps")
     costs = simulate_cost(needed, n, seed, state, unit_fix, method).groupBy(state).agg(
         found.alias("_p"), F.avg("cost").alias("_mean"), F.stddev_pop("cost").alias("_std")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from driftgate import fixed_values as V
 from driftgate.functions.clock import HOUR_US, epoch_us
+from driftgate.operators.asof import nearest_by_key
 from driftgate.operators.prefix import running_scan
 
 
@@ -89,28 +90,16 @@ def as_long(wide: DataFrame, entity: str, names: Sequence[str]) -> DataFrame:
     return wide.select(F.col(entity).alias("entity"), F.explode(pairs).alias("_m")).select("entity", "_m.*")
 
 
-def _near(events: DataFrame, metrics: DataFrame, at: str, ts: str, key: str, before_us: int, after_us: int) -> DataFrame:
-    """Samples of the same series around each event: an equi join on series and hour, then the exact span."""
-    start, end = epoch_us(at) - before_us, epoch_us(at) + after_us
-    hours = F.sequence(F.floor(start / HOUR_US), F.floor(end / HOUR_US))
-    wanted = events.withColumn("_hour", F.explode(hours))
-    samples = metrics.withColumn("_hour", F.floor(epoch_us(ts) / HOUR_US))
-    joined = wanted.join(samples, [key, "_hour"])
-    return joined.where((epoch_us(ts) >= start) & (epoch_us(ts) <= end)).drop("_hour")
-
-
 def time_to_recovery(
     faults: DataFrame, metrics: DataFrame, fault_id: str, cleared_at: str, ts: str, key: str,
     window_seconds: float, lag_limit: float = 30.0, divergence_limit: float = 0.001,
 ) -> DataFrame:
     """First healthy sample after each fault clears, inside its recovery window."""
-    healthy = (F.col("lag_seconds") < lag_limit) & (F.col("divergence_pct") <= divergence_limit)
-    found = _near(faults, metrics, cleared_at, ts, key, 0, int(window_seconds * 1e6)).groupBy(fault_id).agg(
-        F.min(F.when(healthy, epoch_us(ts) - epoch_us(cleared_at))).alias("_us")
-    )
-    return faults.join(found, fault_id, "left").select(
-        *faults.columns, F.round(F.col("_us") / 1e6, 3).alias("recovery_seconds"), F.col("_us").isNotNull().alias("recovered")
-    )
+    healthy = metrics.where((F.col("lag_seconds") < lag_limit) & (F.col("divergence_pct") <= divergence_limit))
+    found = nearest_by_key(faults, healthy, key, epoch_us(cleared_at), epoch_us(ts), F.lit(0), "_next", "forward")
+    waited = F.col("_next.at") - epoch_us(cleared_at)
+    waited = F.when(waited <= int(window_seconds * 1e6), waited)
+    return found.select(*faults.columns, F.round(waited / 1e6, 3).alias("recovery_seconds"), waited.isNotNull().alias("recovered"))
 
 
 def lag_shift(
@@ -118,14 +107,13 @@ def lag_shift(
     before_seconds: float, after_seconds: float, limit: float = 30.0,
 ) -> DataFrame:
     """Last lag before and after a change, and whether it moved by less than ``limit``."""
-    near = _near(changes, metrics, changed_at, ts, key, int(before_seconds * 1e6), int(after_seconds * 1e6))
-    earlier = epoch_us(ts) <= epoch_us(changed_at)
-    found = near.groupBy(change_id).agg(
-        F.max_by("lag_seconds", F.when(earlier, F.col(ts))).alias("lag_before"),
-        F.max_by("lag_seconds", F.when(~earlier, F.col(ts))).alias("lag_after"),
-    )
-    delta = F.abs(F.col("lag_after") - F.col("lag_before"))
-    return changes.join(found, change_id, "left").select(
-        *changes.columns, "lag_before", "lag_after", F.round(delta, 6).alias("lag_delta"),
+    at, until = epoch_us(changed_at), epoch_us(changed_at) + int(after_seconds * 1e6)
+    found = nearest_by_key(changes, metrics, key, at, epoch_us(ts), F.col("lag_seconds"), "_earlier")
+    found = nearest_by_key(found, metrics, key, until, epoch_us(ts), F.col("lag_seconds"), "_later")
+    before = F.when(F.col("_earlier.at") >= at - int(before_seconds * 1e6), F.col("_earlier.value"))
+    after = F.when(F.col("_later.at") > at, F.col("_later.value"))
+    delta = F.abs(after - before)
+    return found.select(
+        *changes.columns, before.alias("lag_before"), after.alias("lag_after"), F.round(delta, 6).alias("lag_delta"),
         F.coalesce(delta < limit, F.lit(False)).alias("stable"),
     )

@@ -121,8 +121,8 @@ def connection_stats(sessions: DataFrame, max_connections: int) -> DataFrame:
     )
 
 
-def write_attempts(log: DataFrame, cutover: Column, n: int | None = 10, ts: str = "ts") -> DataFrame:
-    """Latest write statements after the cutover, newest first."""
+def write_attempts(log: DataFrame, cutover: Column, n: int | None = None, ts: str = "ts") -> DataFrame:
+    """Write statements after the cutover, newest first; the latest ``n`` if given."""
     after = log.where(statement_verb(F.col("statement")).isin(*WRITE_VERBS) & (F.col(ts) > cutover))
     shown = after.select(ts, "client", statement_preview(F.col("statement")).alias("preview"))
     ordered = shown.orderBy(F.desc(ts), "client")

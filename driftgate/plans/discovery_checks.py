@@ -10,13 +10,15 @@ from driftgate.functions import changes
 from driftgate.functions.hashing import hmac_sha256, key_fingerprint
 from driftgate.operators import compare, keys, redact, snapshot, traffic
 from driftgate.operators.keys import ForeignKey
-from driftgate.plans.inputs import canonical_sql
 from driftgate.plans.registry import check, table
 from driftgate.sources import corpus, metadata
 
 KEY = b"0123456789abcdef0123456789abcdef"
 
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "conversations"]
+TABLES = [
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark",
+    "labels", "conversations",
+]
 FOREIGN_KEYS = [
     ForeignKey("customer", "c_nationkey", "nation", "n_nationkey", "fk_customer_nation"),
     ForeignKey("nation", "n_regionkey", "region", "r_regionkey", "fk_nation_region"),
@@ -43,6 +45,10 @@ _COLUMNS = {
                  "l_linestatus:string", "l_shipdate:timestamp_ntz"],
     "events": ["event_id:bigint", "ts:timestamp_ntz", "user_id:bigint", "event_type:string", "value:double", "props:string"],
     "documents": ["doc_id:bigint", "text:string", "lang:string", "source:string", "n_chars:bigint"],
+    "embeddings": ["vec_id:bigint", "embedding:array<float>", "label:int"],
+    "pages": ["page_id:bigint", "url:string", "html:string"],
+    "benchmark": ["item_id:bigint", "text:string"],
+    "labels": ["doc_id:bigint", "quality:int", "toxic:int"],
     "conversations": ["conv_id:bigint", "turn:bigint", "role:string", "text:string"],
 }
 
@@ -60,21 +66,24 @@ def _columns_sql() -> str:
     return "cols AS (" + " UNION ALL ".join(parts) + ")"
 
 
-def _text_sql(kind: str, column: str) -> str:
-    if kind == "double":
-        return f"CAST(CAST({column} AS DECIMAL(38,6)) AS VARCHAR)"
-    if kind == "timestamp_ntz":
-        return f"strftime({column}, '%Y-%m-%d %H:%M:%S.%f')"
-    return f"CAST({column} AS VARCHAR)"
+_WIDTH_SQL = {"int": 4, "bigint": 8, "double": 8, "timestamp_ntz": 8}
+
+
+def _size_sql(kind: str, column: str) -> str:
+    if kind == "string":
+        return f"coalesce(octet_length(encode({column})), 0)"
+    if kind == "array<float>":
+        return f"coalesce(len({column}) * 4, 0)"
+    return f"CASE WHEN {column} IS NULL THEN 0 ELSE {_WIDTH_SQL[kind]} END"
 
 
 def _sizes_sql() -> str:
     parts = []
-    for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
-        text = canonical_sql({c.split(":")[0]: _text_sql(c.split(":")[1], c.split(":")[0]) for c in _COLUMNS[name]})
+    for name in TABLES:
+        size = " + ".join(_size_sql(kind, f'"{column}"') for column, kind in (c.split(":") for c in _COLUMNS[name]))
         parts.append(
-            f"""SELECT '{name}' AS table_name, count(*) AS row_count, CAST(sum(octet_length(encode({text}))) AS BIGINT) AS data_bytes,
-                round(avg(octet_length(encode({text}))), 2) AS avg_row_bytes FROM {name}"""
+            f"""SELECT '{name}' AS table_name, count(*) AS row_count, CAST(sum({size}) AS BIGINT) AS data_bytes,
+                round(avg({size}), 2) AS avg_row_bytes FROM {name}"""
         )
     return "sizes AS (" + " UNION ALL ".join(parts) + ")"
 
@@ -88,9 +97,7 @@ def _tables(spark, folder, names=TABLES) -> dict[str, DataFrame]:
 
 
 def _sizes(spark, folder) -> DataFrame:
-    return metadata.profile_tables(
-        _tables(spark, folder, ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"])
-    )
+    return metadata.profile_tables(_tables(spark, folder))
 
 
 def _columns(spark, folder) -> DataFrame:
@@ -567,7 +574,7 @@ def busiest_tables(spark, folder) -> DataFrame:
 )
 def write_attempts(spark, folder) -> DataFrame:
     """A top-k report: the ten latest writes after the cutover."""
-    found = traffic.write_attempts(query_log(spark, folder), F.to_timestamp_ntz(F.lit("2024-01-15 00:00:00")))
+    found = traffic.write_attempts(query_log(spark, folder), F.to_timestamp_ntz(F.lit("2024-01-15 00:00:00")), n=10)
     return found.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"), "client", "preview")
 
 

@@ -74,12 +74,20 @@ def canonical_sql(columns: dict[str, str]) -> str:
     return "'{' || " + " || ',' || ".join(parts) + " || '}'"
 
 
+def double_text_sql(x: str) -> str:
+    """SQL for the lossless text of a double: sign, mantissa, power of two."""
+    near = f"floor(log2(abs({x})))"
+    power = f"(CASE WHEN pow(2.0::DOUBLE, {near}) > abs({x}) THEN {near} - 1 WHEN pow(2.0::DOUBLE, {near} + 1) <= abs({x}) THEN {near} + 1 ELSE {near} END)"
+    mantissa = f"CAST(abs({x}) / pow(2.0::DOUBLE, {power}) * 4503599627370496.0::DOUBLE AS BIGINT)"
+    return f"(CASE WHEN {x} = 0 THEN '0' ELSE (CASE WHEN {x} < 0 THEN '-' ELSE '' END) || {mantissa} || 'p' || CAST({power} AS BIGINT) END)"
+
+
 ORDERS_TEXT = canonical_sql(
     {
         "o_orderkey": "CAST(o_orderkey AS VARCHAR)",
         "o_custkey": "CAST(o_custkey AS VARCHAR)",
         "o_orderstatus": "o_orderstatus",
-        "o_totalprice": "CAST(CAST(o_totalprice AS DECIMAL(38,6)) AS VARCHAR)",
+        "o_totalprice": double_text_sql("o_totalprice"),
         "o_orderdate": "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f')",
         "o_orderpriority": "o_orderpriority",
     }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftgate import fixed_values as V
 from driftgate.functions import risk_rules
 from driftgate.functions.clock import instant_us
 from driftgate.operators import pricing, risk
@@ -14,18 +15,21 @@ from driftgate.plans.registry import check, table
 
 _HOUR = 3_600_000_000
 
-# --- states: one migration run per user ------------------------------------
+# --- states: one migration run per group of users; the number of draws is the documented one ---
 
-STATES_SQL = """st AS (
-    SELECT user_id AS state_id, CAST(100000000000 AS BIGINT) AS total_bytes, count(*) * 1000000000 AS bytes_done,
+DRAWS = V.SIMULATIONS
+_GROUPS = 50
+
+STATES_SQL = f"""st AS (
+    SELECT user_id % {_GROUPS} AS state_id, CAST(100000000000 AS BIGINT) AS total_bytes, count(*) * 1000000000 AS bytes_done,
            CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) * 20000 AS write_rate, max(value) / 100 AS lag_seconds,
-           300.0::DOUBLE AS merkle_seconds, 1.0::DOUBLE AS mean_gbps, 0.1::DOUBLE * (1 + user_id % 3) AS std_gbps
-    FROM events GROUP BY user_id)"""
+           300.0::DOUBLE AS merkle_seconds, 1.0::DOUBLE AS mean_gbps, 0.1::DOUBLE * (1 + (user_id % {_GROUPS}) % 3) AS std_gbps
+    FROM events GROUP BY user_id % {_GROUPS})"""
 
 
 def states(spark, folder) -> DataFrame:
-    user = F.col("user_id")
-    return table(spark, folder, "events").groupBy(user.alias("state_id")).agg(
+    group = F.col("user_id") % _GROUPS
+    return table(spark, folder, "events").groupBy(group.alias("state_id")).agg(
         F.lit(100_000_000_000).cast("bigint").alias("total_bytes"), (F.count(F.lit(1)) * 1_000_000_000).alias("bytes_done"),
         (F.sum(F.col("value").cast("decimal(18,2)")).cast("double") * 20_000).alias("write_rate"),
         (F.max("value") / 100).alias("lag_seconds"),
@@ -56,11 +60,11 @@ _VERDICT = [
 
 @check(
     "sim1_cost_draws",
-    f"""WITH {STATES_SQL}, {cost_sql('st', 1500)} SELECT state_id, count(*) AS n_draws, round(min(cost), 4) AS lowest,
+    f"""WITH {STATES_SQL}, {cost_sql('st', DRAWS)} SELECT state_id, count(*) AS n_draws, round(min(cost), 4) AS lowest,
         round(max(cost), 4) AS highest, round(avg(cost), 4) AS mean FROM costs GROUP BY 1""",
 )
 def cost_draws(spark, folder) -> DataFrame:
-    return risk.simulate_cost(states(spark, folder), 1500, method="md5").groupBy("state_id").agg(
+    return risk.simulate_cost(states(spark, folder), DRAWS, method="md5").groupBy("state_id").agg(
         F.count(F.lit(1)).alias("n_draws"), F.round(F.min("cost"), 4).alias("lowest"),
         F.round(F.max("cost"), 4).alias("highest"), F.round(F.avg("cost"), 4).alias("mean"),
     )
@@ -68,20 +72,20 @@ def cost_draws(spark, folder) -> DataFrame:
 
 @check(
     "sim1_cost_draws_unit_fix",
-    f"""WITH {STATES_SQL}, {cost_sql('st', 200, 7, per_hour=' * 450.0::DOUBLE')} SELECT state_id, round(avg(cost), 6) AS mean FROM costs GROUP BY 1""",
+    f"""WITH {STATES_SQL}, {cost_sql('st', DRAWS, 7, per_hour=' * 450.0::DOUBLE')} SELECT state_id, round(avg(cost), 6) AS mean FROM costs GROUP BY 1""",
 )
 def cost_draws_fixed(spark, folder) -> DataFrame:
-    drawn = risk.simulate_cost(states(spark, folder), 200, seed=7, unit_fix=True, method="md5")
+    drawn = risk.simulate_cost(states(spark, folder), DRAWS, seed=7, unit_fix=True, method="md5")
     return drawn.groupBy("state_id").agg(F.round(F.avg("cost"), 6).alias("mean"))
 
 
 @check(
     "sim2_evaluate_risk",
-    f"""WITH {STATES_SQL}, {cost_sql('st', 1500)}, q AS (SELECT state_id, quantile_cont(cost, [0.05, 0.5, 0.95, 0.99]) AS p FROM costs GROUP BY 1)
+    f"""WITH {STATES_SQL}, {cost_sql('st', DRAWS)}, q AS (SELECT state_id, quantile_cont(cost, [0.05, 0.5, 0.95, 0.99]) AS p FROM costs GROUP BY 1)
         SELECT state_id, {_VERDICT_SQL}, round(greatest(0, least(1, 1 - std_gbps / mean_gbps)), 3) AS network_health FROM st JOIN q USING (state_id)""",
 )
 def evaluate_risk(spark, folder) -> DataFrame:
-    return risk.evaluate_risk(states(spark, folder), 1500, method="md5").select("state_id", *_VERDICT, "network_health")
+    return risk.evaluate_risk(states(spark, folder), DRAWS, method="md5").select("state_id", *_VERDICT, "network_health")
 
 
 @check("sim2_evaluate_risk_fast_draws")
@@ -92,12 +96,12 @@ def evaluate_risk_fast(spark, folder) -> DataFrame:
 
 @check(
     "agg7_cost_percentiles",
-    f"""WITH {STATES_SQL}, {cost_sql('st', 1000, 3)} SELECT state_id, round(quantile_cont(cost, 0.05), 2) AS p5_usd, round(quantile_cont(cost, 0.5), 2) AS p50_usd,
+    f"""WITH {STATES_SQL}, {cost_sql('st', DRAWS, 3)} SELECT state_id, round(quantile_cont(cost, 0.05), 2) AS p5_usd, round(quantile_cont(cost, 0.5), 2) AS p50_usd,
         round(quantile_cont(cost, 0.95), 2) AS p95_usd, round(quantile_cont(cost, 0.99), 2) AS p99_usd, round(avg(cost), 2) AS mean_usd, round(stddev_pop(cost), 2) AS std_usd
         FROM costs GROUP BY 1""",
 )
 def cost_percentiles(spark, folder) -> DataFrame:
-    return risk.evaluate_risk(states(spark, folder), 1000, seed=3, method="md5").select(
+    return risk.evaluate_risk(states(spark, folder), DRAWS, seed=3, method="md5").select(
         "state_id", "p5_usd", "p50_usd", "p95_usd", "p99_usd", "mean_usd", "std_usd"
     )
 
@@ -107,22 +111,12 @@ def cost_percentiles(spark, folder) -> DataFrame:
     f"""WITH {STATES_SQL}, cp AS (SELECT state_id AS run_id, total_bytes, write_rate, mean_gbps, std_gbps, unnest([0.25, 0.5, 0.75, 0.9, 0.95, 1.0])::DOUBLE AS progress FROM st),
         cs AS (SELECT run_id || '@' || CAST(round(progress * 100) AS INTEGER) AS state_id, *, CAST(floor(total_bytes * progress) AS BIGINT) AS bytes_done,
                least(progress * 30, 120) AS lag_seconds, 300.0::DOUBLE AS merkle_seconds FROM cp),
-        {cost_sql('cs', 200, state='state_id')}, q AS (SELECT state_id, quantile_cont(cost, [0.05, 0.5, 0.95, 0.99]) AS p FROM costs GROUP BY 1)
+        {cost_sql('cs', DRAWS, state='state_id')}, q AS (SELECT state_id, quantile_cont(cost, [0.05, 0.5, 0.95, 0.99]) AS p FROM costs GROUP BY 1)
         SELECT state_id, {_VERDICT_SQL} FROM cs JOIN q USING (state_id)""",
 )
 def pre_migration_curve(spark, folder) -> DataFrame:
     runs = states(spark, folder).select(F.col("state_id").alias("run_id"), "total_bytes", "write_rate", "mean_gbps", "std_gbps")
-    return risk.pre_migration_estimate(runs, 200, method="md5").select("state_id", *_VERDICT)
-
-
-@check(
-    "joi9_states_by_draws",
-    f"WITH {STATES_SQL} SELECT state_id, count(*) AS n_draws, sum(draw)::BIGINT AS draw_sum FROM st, (SELECT unnest(range(2500)) AS draw) GROUP BY 1",
-)
-def states_by_draws(spark, folder) -> DataFrame:
-    return risk.draws(states(spark, folder).select("state_id"), 2500).groupBy("state_id").agg(
-        F.count(F.lit(1)).alias("n_draws"), F.sum("draw").alias("draw_sum")
-    )
+    return risk.pre_migration_estimate(runs, DRAWS, method="md5").select("state_id", *_VERDICT)
 
 
 @check(

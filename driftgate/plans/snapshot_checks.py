@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftgate.functions.rows import canonical_row, row_bytes
+from driftgate.functions.rows import canonical_row, row_hash, text_bytes
 from driftgate.operators import merkle, snapshot
 from driftgate.plans.inputs import (
     EDGE_SQL, ORDERS_TEXT, TARGET_SQL, edge_orders, floor_div_sql, hex_number_sql, target_orders,
@@ -82,7 +82,7 @@ def canonical_rows(spark, folder) -> DataFrame:
 )
 def bytes_of_rows(spark, folder) -> DataFrame:
     rows = table(spark, folder, "orders")
-    sized = rows.select("o_orderstatus", row_bytes(rows).alias("b"))
+    sized = rows.select("o_orderstatus", text_bytes(rows).alias("b"))
     return sized.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("b").alias("total_bytes"))
 
 
@@ -190,6 +190,50 @@ def merkle_roots(spark, folder) -> DataFrame:
     return merkle.roots_match(_tree(edge_orders(spark, folder)), _tree(target_orders(spark, folder)))
 
 
+_TAIL = 300  # the copy lacks every key from here on, so its tree is lower
+
+
+@check(
+    "agg12_missing_tail",
+    f"""WITH {EDGE_SQL}, {_tree_sql('edge', 0)}, short AS (SELECT * FROM edge WHERE o_orderkey < {_TAIL}),
+        n AS (SELECT {floor_div_sql('o_orderkey', _LEAF)} AS node, count(*) AS source_rows, count(*) FILTER (o_orderkey < {_TAIL}) AS target_rows FROM edge GROUP BY 1)
+        SELECT CAST(node AS BIGINT) AS node, source_rows, target_rows FROM n WHERE source_rows <> target_rows""",
+)
+def missing_tail(spark, folder) -> DataFrame:
+    source = edge_orders(spark, folder)
+    trees = [merkle.merkle_tree(df, "o_orderkey", _LEAF, 4) for df in (source, source.where(F.col("o_orderkey") < _TAIL))]
+    return merkle.merkle_diff(*trees)
+
+
+@check(
+    "agg11_ninth_decimal",
+    """SELECT count(*) FILTER (o_orderkey % 50 = 0 AND o_totalprice + 1e-9 <> o_totalprice) AS differing_rows, count(*) AS n_rows FROM orders""",
+)
+def ninth_decimal(spark, folder) -> DataFrame:
+    """Row fingerprints tell doubles apart that differ far behind the point, in the form other engines can repeat."""
+    rows = table(spark, folder, "orders")
+    moved = F.when(F.col("o_orderkey") % 50 == 0, F.col("o_totalprice") + F.lit(1e-9)).otherwise(F.col("o_totalprice"))
+    hashed = [
+        df.select("o_orderkey", row_hash(df, "md5").alias("h")) for df in (rows, rows.withColumn("o_totalprice", moved))
+    ]
+    joined = hashed[0].join(hashed[1].withColumnRenamed("h", "other"), "o_orderkey")
+    return joined.agg(F.count_if(F.col("h") != F.col("other")).alias("differing_rows"), F.count(F.lit(1)).alias("n_rows"))
+
+
+@check(
+    "joi11_text_key_repair",
+    f"""WITH {EDGE_SQL} SELECT CAST(o_orderkey AS VARCHAR) AS order_ref, o_custkey, o_orderstatus, o_orderpriority FROM edge""",
+)
+def text_key_repair(spark, folder) -> DataFrame:
+    """A text key and another number of leaves than usual; the repair takes both from the trees."""
+    source, target = (
+        df.select(F.col("o_orderkey").cast("string").alias("order_ref"), "o_custkey", "o_orderstatus", "o_orderpriority")
+        for df in (edge_orders(spark, folder), target_orders(spark, folder))
+    )
+    trees = [merkle.merkle_tree(df, "order_ref", leaves=500) for df in (source, target)]
+    return merkle.repair(source, target, *trees)
+
+
 @check(
     "agg13_divergence_pct",
     f"""WITH {EDGE_SQL}, {TARGET_SQL}, {_tree_sql('edge', 0)}, {_tree_sql('target', 0)}

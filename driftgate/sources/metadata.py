@@ -73,7 +73,7 @@ def fk_edges_from_catalog(key_usage: DataFrame) -> DataFrame:
 
 
 def profile_tables(tables: dict[str, DataFrame]) -> DataFrame:
-    """Exact rows, bytes (of the canonical text) and mean row size per table, one pass each."""
+    """Exact rows, bytes and mean row size per table, one pass each."""
     parts = []
     for name, df in tables.items():
         sized = df.select(row_bytes(df).alias("_b"))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftgate.functions import changes, hashing, pii, risk_rules
-from driftgate.functions.rows import canonical_row, row_hash
+from driftgate.functions.rows import canonical_row, row_bytes, row_hash
 from driftgate.operators import cdc, compare, fencing, gates, keys, merkle, pricing, redact, risk, snapshot, timeline, traffic
 from driftgate.sources import cdc as source
 from driftgate.sources import corpus, metadata, snapshot_reads, tables
@@ -73,11 +73,26 @@ def test_swapped_values_and_moved_nulls_are_seen(spark):
 def test_canonical_row_keeps_unusual_numbers(spark):
     df = spark.createDataFrame([(1, 1e40, float("nan")), (2, 0.1, None)], "id bigint, a double, b double")
     text = [r[0] for r in df.select(canonical_row(df)).collect()]
-    assert '"a":"1.0E40"' in text[0] and '"b":"NaN"' in text[0]
-    assert text[1] == '{"a":"0.100000","b":null,"id":"2"}'
+    mantissa, power = text[0].split('"a":"')[1].split('"')[0].split("p")
+    assert int(mantissa) * 2 ** (int(power) - 52) == int(1e40) and '"b":"nan"' in text[0]
+    assert text[1] == '{"a":"%dp-4","b":null,"id":"2"}' % (0.1 * 2**56)
     assert df.select(row_hash(df).alias("h")).distinct().count() == 2
 
 
+def test_row_text_and_hash_tell_all_doubles_apart(spark):
+    values = [0.1234561, 0.1234562, 1.0, 1.0 + 2**-52, -1.0, 5e-324, 1e-310, 1.7976931348623157e308, float("inf"), float("-inf"), 0.0, 2.0**-1022, 3e22]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for form in (canonical_row(df), row_hash(df), row_hash(df, "md5")):
+        assert df.select(form.alias("x")).distinct().count() == len(values)
+    same = spark.createDataFrame([(0.0,), (-0.0,)], "v double")
+    assert same.select(canonical_row(same)).distinct().count() == 1
+
+
+def test_row_sizes(spark):
+    df = spark.createDataFrame([(1, "é", None, [1.0, 2.0]), (None, "", 2.5, None)], "i int, s string, d double, a array<float>")
+    assert [r[0] for r in df.select(row_bytes(df)).collect()] == [4 + 2 + 0 + 8, 8]
+
+
 def test_size_tiers(spark):
     sizes = [("users", 10_000_000_000), ("reviews", 1_000_000)] + [(f"archive_{i}", 100) for i in range(10)]
     tables_df = spark.createDataFrame(sizes, "table_name string, data_bytes bigint")
@@ -118,6 +133,27 @@ def test_merkle_finds_and_repairs(spark):
     assert share["dirty_leaves"] == len(want)
 
 
+def test_trees_of_different_height_are_compared(spark):
+    df = spark.createDataFrame([(i, i * 7) for i in range(20)], "id bigint, v int")
+    short = df.where("id < 10")
+    a, b = (merkle.merkle_tree(x, "id", 1, 4) for x in (df, short))
+    assert len(a) > len(b)
+    for left, right in ((a, b), (b, a)):
+        assert sorted(r["node"] for r in merkle.merkle_diff(left, right).collect()) == list(range(10, 20))
+        assert not merkle.roots_match(left, right).first()[0]
+    assert rows(merkle.repair(df, short, a, b)) == rows(df)
+    assert rows(merkle.repair(short, df, b, a)) == rows(short)
+
+
+def test_repair_takes_the_leaves_of_the_trees(spark):
+    df = spark.createDataFrame([(f"k{i}", i) for i in range(50)], "id string, v int")
+    target = df.where("v <> 7")
+    trees = [merkle.merkle_tree(x, "id", leaves=8) for x in (df, target)]
+    assert rows(merkle.repair(df, target, *trees)) == rows(df)
+    with pytest.raises(ValueError):
+        merkle.merkle_diff(trees[0], merkle.merkle_tree(target, "id", leaves=16))
+
+
 def test_merkle_on_text_keys(spark):
     df = spark.createDataFrame([(f"k{i}", i) for i in range(300)], "id string, v int")
     tree = merkle.merkle_build(merkle.merkle_leaves(df, "id", leaves=64), 4)
@@ -265,7 +301,7 @@ def test_infer_pk(spark):
         return df.select(changes.infer_pk(*pair)).first()[0]
 
     assert pk({"id": "1", "v": "a"}, {"id": "1", "v": "b"}) == ["id"]
-    assert pk({"user_id": "1", "a_id": "2", "b_id": "3"}, {"user_id": "9"}) == ["user_id", "a_id"]
+    assert pk({"user_id": "1", "a_id": "2", "b_id": "3"}, {"user_id": "9"}) == ["user_id", "a_id", "b_id"]
     assert pk({"v": "1"}, {"v": "1"}) == []
 
 
@@ -394,6 +430,15 @@ def test_fk_levels_with_several_keys_and_cycles(spark):
     assert order.index("a") < order.index("b") < order.index("c") < order.index("x")
 
 
+def test_fk_levels_of_a_deep_chain(spark):
+    edges = spark.createDataFrame([(f"t{i + 1}", f"t{i}") for i in range(6)], "from_table string, to_table string")
+    got = {r["table_name"]: r["level"] for r in keys.fk_levels(edges).collect()}
+    assert got == {f"t{i}": i for i in range(7)}
+    with pytest.raises(ValueError, match="levels deep"):
+        keys.fk_levels(edges, max_rounds=3)
+    assert keys.fk_levels(edges, max_rounds=7).count() == 7
+
+
 def test_missing_table_fails_its_constraint(spark):
     child = spark.createDataFrame([(1,)], "p int")
     found = keys.fk_check({"c": child}, [keys.ForeignKey("c", "p", "gone", "id", "fk")]).first()
