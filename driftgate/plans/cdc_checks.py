@@ -167,7 +167,7 @@ def ledger_dedup(spark, folder) -> DataFrame:
 
 
 _ORD = "CAST(coalesce(ts_ms, 0) AS HUGEINT) * 1000000000 + off * 2"
-_STEPS_SQL = f"""steps AS (
+STEPS_SQL = f"""steps AS (
     SELECT new_k AS pk, {_ORD} + 1 AS ord, FALSE AS removes, CASE WHEN step = 0 THEN cust END AS cust,
            CASE WHEN step = 0 THEN st ELSE 'U' END AS st, step = 0 AS has_cust FROM good WHERE step < 2
     UNION ALL SELECT k, {_ORD}, TRUE, NULL, NULL, FALSE FROM good WHERE step = 2 OR (step = 1 AND new_k <> k)),
@@ -186,7 +186,7 @@ applied AS (
     WHERE n.pk IS NULL OR (n.put_at IS NOT NULL AND n.put_at > coalesce(n.del_at, -1)))"""
 
 
-@check("joi5_apply_changes", f"WITH {LOG_SQL}, {_STEPS_SQL} SELECT * FROM applied")
+@check("joi5_apply_changes", f"WITH {LOG_SQL}, {STEPS_SQL} SELECT * FROM applied")
 def apply_changes(spark, folder) -> DataFrame:
     events = cdc.first_deliveries(good_log(spark, folder))
     return cdc.apply_changes(stale_target(spark, folder), events, _PK)
@@ -194,7 +194,7 @@ def apply_changes(spark, folder) -> DataFrame:
 
 @check(
     "win3_net_effect",
-    f"""WITH {LOG_SQL}, {_STEPS_SQL} SELECT pk, put_at IS NOT NULL AND put_at > coalesce(del_at, -1) AS alive,
+    f"""WITH {LOG_SQL}, {STEPS_SQL} SELECT pk, put_at IS NOT NULL AND put_at > coalesce(del_at, -1) AS alive,
                del_at IS NOT NULL AS was_deleted, st AS o_orderstatus FROM net""",
 )
 def net_effect(spark, folder) -> DataFrame:
@@ -261,7 +261,7 @@ def outcomes(spark, folder) -> DataFrame:
 
 @check(
     "agg30_idempotency",
-    f"""WITH {LOG_SQL}, {_STEPS_SQL} SELECT 1::BIGINT AS most_rows_per_key, (SELECT count(*) FROM applied) AS "keys",
+    f"""WITH {LOG_SQL}, {STEPS_SQL} SELECT 1::BIGINT AS most_rows_per_key, (SELECT count(*) FROM applied) AS "keys",
                1::BIGINT AS most_entries_per_id, (SELECT count(DISTINCT event_id) FROM good) AS ids, TRUE AS passed""",
 )
 def idempotency(spark, folder) -> DataFrame:

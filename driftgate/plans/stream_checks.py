@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftgate.functions.risk_rules import risk_band
-from driftgate.plans.cdc_inputs import FENCE_SQL
+from driftgate.plans.cdc_checks import STEPS_SQL
+from driftgate.plans.cdc_inputs import FENCE_SQL, LOG_SQL, raw_log, stale_target
 from driftgate.plans.registry import check, table
+from driftgate.session import shared_folder
+from driftgate.sources.cdc import read_cdc_files
+from driftgate.sources.tables import BucketedTable
 from driftgate.streaming import apply, metrics, stateful
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -18,8 +21,7 @@ _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 
 def _scratch(spark: SparkSession) -> str:
     """A new folder below the one the cluster shares for checkpoints."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _events(spark, folder) -> DataFrame:
@@ -101,3 +103,21 @@ def tumbling_stream(spark, folder) -> DataFrame:
         _events(spark, folder), "ts", "1 hour", {"worst": F.max("value"), "n": F.count(F.lit(1))}, ["event_type"]
     )
     return _landed(found).select("event_type", F.unix_micros("window_start").alias("us"), "worst", "n")
+
+
+@check("str1_apply_stream", f"WITH {LOG_SQL}, {STEPS_SQL} SELECT * FROM applied")
+def apply_stream(spark, folder) -> DataFrame:
+    """The change log in three files, one a batch, with partial images and repeats, and the last batch once more."""
+    place = _scratch(spark)
+    log = raw_log(spark, folder)
+    # all changes of a key stay in one file, since batches follow each other by file
+    dealt = log.withColumn("f", F.floor(F.col("offset") / 8) % 3).repartitionByRange(3, "f").drop("f")
+    dealt.write.json(f"{place}/raw")
+    target = stale_target(spark, folder)
+    held = BucketedTable(spark, f"{place}/table", "o_orderkey", target.schema, buckets=16)
+    held.create(target)
+    applier = apply.CdcApplier(spark, held, f"{place}/sink", {f.name: f.dataType.simpleString() for f in target.schema.fields})
+    raw = read_cdc_files(spark, f"{place}/raw", streaming=True, files_per_trigger=1)
+    apply.run_apply(raw, applier, f"{place}/state").awaitTermination()
+    applier(spark.read.schema(raw.schema).json(f"{place}/raw"), 99)
+    return held.read()

@@ -28,93 +28,92 @@ def upsert_rows(target: DataFrame, batch: DataFrame, pk: str | Sequence[str]) ->
     return target.join(batch.select(*keys).distinct(), keys, "left_anti").unionByName(batch)
 
 
-class UpsertTable:
-    """A keyed table kept as a base plus change batches, each batch its own folder.
-
-    A micro-batch is written to ``changes/batch_id=N`` by overwriting just that
-    folder, so running the same batch again changes nothing and a failed write
-    leaves no trace in earlier ones. Readers take the newest change per key over
-    the base. ``compact`` writes a new base version from time to time; a batch
-    therefore never rewrites the table.
+class BucketedTable:
+    """A keyed table in Parquet, partitioned by a hash of its key; a batch overwrites the buckets it touches.
+
+    Spark's dynamic partition overwrite replaces a bucket when the write commits, so a failed batch leaves the old
+    buckets, and a batch that runs again gives the same rows. ``buckets`` is the number of files a batch rewrites at
+    most; choose it by the size of the table. With a table format that has MERGE, ``merge_statement`` is the better way.
     """
 
-    def __init__(self, spark: SparkSession, path: str, pk: str | Sequence[str]):
+    def __init__(self, spark: SparkSession, path: str, pk: str | Sequence[str], schema: T.StructType | str, buckets: int = 64):
         self.spark = spark
         self.path = path.rstrip("/")
         self.pk = [pk] if isinstance(pk, str) else list(pk)
+        self.schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        self.buckets = buckets
+
+    def _bucket(self) -> Column:
+        keys = [F.coalesce(F.col(k).cast("string"), F.lit("\\N")) for k in self.pk]
+        return F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
+
+    def _files(self) -> DataFrame:
+        stored = T.StructType([*self.schema.fields, T.StructField("_live", T.BooleanType()), T.StructField("_bucket", T.IntegerType())])
+        return self.spark.read.schema(stored).parquet(self.path)
 
     def create(self, base: DataFrame) -> None:
-        self._publish(base, version=0, through=-1)
+        rows = base.select(*self.schema.names).withColumn("_live", F.lit(True)).withColumn("_bucket", self._bucket())
+        rows.write.mode("overwrite").partitionBy("_bucket").parquet(self.path)
 
-    def write_batch(self, upserts: DataFrame, batch_id: int, deletes: DataFrame | None = None) -> None:
-        """Store one batch: rows to insert or replace, and keys to delete. Keys must be unique in it."""
-        rows = upserts.withColumn("_deleted", F.lit(False))
+    def read(self) -> DataFrame:
+        return self._files().where("_live").select(*self.schema.names)
+
+    def write_batch(self, upserts: DataFrame, deletes: DataFrame | None = None) -> None:
+        """Insert or replace whole rows and delete keys. Keys must be unique in the batch."""
+        gone = upserts.select(*self.pk)
         if deletes is not None:
-            gone = deletes.select(*self.pk).withColumn("_deleted", F.lit(True))
-            rows = rows.unionByName(gone, allowMissingColumns=True)
-        rows.write.mode("overwrite").parquet(f"{self.path}/changes/batch_id={batch_id}")
-
-    def read(self, before_batch: int | None = None) -> DataFrame:
-        """The table now, or as it was before a batch: newest change per key, deletes removed."""
-        version, through = self._head()
-        base = self.spark.read.parquet(f"{self.path}/base/version={version}")
-        changes = self._changes(through, base)
-        if changes is None:
-            return base
-        if before_batch is not None:
-            changes = changes.where(F.col("batch_id") < before_batch)
-        names = base.columns
-        newest = changes.groupBy(*self.pk).agg(
-            F.max_by(F.struct(*[c for c in names if c not in self.pk], "_deleted"), "batch_id").alias("_n")
-        )
-        live = newest.where("not _n._deleted").select(
-            *[F.col(c) if c in self.pk else F.col("_n")[c].alias(c) for c in names]
-        )
-        return base.join(newest.select(*self.pk), self.pk, "left_anti").unionByName(live)
-
-    def compact(self) -> None:
-        """Fold the change batches into a new base version, then point readers to it."""
-        version, through = self._head()
-        base = self.spark.read.parquet(f"{self.path}/base/version={version}")
-        changes = self._changes(through, base)
-        if changes is None:
+            gone = gone.unionByName(deletes.select(*self.pk)).distinct()
+        touched = [r[0] for r in gone.select(self._bucket().alias("b")).distinct().collect()]  # as many as there are buckets
+        if not touched:
             return
-        last = changes.agg(F.max("batch_id")).first()[0]
-        if last is not None:
-            self._publish(self.read(), version + 1, last)
-
-    def _publish(self, rows: DataFrame, version: int, through: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/base/version={version}")
-        # the version exists for readers once this one-row folder is complete
-        mark = self.spark.range(1).select(F.lit(version).alias("version"), F.lit(through).alias("through"))
-        mark.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/heads/head={version}")
-
-    def _head(self) -> tuple[int, int]:
-        heads = self.spark.read.parquet(f"{self.path}/heads")
-        row = heads.agg(F.max(F.struct("version", "through")).alias("h")).first()["h"]
-        return row["version"], row["through"]
-
-    def _changes(self, through: int, base: DataFrame) -> DataFrame | None:
-        schema = T.StructType([*base.schema.fields, T.StructField("_deleted", T.BooleanType()), T.StructField("batch_id", T.LongType())])
-        try:
-            found = self.spark.read.schema(schema).parquet(f"{self.path}/changes")
-        except AnalysisException:
-            return None
-        return found.where(F.col("batch_id") > through)
+        old = self._files().where(F.col("_live") & F.col("_bucket").isin(touched))
+        other = gone.select(*[F.col(k).alias(f"_gone_{k}") for k in self.pk])
+        same = F.lit(True)
+        for key in self.pk:
+            same = same & F.col(key).eqNullSafe(F.col(f"_gone_{key}"))
+        kept = old.join(other, same, "left_anti")
+        new = upserts.select(*self.schema.names).withColumn("_live", F.lit(True)).withColumn("_bucket", self._bucket())
+        # a bucket without rows would not be overwritten, so each has one row that is not live
+        marks = self.spark.createDataFrame([(b,) for b in touched], "_bucket int").withColumn("_live", F.lit(False))
+        rows = kept.unionByName(new).unionByName(marks, allowMissingColumns=True)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(self.path)
 
 
 def write_ledger(rows: DataFrame, path: str, batch_id: int) -> None:
-    """Ledger entries by batch and day; a repeated batch replaces its own folder."""
-    rows.write.mode("overwrite").partitionBy("applied_on").parquet(f"{path}/batch_id={batch_id}")
+    """Ledger entries by day and batch; a repeated batch replaces its own folders."""
+    named = rows.withColumn("batch_id", F.lit(batch_id))
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("applied_on", "batch_id").parquet(path)
+
 
+def read_ledger(spark: SparkSession, path: str, before_batch: int | None = None, first_day=None, last_day=None) -> DataFrame | None:
+    """Ledger entries, optionally only those of earlier batches and of some days; None when there is none yet.
 
-def read_ledger(spark: SparkSession, path: str, before_batch: int | None = None) -> DataFrame | None:
-    """Ledger entries, optionally only those of earlier batches; None when there is none yet."""
+    Days are folders, so only the named ones are read. Entries without a day are always among them.
+    """
     try:
         ledger = spark.read.parquet(path)
     except AnalysisException:
         return None
-    return ledger if before_batch is None else ledger.where(F.col("batch_id") < before_batch)
+    if before_batch is not None:
+        ledger = ledger.where(F.col("batch_id") < before_batch)
+    day = F.col("applied_on")
+    if first_day is not None:
+        ledger = ledger.where(day.isNull() | (day >= F.lit(first_day)))
+    if last_day is not None:
+        ledger = ledger.where(day.isNull() | (day <= F.lit(last_day)))
+    return ledger
+
+
+def remove_ledger_days(spark: SparkSession, path: str, first_kept_day) -> int:
+    """Delete the folders of days before ``first_kept_day`` (a date); how many there were."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    removed = 0
+    for status in system.listStatus(root) if system.exists(root) else []:
+        name = status.getPath().getName()
+        if name.startswith("applied_on=") and name[11:21] < str(first_kept_day) and name[11:15].isdigit():
+            removed += bool(system.delete(status.getPath(), True))
+    return removed
 
 
 def write_artifact(df: DataFrame, folder: str, name: str, form: str = "json") -> str:

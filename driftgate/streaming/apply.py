@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql.utils import AnalysisException
 from driftgate.operators.cdc import dedup_batch, ledger_rows, net_changes, with_event_id
 from driftgate.operators.fencing import audit_rows, fence
 from driftgate.sources.cdc import dead_letters, good_events, parse_cdc
-from driftgate.sources.tables import UpsertTable, observe_sink, read_ledger, write_ledger
+from driftgate.sources.tables import BucketedTable, observe_sink, read_ledger, remove_ledger_days, write_ledger
 
 
 def deduplicated(events: DataFrame, event_time: str, horizon: str = "7 days") -> DataFrame:
@@ -32,31 +33,42 @@ def split_late(batch: DataFrame, event_time: str, oldest: Column) -> tuple[DataF
 class CdcApplier:
     """The body of ``foreachBatch`` for one table's changes.
 
-    Each output of a batch is a folder of its own number that is overwritten when
-    the batch runs again, and the ledger is compared with earlier batches only.
-    A batch that failed half-way is therefore simply repeated.
+    Dead letters, late rows and ledger entries of a batch stand in folders of its number that are overwritten when the
+    batch runs again, and the ledger is compared with earlier batches only, on the days the batch speaks of. The table
+    takes the same batch twice without a change. A batch that failed half-way is therefore simply repeated. Columns that
+    an image leaves out keep the value the table has.
+
+    ``horizon_days`` names how long the ledger is kept: rows older than that against the newest of their batch could not
+    be told from repeats and go to ``late`` instead of the table; ``purge`` removes the ledger's older days.
     """
 
     def __init__(
-        self, spark: SparkSession, table: UpsertTable, folder: str, columns: dict[str, str],
-        id_mode: str = "row", partial_images: bool = False,
+        self, spark: SparkSession, table: BucketedTable, folder: str, columns: dict[str, str],
+        id_mode: str = "row", horizon_days: int | None = None,
     ):
         self.spark = spark
         self.table = table
         self.folder = folder.rstrip("/")
         self.columns = columns
         self.id_mode = id_mode
-        self.partial_images = partial_images
+        self.horizon_days = horizon_days
 
     def __call__(self, raw: DataFrame, batch_id: int) -> None:
         pk = self.table.pk
         parsed = parse_cdc(raw).persist()
+        fresh = None
         try:
             failed = dead_letters(parsed)
             failed.write.mode("overwrite").parquet(f"{self.folder}/dead_letters/batch_id={batch_id}")
-            events = with_event_id(good_events(parsed), pk, self.id_mode)
-            ledger = read_ledger(self.spark, f"{self.folder}/ledger", before_batch=batch_id)
-            fresh = observe_sink(dedup_batch(events, ledger), "sink")
+            events = with_event_id(good_events(parsed), pk, self.id_mode).withColumn("_at", F.timestamp_millis(F.col("ts_ms")))
+            days = events.agg(F.min(F.to_date("_at")).alias("first"), F.max(F.to_date("_at")).alias("last"), F.max("_at").alias("newest")).first()
+            if self.horizon_days is not None and days["newest"] is not None:
+                oldest = F.lit(days["newest"]) - F.make_interval(days=F.lit(self.horizon_days))
+                # a commit time of zero stands for an unknown one
+                events, late = split_late(events, "_at", F.when(F.col("ts_ms") != 0, oldest))
+                late.drop("_at").write.mode("overwrite").parquet(f"{self.folder}/late/batch_id={batch_id}")
+            ledger = read_ledger(self.spark, f"{self.folder}/ledger", batch_id, days["first"], days["last"])
+            fresh = observe_sink(dedup_batch(events, ledger), "sink").persist()
             others = [c for c in self.columns if c not in pk]
             net = net_changes(fresh, pk, others)
             keys = [F.col(f"_pk_{k}").cast(self.columns[k]).alias(k) for k in pk]
@@ -64,24 +76,32 @@ class CdcApplier:
                 *keys, *[F.col(f"_set_{c}")["v"].cast(self.columns[c]).alias(c) for c in others],
                 *[F.col(f"_set_{c}").isNull().alias(f"_keep_{c}") for c in others], "_reset",
             )
-            if self.partial_images:
-                upserts = self._completed(upserts, others, batch_id)
             deletes = net.where("not _alive").select(*keys)
-            self.table.write_batch(upserts.select(*pk, *others), batch_id, deletes)
-            applied = F.timestamp_millis(F.col("ts_ms"))
-            write_ledger(ledger_rows(fresh, applied), f"{self.folder}/ledger", batch_id)
+            self.table.write_batch(self._completed(upserts, others), deletes)
+            write_ledger(ledger_rows(fresh, F.col("_at")), f"{self.folder}/ledger", batch_id)
         finally:
             parsed.unpersist()
-
-    def _completed(self, upserts: DataFrame, others: Sequence[str], batch_id: int) -> DataFrame:
-        """Columns an image leaves out keep the value the table has before this batch."""
-        held = self.table.read(before_batch=batch_id).select(*self.table.pk, *[F.col(c).alias(f"_old_{c}") for c in others])
-        joined = upserts.join(held, self.table.pk, "left")
+            if fresh is not None:
+                fresh.unpersist()
+
+    def _completed(self, upserts: DataFrame, others: Sequence[str]) -> DataFrame:
+        """Columns an image leaves out keep the value the table has, unless the row was deleted in between."""
+        held = self.table.read().select(*[F.col(k).alias(f"_held_{k}") for k in self.table.pk], *[F.col(c).alias(f"_old_{c}") for c in others])
+        same = F.lit(True)
+        for key in self.table.pk:
+            same = same & F.col(key).eqNullSafe(F.col(f"_held_{key}"))
+        joined = upserts.join(held, same, "left")
         return joined.select(
             *self.table.pk,
             *[F.when(F.col(f"_keep_{c}") & ~F.col("_reset"), F.col(f"_old_{c}")).otherwise(F.col(c)).alias(c) for c in others],
         )
 
+    def purge(self, today) -> int:
+        """Remove the ledger's days beyond the horizon before ``today`` (a date); how many days went."""
+        if self.horizon_days is None:
+            return 0
+        return remove_ledger_days(self.spark, f"{self.folder}/ledger", today - timedelta(days=self.horizon_days))
+
 
 def run_apply(raw: DataFrame, applier: CdcApplier, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Start applying a raw change stream; by default everything available, then stop."""
@@ -125,12 +145,13 @@ class FenceApplier:
             fenced.unpersist()
 
     def _known(self, batch_id: int) -> DataFrame | None:
+        """Highest epochs before this batch: each batch's folder holds those of all batches up to it."""
+        if batch_id == 0:
+            return None
         try:
-            kept = self.spark.read.parquet(f"{self.folder}/epochs")
+            return self.spark.read.parquet(f"{self.folder}/epochs/batch_id={batch_id - 1}").select(self.domain, "_known")
         except AnalysisException:
             return None
-        earlier = kept.where(F.col("batch_id") < batch_id)
-        return earlier.groupBy(self.domain).agg(F.max("_known").alias("_known"))
 
 
 def run_batches(stream: DataFrame, body, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:

@@ -325,19 +325,19 @@ def test_lost_leases(spark):
 # --- sinks and sources -----------------------------------------------------
 
 
-def test_upsert_table_and_artifacts(spark):
+def test_bucketed_table_and_artifacts(spark):
     folder = tempfile.mkdtemp(prefix="spark-")
-    table = tables.UpsertTable(spark, f"{folder}/t", "id")
+    table = tables.BucketedTable(spark, f"{folder}/t", "id", "id int, v string", buckets=4)
     table.create(spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string"))
-    batch = spark.createDataFrame([(2, "B"), (3, "c")], "id int, v string")
+    batch = spark.createDataFrame([(2, "B"), (3, "c"), (None, "none")], "id int, v string")
     gone = spark.createDataFrame([(1,)], "id int")
     for _ in range(2):  # the same batch twice
-        table.write_batch(batch, 0, gone)
-    assert rows(table.read()) == [(2, "B"), (3, "c")]
-    assert rows(table.read(before_batch=0)) == [(1, "a"), (2, "b")]
-    table.compact()
-    table.write_batch(spark.createDataFrame([(1, "back")], "id int, v string"), 1)
-    assert rows(table.read()) == [(1, "back"), (2, "B"), (3, "c")]
+        table.write_batch(batch, gone)
+        assert rows(table.read()) == rows(batch)
+    table.write_batch(batch.where("false"), batch.select("id"))
+    assert rows(table.read()) == []
+    table.write_batch(spark.createDataFrame([(1, "back"), (2, "B")], "id int, v string"))
+    assert rows(table.read()) == [(1, "back"), (2, "B")]
     path = tables.write_artifact(table.read(), folder, "rows")
     assert rows(tables.read_artifact(spark, path, "id int, v string")) == rows(table.read())
     assert "MERGE INTO x" in tables.merge_statement("x", "b", ["id"], ["id", "v"])
