@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from driftgate import fixed_values as V
 from driftgate.functions.hashing import uniform_draw
+from driftgate.session import cut_lineage
 
 _NODES = "tree int, node int, feature int, split double, left int, right int, size int, depth int"
 _EULER = 0.5772156649015329
@@ -117,6 +118,7 @@ def fit_forest(
 ) -> AnomalyModel:
     """Train on healthy rows. ``key`` identifies a row and drives the sampling."""
     names = list(features)
+    df = cut_lineage(df.select(key, *names))  # read once for scaling, sampling and the range of the scores
     found = scaler(df, names).first()
     rows = found["rows"]
     mean = [float(found[f"mean_{f}"] or 0.0) for f in names]

@@ -78,6 +78,40 @@ def calibrate(spark, folder) -> DataFrame:
     return anomaly.calibrate(anomaly.score_rows(heartbeats(spark, folder), _model(spark, folder)))
 
 
+@check(
+    "ml1_forest_shape",
+    f"""WITH {BEATS_SQL} SELECT 100 AS trees, least(256, count(*)) AS root_rows, TRUE AS depth_kept, TRUE AS leaves_add_up FROM beats""",
+)
+def forest_shape(spark, folder) -> DataFrame:
+    """Every tree's root holds the subsample, no tree is deeper than its logarithm, and leaves hold each row once."""
+    model = _model(spark, folder)
+    per_tree = spark.createDataFrame(model.nodes).groupBy("tree").agg(
+        F.max("depth").alias("depth"), F.sum(F.when(F.col("feature") < 0, F.col("size"))).alias("leaf_rows")
+    )
+    return per_tree.agg(
+        F.count(F.lit(1)).cast("int").alias("trees"), F.max("leaf_rows").alias("root_rows"),
+        (F.max("depth") <= 8).alias("depth_kept"), (F.min("leaf_rows") == F.max("leaf_rows")).alias("leaves_add_up"),
+    )
+
+
+@check(
+    "ml2_score_properties",
+    f"""WITH {BEATS_SQL} SELECT count(*) AS n_rows, count(*) AS in_range, TRUE AS labels_follow_scores, TRUE AS failures_stand_out FROM beats""",
+)
+def score_properties(spark, folder) -> DataFrame:
+    """Scores are between 0 and 1, labels follow them, and each injected failure scores above the median heartbeat."""
+    model = _model(spark, folder)
+    scored = anomaly.score_rows(heartbeats(spark, folder), model)
+    injected = anomaly.score_rows(anomaly.failure_rows(spark, model), model).agg(F.min("score").alias("lowest_failure"))
+    label = F.when(F.col("score") >= model.threshold, "AUTONOMOUS_PAUSE").when(F.col("score") >= model.threshold * 0.8, "MONITOR_CLOSELY").otherwise("NORMAL")
+    found = scored.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("score").between(0, 1)).alias("in_range"),
+        F.bool_and((F.col("recommendation") == label) & (F.col("is_anomaly") == (F.col("score") >= model.threshold))).alias("labels_follow_scores"),
+        F.percentile("score", 0.5).alias("_median"),
+    )
+    return found.join(injected).select("n_rows", "in_range", "labels_follow_scores", (F.col("lowest_failure") > F.col("_median")).alias("failures_stand_out"))
+
+
 @check("ml5_retrain")
 def retrain(spark, folder) -> DataFrame:
     """A second model on a baseline with lower latencies, against the first one."""

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftgate.functions.risk_rules import risk_band
+from driftgate.operators import anomaly
+from driftgate.plans.anomaly_checks import BEATS_SQL, heartbeats
 from driftgate.plans.cdc_checks import STEPS_SQL
 from driftgate.plans.cdc_inputs import FENCE_SQL, LOG_SQL, raw_log, stale_target
 from driftgate.plans.registry import check, table
+from driftgate.plans.risk_checks import DRAWS, STATES_SQL, cost_sql, states
 from driftgate.session import shared_folder
 from driftgate.sources.cdc import read_cdc_files
 from driftgate.sources.tables import BucketedTable
@@ -94,15 +97,80 @@ def band_alerts_stream(spark, folder) -> DataFrame:
 
 @check(
     "str7_tumbling_stream",
-    """WITH w AS (SELECT event_type, (epoch_us(ts) // 3600000000) * 3600000000 AS us, max(value) AS worst, count(*) AS n FROM events GROUP BY 1, 2)
-       SELECT event_type, us, worst, n FROM w WHERE us + 3600000000 <= (SELECT max(epoch_us(ts)) FROM events) - 60000000""",
+    """SELECT event_type, (epoch_us(ts) // 3600000000) * 3600000000 AS us, max(value) AS worst, count(*) AS n FROM events GROUP BY 1, 2""",
 )
 def tumbling_stream(spark, folder) -> DataFrame:
-    """Windows the watermark has closed."""
-    found = metrics.tumbling(
-        _events(spark, folder), "ts", "1 hour", {"worst": F.max("value"), "n": F.count(F.lit(1))}, ["event_type"]
+    """Windows that the watermark has closed, and the open ones from a last batch."""
+    def build(rows):
+        return metrics.tumbling(rows, "ts", "1 hour", {"worst": F.max("value"), "n": F.count(F.lit(1))}, ["event_type"])
+
+    found = _completed(spark, folder, build, ["event_type", "window_start"])
+    return found.select("event_type", F.unix_micros("window_start").alias("us"), "worst", "n")
+
+
+@check(
+    "str8_dead_man_stream",
+    """WITH w AS (SELECT event_type, (epoch_us(ts) // 1800000000 - k) * 1800000000 AS us, CAST(CAST(floor(value) AS BIGINT) * 1000000 AS BIGINT) AS gained
+               FROM events, (SELECT unnest(range(8)) AS k))
+       SELECT event_type, us, CAST(sum(gained) AS BIGINT) AS gained_bytes, count(*) AS checkpoints, count(*) >= 2 AND sum(gained) < 150000000 AS alert
+       FROM w GROUP BY 1, 2""",
+)
+def dead_man_stream(spark, folder) -> DataFrame:
+    """Four hours in steps of half an hour, over several batches."""
+    def build(rows):
+        gains = rows.withColumn("gained", F.floor("value").cast("bigint") * 1_000_000)
+        return metrics.dead_man_stream(gains, "ts", "gained", ["event_type"], min_bytes=150_000_000)
+
+    found = _completed(spark, folder, build, ["event_type", "window_start"])
+    return found.select("event_type", F.unix_micros("window_start").alias("us"), "gained_bytes", "checkpoints", "alert")
+
+
+def _in_files(rows: DataFrame, order: str, files: int = 4) -> DataFrame:
+    """The same rows as a stream of ``files`` batches, in ``order``, so that state is carried from batch to batch."""
+    place = _scratch(rows.sparkSession)
+    dealt = rows.repartitionByRange(files, order).sortWithinPartitions(order).withColumn("_file", F.spark_partition_id())
+    for number in range(files):  # written one by one: a stream takes older files first
+        dealt.where(F.col("_file") == number).drop("_file").coalesce(1).write.mode("append").parquet(f"{place}/in")
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+
+
+def _completed(spark, folder, build, keys: list[str]) -> DataFrame:
+    """Windows a stream over several batches has closed, and those still open from a batch over the same rows."""
+    rows = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    closed = _landed(build(_in_files(rows, "ts")))
+    return closed.unionByName(build(rows).join(closed.select(*keys), keys, "left_anti"))
+
+
+@check("str9_scored_stream", f"WITH {BEATS_SQL} SELECT count(*) AS n_rows, count(*) AS same_score, count(*) AS in_range FROM beats")
+def scored_stream(spark, folder) -> DataFrame:
+    """Scores of a stream of heartbeats are those of a batch with the same model."""
+    beats = heartbeats(spark, folder)
+    model = anomaly.fit_forest(beats, key="us")
+    live = _landed(anomaly.score_rows(_in_files(beats, "us"), model)).select("us", F.col("score").alias("live"))
+    both = anomaly.score_rows(beats, model).join(live, "us")
+    return both.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("score") == F.col("live")).alias("same_score"),
+        F.count_if(F.col("score").between(0, 1)).alias("in_range"),
     )
-    return _landed(found).select("event_type", F.unix_micros("window_start").alias("us"), "worst", "n")
+
+
+@check(
+    "str10_risk_stream",
+    f"""WITH {STATES_SQL}, {cost_sql('st', DRAWS)}, q AS (SELECT state_id, quantile_cont(cost, [0.05, 0.5, 0.95, 0.99]) AS p FROM costs GROUP BY 1)
+        SELECT state_id, round(p[3], 2) AS p95_usd, CASE WHEN p[3] >= 5000 THEN 'BLOCK' WHEN p[3] >= 4000 THEN 'CAUTION' ELSE 'PROCEED' END AS recommendation,
+               CASE WHEN p[3] >= 5000 THEN 0.0::DOUBLE ELSE round((5000 - p[3]) / (mean_gbps * 0.09::DOUBLE), 0) END AS event_horizon_seconds
+        FROM st JOIN q USING (state_id)""",
+)
+def risk_stream(spark, folder) -> DataFrame:
+    """Every batch of live states is evaluated as it arrives."""
+    place = _scratch(spark)
+
+    def write(found: DataFrame, batch_id: int) -> None:
+        found.write.mode("overwrite").parquet(f"{place}/out/batch_id={batch_id}")
+
+    body = metrics.risk_batches(write, n=DRAWS, method="md5")
+    apply.run_batches(_in_files(states(spark, folder), "state_id"), body, f"{place}/state").awaitTermination()
+    return spark.read.parquet(f"{place}/out").select("state_id", "p95_usd", "recommendation", "event_horizon_seconds")
 
 
 @check("str1_apply_stream", f"WITH {LOG_SQL}, {STEPS_SQL} SELECT * FROM applied")

@@ -50,10 +50,10 @@ def lag_gauge(events: DataFrame, now_ms: Column, keys: Sequence[str] = ("topic",
     return newest.select(*keys, F.round(lag, 2).alias("lag_seconds"), (lag >= alert_days * 86400).alias("retention_at_risk"))
 
 
-def risk_batches(write: Callable[[DataFrame, int], None], n: int = V.SIMULATIONS, seed: int = 0, sla: float = V.SLA_USD) -> Callable:
+def risk_batches(write: Callable[[DataFrame, int], None], n: int = V.SIMULATIONS, seed: int = 0, sla: float = V.SLA_USD, method: str = "xxhash64") -> Callable:
     """``foreachBatch`` body that evaluates each batch of states and hands the result on."""
 
     def body(states: DataFrame, batch_id: int) -> None:
-        write(evaluate_risk(states, n, seed, sla, stop_when_done=False), batch_id)
+        write(evaluate_risk(states, n, seed, sla, stop_when_done=False, method=method), batch_id)
 
     return body

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,30 +22,27 @@ class _BandAlerts(StatefulProcessor):
         self.last = handle.getValueState("last_band", "band string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("ts_ms")
-        before = self.last.get()[0] if self.last.exists() else "PROCEED"
-        out = []
-        for ts_ms, band in zip(batch["ts_ms"], batch["band"], strict=True):
-            alert = None
-            if band == "BLOCK" and before != "BLOCK":
-                alert = "on_block"
-            elif band == "CAUTION" and before == "PROCEED":
-                alert = "on_caution"
-            elif band == "PROCEED" and before in ("BLOCK", "CAUTION"):
-                alert = "on_proceed"
-            if alert:
-                out.append((key[0], int(ts_ms), before, band, alert))
-            before = band
-        self.last.update((before,))
-        if out:
-            yield pd.DataFrame(out, columns=["run_id", "ts_ms", "previous", "band", "alert"])
+        batch = pd.concat(list(rows)).sort_values("ts_ms", kind="stable")
+        known = self.last.get()[0] if self.last.exists() else "PROCEED"
+        band, before = batch["band"], batch["band"].shift(fill_value=known)
+        alert = np.select(
+            [(band == "BLOCK") & (before != "BLOCK"), (band == "CAUTION") & (before == "PROCEED"), (band == "PROCEED") & before.isin(["BLOCK", "CAUTION"])],
+            ["on_block", "on_caution", "on_proceed"], "",
+        )
+        self.last.update((band.iloc[-1],))
+        out = pd.DataFrame({"run_id": key[0], "ts_ms": batch["ts_ms"], "previous": before, "band": band, "alert": alert})
+        if (alert != "").any():
+            yield out[alert != ""]
 
     def close(self) -> None:
         pass
 
 
 def band_alerts(evaluations: DataFrame) -> DataFrame:
-    """Alerts from a stream of (run_id, ts_ms, band); one evaluation per run each half minute or so."""
+    """Alerts from a stream of (run_id, ts_ms, band); one evaluation per run each half minute or so.
+
+    A run's rows of one micro-batch are held together while they are compared, so the trigger bounds them.
+    """
     return evaluations.select("run_id", "ts_ms", "band").groupBy("run_id").transformWithStateInPandas(
         _BandAlerts(), "run_id string, ts_ms bigint, previous string, band string, alert string", "append", "none"
     )
@@ -219,15 +217,18 @@ class _PriceBuffer(StatefulProcessor):
 
 
 def price_buffer(
-    writes: DataFrame, prices: DataFrame, slots: int = 64, baseline: float = V.BASELINE_PRICE_PER_GB,
+    writes: DataFrame, prices: DataFrame, slots: int | None = None, baseline: float = V.BASELINE_PRICE_PER_GB,
     multiplier: float = V.SPIKE_MULTIPLIER, max_age_hours: float = V.BUFFER_MAX_AGE_HOURS, lateness: str = "1 minute",
 ) -> DataFrame:
     """Release non-critical writes when the price allows or their age demands it.
 
     ``writes`` is (entry_id, ts, bytes), ``prices`` (ts, price). Entries do not
-    depend on one another, so they are spread over ``slots`` state keys by hash and
+    depend on one another, so they are spread over ``slots`` state keys by hash (four
+    for each shuffle partition by default, fixed for the life of a checkpoint) and
     every slot gets the short price series: no table is a hot key.
     """
+    if slots is None:
+        slots = 4 * int(writes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slot: Column = F.pmod(F.xxhash64("entry_id"), F.lit(slots)).cast("int")
     left = writes.select(
         slot.alias("slot"), "ts", "entry_id", F.col("bytes").cast("bigint").alias("bytes"), F.lit(None).cast("double").alias("price"),
