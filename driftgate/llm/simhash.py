@@ -202,7 +202,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, most_differing: int = MOST_
     nodes = fps.select(node.alias("node"), "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     nodes = kept(nodes)
     named = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = nodes.join(named, "root").select(F.col("node").alias("_node"), "root", "component_id")
+    # stored, so that both sides of the last join have a shuffle of their own, which Spark splits where copies are many
+    known = kept(nodes.join(named, "root").select(F.col("node").alias("_node"), "root", "component_id"))
     return marks.join(known, node == F.col("_node")).select(id_col, "th", "fp", "root", "component_id")
 
 
