@@ -63,6 +63,29 @@ def preflight(metrics: DataFrame, signoffs: DataFrame, rules: Sequence[Rule] = t
     return automated.unionByName(by_hand)
 
 
+def sustained_metrics(
+    samples: DataFrame, ts: str, at: Column, rules: Sequence[Rule] = tuple(V.PREFLIGHT_RULES),
+    names: Sequence[str] = ("replication_lag_seconds", "anomaly_score"), hours: float = V.PREFLIGHT_SUSTAINED_HOURS,
+) -> DataFrame:
+    """Metrics for ``preflight`` from samples (entity, metric, value, ts): the value that speaks for the whole time before ``at``.
+
+    A metric among ``names`` has to keep its limit for ``hours``: its worst value of that time counts, and none at all
+    if its samples do not reach that far back, so its item fails. Of other metrics the last value counts.
+    """
+    start = at - F.expr(f"INTERVAL {int(hours * 3600)} SECONDS")
+    seen = samples.where(F.col(ts) <= at)
+    found = seen.groupBy("entity", "metric").agg(
+        F.min(ts).alias("_since"), F.max_by("value", ts).alias("_last"),
+        F.max(F.when(F.col(ts) >= start, F.col("value"))).alias("_most"), F.min(F.when(F.col(ts) >= start, F.col("value"))).alias("_least"),
+    )
+    highest = [metric for _, metric, op, _ in rules if op in ("<=", "<") and metric in names]
+    lowest = [metric for _, metric, op, _ in rules if op in (">=", ">") and metric in names]
+    metric = F.col("metric")
+    worst = F.when(metric.isin(highest), F.col("_most")).when(metric.isin(lowest), F.col("_least"))
+    value = F.when(~metric.isin([*highest, *lowest]), F.col("_last")).when(F.col("_since") <= start, worst)
+    return found.select("entity", "metric", value.alias("value"))
+
+
 def preflight_verdict(items: DataFrame) -> DataFrame:
     """Only red automated items block; unsigned manual ones are pending."""
     red = F.col("automated") & (F.col("status") == "red")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftgate import fixed_values as V
 from driftgate.operators import anomaly
 from driftgate.plans.registry import check, table
+from driftgate.session import shared_folder
 
 _SLOT = 600_000_000
 
@@ -73,6 +76,20 @@ def score(spark, folder) -> DataFrame:
     return scored.select("us", "score", "is_anomaly", "recommendation")
 
 
+@check("ml3_saved_model", f"WITH {BEATS_SQL} SELECT count(*) AS n_rows, count(*) AS same_score, count(*) AS same_label FROM beats")
+def saved_model(spark, folder) -> DataFrame:
+    """A model written and read back scores every row as before."""
+    beats, model = heartbeats(spark, folder), _model(spark, folder)
+    place = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
+    anomaly.save_model(spark, model, place)
+    again = anomaly.score_rows(beats, anomaly.load_model(spark, place)).select("us", F.col("score").alias("s"), F.col("recommendation").alias("r"))
+    both = anomaly.score_rows(beats, model).join(again, "us")
+    return both.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("score") == F.col("s")).alias("same_score"),
+        F.count_if(F.col("recommendation") == F.col("r")).alias("same_label"),
+    )
+
+
 @check("ml4_calibrate")
 def calibrate(spark, folder) -> DataFrame:
     return anomaly.calibrate(anomaly.score_rows(heartbeats(spark, folder), _model(spark, folder)))

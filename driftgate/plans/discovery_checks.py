@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,9 @@ from driftgate.functions.hashing import hmac_sha256, key_fingerprint
 from driftgate.operators import compare, keys, redact, snapshot, traffic
 from driftgate.operators.keys import ForeignKey
 from driftgate.plans.registry import check, table
+from driftgate.session import shared_folder
 from driftgate.sources import corpus, metadata
+from driftgate.sources.tables import read_artifact, read_keyed_json, write_artifact
 
 KEY = b"0123456789abcdef0123456789abcdef"
 
@@ -109,6 +113,49 @@ def metadata_scan(spark, folder) -> DataFrame:
     return _columns(spark, folder)
 
 
+def _place(spark) -> str:
+    return f"{shared_folder(spark)}/artifacts-{uuid.uuid4().hex}"
+
+
+@check("snk3_artifact", f"WITH {_COLS_SQL} SELECT * FROM cols")
+def artifact(spark, folder) -> DataFrame:
+    """Column facts of all tables written as JSON and read back with their schema."""
+    found = _columns(spark, folder)
+    path = write_artifact(found, _place(spark), "columns")
+    return read_artifact(spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema.fields))
+
+
+@check("src7_keyed_artifact", f"WITH {_COLS_SQL} SELECT table_name, count(*) AS n_columns, CAST(sum(ordinal) AS BIGINT) AS ordinals, CAST(sum(null_count) AS BIGINT) AS nulls FROM cols GROUP BY 1")
+def keyed_artifact(spark, folder) -> DataFrame:
+    """The same facts as one JSON object with a list for each table, as the map of personal data comes."""
+    listed = _columns(spark, folder).groupBy("table_name").agg(F.collect_list(F.struct("column_name", "ordinal", "null_count")).alias("columns"))
+    one = listed.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("table_name", "columns")))).alias("value"))  # one short list a table
+    path = _place(spark)
+    one.coalesce(1).write.text(path)
+    kind = "array<struct<column_name:string,ordinal:int,null_count:bigint>>"
+    found = read_keyed_json(spark, path, kind, "table_name", "columns").select("table_name", F.inline("columns"))
+    return found.groupBy("table_name").agg(
+        F.count(F.lit(1)).alias("n_columns"), F.sum("ordinal").alias("ordinals"), F.sum("null_count").alias("nulls")
+    )
+
+
+@check(
+    "src8_text_files",
+    """SELECT source, count(*) AS n_texts, CAST(sum(length(url)) AS BIGINT) AS n_chars
+       FROM (SELECT 'host' || (page_id % 16) AS source, url FROM pages) GROUP BY 1""",
+)
+def text_files(spark, folder) -> DataFrame:
+    """Addresses of all pages written as files in nested folders, one address a line, and found again by pattern."""
+    place = _place(spark)
+    pages = table(spark, folder, "pages").select((F.col("page_id") % 16).alias("host"), F.col("url").alias("value"))
+    pages.repartition("host").write.partitionBy("host").text(place)
+    files = corpus.read_text_files(spark, [place], "*.txt")
+    lines = files.select(F.regexp_extract("location", r"host=(\d+)", 1).alias("host"), F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
+    return lines.groupBy(F.concat(F.lit("host"), "host").alias("source")).agg(
+        F.count(F.lit(1)).alias("n_texts"), F.sum(F.length("line")).alias("n_chars")
+    )
+
+
 @check("src4_table_profile", f"WITH {_SIZES_SQL} SELECT * FROM sizes")
 def table_profile(spark, folder) -> DataFrame:
     return _sizes(spark, folder)

@@ -314,6 +314,33 @@ def preflight_verdict(spark, folder) -> DataFrame:
     return gates.preflight_verdict(flight_items(spark, folder))
 
 
+_LIVE_AT = "2024-01-20 00:00:00"
+
+
+@check(
+    "gat3_preflight_sustained",
+    f"""WITH s AS (SELECT user_id % 12 AS entity, ts, value / 150 AS lag, CAST(event_id % 4 AS DOUBLE) AS nodes FROM events WHERE ts <= TIMESTAMP '{_LIVE_AT}'),
+        r AS (SELECT entity, min(ts) AS since, max(lag) FILTER (ts >= TIMESTAMP '{_LIVE_AT}' - INTERVAL 4 HOUR) AS worst, arg_max(nodes, ts) AS nodes FROM s GROUP BY 1),
+        v AS (SELECT entity, CASE WHEN since <= TIMESTAMP '{_LIVE_AT}' - INTERVAL 4 HOUR THEN worst END AS lag, nodes FROM r)
+        SELECT entity, 'replication_lag_seconds' AS metric, lag AS value, coalesce(lag <= 5.0, FALSE) AS passed FROM v
+        UNION ALL SELECT entity, 'quorum_nodes', nodes, nodes >= 2 FROM v""",
+)
+def preflight_sustained(spark, folder) -> DataFrame:
+    """The lag has to keep its limit for four hours; of the number of nodes the last value counts."""
+    rows = table(spark, folder, "events")
+    pairs = F.array(
+        F.struct(F.lit("replication_lag_seconds").alias("metric"), (F.col("value") / 150).alias("value")),
+        F.struct(F.lit("quorum_nodes").alias("metric"), (F.col("event_id") % 4).cast("double").alias("value")),
+    )
+    samples = rows.select((F.col("user_id") % 12).alias("entity"), "ts", F.inline(pairs))
+    metrics = gates.sustained_metrics(samples, "ts", F.to_timestamp_ntz(F.lit(_LIVE_AT)))
+    rules = [r for r in V.PREFLIGHT_RULES if r[1] in ("replication_lag_seconds", "quorum_nodes")]
+    items = gates.preflight(metrics, spark.createDataFrame([], "entity bigint, check_id string"), rules, ["PF-007"]).where("automated")
+    names = F.create_map(*[F.lit(x) for r in rules for x in r[:2]])
+    status = items.select("entity", F.element_at(names, F.col("check_id")).alias("metric"), (F.col("status") == "green").alias("passed"))
+    return metrics.join(status, ["entity", "metric"]).select("entity", "metric", "value", "passed")
+
+
 _POST_SQL = """m AS (SELECT user_id || ':' || (event_id % 5) AS entity, user_id % 2 AS ph, max(value) * 3 AS p99_latency_ms, count(*) FILTER (value > 220) * 0.06::DOUBLE AS error_rate_pct,
            max(CASE WHEN event_id % 50 = 0 THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END) AS merkle_divergence_pct, max(value) / 300 AS anomaly_score, CAST(count(*) * 3 % 100 AS DOUBLE) AS conn_pool_pct
            FROM events GROUP BY 1, 2),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftgate.functions.rows import canonical_row, row_hash, text_bytes
@@ -11,6 +11,7 @@ from driftgate.plans.inputs import (
     EDGE_SQL, ORDERS_TEXT, TARGET_SQL, edge_orders, floor_div_sql, hex_number_sql, target_orders,
 )
 from driftgate.plans.registry import check, table
+from driftgate.session import cut_lineage
 from driftgate.sources import snapshot_reads
 
 _SPLIT = 5000
@@ -282,19 +283,17 @@ def row_parity(spark, folder) -> DataFrame:
        FROM (SELECT l_orderkey AS k, lag(l_orderkey) OVER (ORDER BY l_orderkey) AS prev FROM lineitem)""",
 )
 def key_order(spark, folder) -> DataFrame:
-    """Counts neighbours out of order inside the sorted range partitions (must be none)."""
+    """Neighbours out of order inside the sorted range partitions, and partitions out of order (there must be none)."""
     rows = table(spark, folder, "lineitem").select("l_orderkey")
-    ordered = snapshot_reads.in_key_order(rows, "l_orderkey")
-
-    def neighbours(batches):
-        last = None
-        for batch in batches:
-            keys = batch["l_orderkey"]
-            wrong = int((keys.diff() < 0).sum())
-            if last is not None and len(keys) and keys.iloc[0] < last:
-                wrong += 1
-            last = keys.iloc[-1] if len(keys) else last
-            yield batch.iloc[:1].assign(n=len(keys), wrong=wrong)[["n", "wrong"]]
-
-    counted = ordered.mapInPandas(neighbours, "n long, wrong long")
-    return counted.agg(F.sum("n").alias("n_rows"), F.sum("wrong").alias("out_of_order"))
+    ordered = cut_lineage(
+        snapshot_reads.in_key_order(rows, "l_orderkey").select("l_orderkey", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("at"))
+    )
+    before = F.lag("l_orderkey").over(Window.partitionBy("p").orderBy("at"))
+    inside = ordered.withColumn("wrong", (before > F.col("l_orderkey")).cast("int"))
+    ends = inside.groupBy("p").agg(
+        F.min("l_orderkey").alias("first"), F.max("l_orderkey").alias("last"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("wrong"), F.lit(0)).alias("wrong")
+    )
+    between = (F.lag("last").over(Window.orderBy("p")) > F.col("first")).cast("int")  # one row a partition
+    return ends.withColumn("between", F.coalesce(between, F.lit(0))).agg(
+        F.sum("n").alias("n_rows"), F.sum(F.col("wrong") + F.col("between")).alias("out_of_order")
+    )
