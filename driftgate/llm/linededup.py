@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftgate.llm.common import ascii_lower, fresh
+from driftgate.llm.common import ascii_lower, fresh, kept
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -57,7 +57,8 @@ def drop_common_lines(
     ident, digest, lines, gone = fresh(docs, "id", "th", "lines", "gone")
     source = docs.select(docs[id_col].alias("_id"), F.coalesce(docs[text_col], F.lit("")).alias("_text"))
     found = _lines(source, min_chars)
-    common = _counted(found, min_docs)
+    # stored, so that the join below has a shuffle of its own on either side, which Spark splits where a line is very common
+    common = kept(_counted(found, min_docs))
     drops = found.join(common, ["k1", "k2"]).where(~F.col("_id").eqNullSafe(F.col("last")))
     drops = drops.groupBy("_id", "_th").agg(F.collect_set("_pos").alias(gone))
     drops = drops.select(F.col("_id").alias(ident), F.col("_th").alias(digest), gone)
