@@ -26,12 +26,6 @@ PII_TIER3_TYPES = ["text", "mediumtext", "longtext", "tinytext", "json"]
 PII_TIER3_MIN_LENGTH = 100
 
 # --- fixed values: write classes -------------------------------------------
-CRITICAL_TABLES = [
-    "bookings", "booking_payments", "booking_status",
-    "users", "user_accounts", "user_payments",
-    "payments", "payment_transactions", "payment_methods",
-    "reservations", "holds",
-]
 NON_CRITICAL_TABLES = [
     "analytics_events", "page_views", "search_logs",
     "audit_logs", "activity_logs",
@@ -45,7 +39,6 @@ PK_NAMES = ["id", "uuid", "pk", "key"]
 LEDGER_DAYS = 30
 RETENTION_7_DAYS_MS = 604_800_000
 RETENTION_ALERT_DAYS = 4
-MAX_POLL_RECORDS = 500
 
 # --- fixed values: snapshot ------------------------------------------------
 CHUNK_SIZE = 500_000
@@ -72,7 +65,6 @@ MSG_SETS_MATCH = "result sets match"
 MSG_SET_COUNT_FORMAT = "row count mismatch: edge=%d target=%d"
 MSG_SET_VALUES = "row sets equal size but different values (execution plan divergence)"
 MSG_SET_TIMING_FORMAT = "timing divergence: edge=%.1fms target=%.1fms"
-DETAIL_CHARS = 200
 TIMING_FACTOR = 2.0
 CLEAN_WINDOW_HOURS = 72
 
