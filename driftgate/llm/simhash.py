@@ -19,6 +19,7 @@ SEED = 42
 MOST_DIFFERING = 4
 _GENERATOR, _PARITY, _LENGTH = 0b101011100011, 11, 23  # of the perfect binary Golay code
 _BLOCK = 1 << 16
+_KINDS = 5  # of keys
 
 # fingerprints
 
@@ -121,15 +122,17 @@ def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def with_keys(fps: DataFrame) -> DataFrame:
-    """Rows of ``fps`` (a bigint column fp and other bigints), once for each key."""
-    names = fps.columns
+    """Rows of ``fps`` (bigint columns fp, perhaps fp2, and others), once for each key of either fingerprint."""
+    names, marks = fps.columns, _marks(fps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 4096):
                 part = batch.slice(begin, 4096)
                 values = [part.column(i).to_numpy() for i in range(len(names))]
-                rows, keys = golay_keys(values[names.index("fp")].view(np.uint64))
+                found = [golay_keys(values[names.index(mark)].view(np.uint64)) for mark in marks]
+                rows = np.concatenate([r for r, _ in found])
+                keys = np.concatenate([k + (_KINDS * i << 32) for i, (_, k) in enumerate(found)])
                 yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(v[rows]) for v in values)], names=["key", *names])
 
     return fps.mapInArrow(run, "key bigint, " + ", ".join(f"{n} bigint" for n in names))
@@ -186,9 +189,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, most_differing: int = MOST_
 
     Texts are lower-cased (A-Z), split at ASCII white space and hashed in shingles of ``words`` words, repeats included.
     Fingerprints link at ``most_differing`` bits or fewer; equal ones (copies, and all texts without words, null ones
-    included) always do. Up to four bits, no link is missed. ``wide`` adds 64 bits of another seed: keys come from the
-    first 64, differences are counted in all 128, so a limit can follow a similarity of the shingles closely; links whose
-    first halves differ in more than four bits are then found if they happen to share a key.
+    included) always do. Up to four bits, no link is missed. ``wide`` adds 64 bits of another seed: keys come from
+    either half, differences are counted in all 128, so a limit can follow a similarity of the shingles closely; links
+    whose halves both differ in more than four bits are then found if they happen to share a key.
 
     root names the component. Ids are bigints; a null id takes part and never names a component, unless all ids are
     null. Repeated rows stay repeated. Other columns are ignored. No rows give no rows.
@@ -201,8 +204,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, most_differing: int = MOST_
     roots = linked(fps, most_differing)
     nodes = fps.select(node.alias("node"), "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     nodes = kept(nodes)
-    named = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    # stored, so that both sides of the last join have a shuffle of their own, which Spark splits where copies are many
+    # both stored, so that the joins have a shuffle of their own on either side, which Spark splits where a group is large
+    named = kept(nodes.groupBy("root").agg(F.min("least").alias("component_id")))
     known = kept(nodes.join(named, "root").select(F.col("node").alias("_node"), "root", "component_id"))
     return marks.join(known, node == F.col("_node")).select(id_col, "th", "fp", "root", "component_id")
 
