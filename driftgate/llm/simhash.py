@@ -214,7 +214,7 @@ def one_of_each(docs: DataFrame, words: int = 5, most_differing: int = 18, id_co
     """``docs`` with its columns, one row of each group of near-duplicates: the one with the smallest id.
 
     With shingles of five words, 18 of 128 bits stand for a similarity (shared by all distinct shingles) of a little over
-    0.8. Null ids come last. Of rows that repeat the chosen id and text, one stays.
+    0.8, roughly, and pairs near that limit may be missed; ``nearcopies`` keeps to it exactly. Null ids come last. Of rows that repeat the chosen id and text, one stays.
     """
     groups = near_duplicates(docs, words, most_differing, True, id_col, text_col)
     first = groups.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "th")).alias("chosen"))
