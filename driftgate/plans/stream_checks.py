@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from driftgate.functions.risk_rules import risk_band
 from driftgate.operators import anomaly
+from driftgate.operators.prefix import add_order_ranges
 from driftgate.plans.anomaly_checks import BEATS_SQL, heartbeats
 from driftgate.plans.cdc_checks import STEPS_SQL
 from driftgate.plans.cdc_inputs import FENCE_SQL, LOG_SQL, raw_log, stale_target
@@ -19,6 +20,7 @@ from driftgate.sources.cdc import read_cdc_files
 from driftgate.sources.tables import BucketedTable
 from driftgate.streaming import apply, metrics, stateful
 
+_FILE_ROWS = 250_000  # of one batch
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -125,13 +127,28 @@ def dead_man_stream(spark, folder) -> DataFrame:
     return found.select("event_type", F.unix_micros("window_start").alias("us"), "gained_bytes", "checkpoints", "alert")
 
 
-def _in_files(rows: DataFrame, order: str, files: int = 4) -> DataFrame:
-    """The same rows as a stream of ``files`` batches, in ``order``, so that state is carried from batch to batch."""
-    place = _scratch(rows.sparkSession)
-    dealt = rows.repartitionByRange(files, order).sortWithinPartitions(order).withColumn("_file", F.spark_partition_id())
-    for number in range(files):  # written one by one: a stream takes older files first
-        dealt.where(F.col("_file") == number).drop("_file").coalesce(1).write.mode("append").parquet(f"{place}/in")
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+def _in_files(rows: DataFrame, order: str) -> DataFrame:
+    """The same rows as a stream of four batches or more, in ``order``, so that state is carried from batch to batch.
+
+    The order is cut once and stored: Spark draws the bounds of ranges anew in each evaluation, so cutting it for every
+    file would lose and repeat rows. Ranges in a row share a file of about ``_FILE_ROWS`` rows.
+    """
+    spark, place = rows.sparkSession, _scratch(rows.sparkSession)
+    dealt = add_order_ranges(rows, [order])
+    sizes = sorted(dealt.groupBy("_range").count().collect())  # one row a range
+    total = sum(n for _, n in sizes)
+    files = max(4, -(-total // _FILE_ROWS))
+    file_of, before = [0] * (sizes[-1][0] + 1 if sizes else 1), 0
+    for number, n in sizes:
+        file_of[number] = before * files // total
+        before += n
+    filed = dealt.withColumn("_file", F.element_at(F.lit(file_of), F.col("_range") + 1)).drop("_range")
+    filed.write.partitionBy("_file").parquet(f"{place}/cut")
+    for number in sorted({file_of[k] for k, _ in sizes}):  # added one by one: a stream takes older files first
+        spark.read.schema(rows.schema).parquet(f"{place}/cut/_file={number}").coalesce(1).write.mode("append").parquet(f"{place}/in")
+    if not sizes:
+        rows.write.parquet(f"{place}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
 
 
 def _completed(spark, folder, build, keys: list[str]) -> DataFrame:

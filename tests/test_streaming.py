@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftgate.operators import cdc, fencing
+from driftgate.plans import stream_checks
 from driftgate.plans.cdc_inputs import fencing_log, raw_log, stale_target
 from driftgate.sources.cdc import good_events, parse_cdc, read_cdc_files
 from driftgate.sources.tables import BucketedTable
@@ -220,3 +221,18 @@ def test_tumbling_and_dead_man_streams(spark, folder):
         assert row.gained_bytes == sum(inside)
         assert row.alert == (len(inside) >= 2 and sum(inside) < 500)
     assert isinstance(windows, pd.DataFrame) and len(windows) > 5
+
+
+def test_files_of_a_stream_hold_every_row_once_and_in_order(spark, folder):
+    """More rows in one partition than Spark samples for the bounds of its ranges."""
+    rows = spark.range(0, 100_000, 1, 1).select((F.col("id") * 7919 % 100_003).alias("at"))
+    want = rows.agg(F.count("at"), F.sum("at"), F.sum(F.xxhash64("at").cast("decimal(38,0)"))).first()
+
+    def body(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch_id={batch_id}")
+
+    finish(apply.run_batches(stream_checks._in_files(rows, "at"), body, f"{folder}/c"))
+    found = spark.read.parquet(f"{folder}/out")
+    assert found.agg(F.count("at"), F.sum("at"), F.sum(F.xxhash64("at").cast("decimal(38,0)"))).first() == want
+    bounds = sorted(map(tuple, found.groupBy("batch_id").agg(F.min("at"), F.max("at")).collect()))
+    assert len(bounds) == 4 and all(a[2] < b[1] for a, b in zip(bounds, bounds[1:]))
