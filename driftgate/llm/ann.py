@@ -119,16 +119,24 @@ def _products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 
 
 def _best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best of ``vectors`` for each query, ties to smaller ids, the query's own id left out."""
+    """The k best ids of ``vectors`` for each query, each with its best score, ties to smaller ids, the query's own id left out."""
+    by_id = np.argsort(ids, kind="stable")
+    ids, vectors = ids[by_id], vectors[by_id]
     scores = queries @ vectors.T
     scores[query_ids[:, None] == ids[None, :]] = -np.inf
-    if scores.shape[1] > k:
-        kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
+    starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    if len(starts) > k:
+        best = scores if len(starts) == len(ids) else np.maximum.reduceat(scores, starts, axis=1)
+        kth = np.partition(best, len(starts) - k, axis=1)[:, -k]
         slack = 1e-9 * (1 + np.abs(kth))  # a product summed in another order may differ in the last bits
         q, v = np.nonzero((scores >= (kth - slack)[:, None]) & (scores > -np.inf))
     else:
         q, v = np.nonzero(scores > -np.inf)
     exact = _products(queries[q], vectors[v])
+    if len(starts) < len(ids):
+        order = np.lexsort((-exact, v_ids := ids[v], q))
+        once = np.concatenate([[True], (np.diff(q[order]) != 0) | (np.diff(v_ids[order]) != 0)])[: len(q)]
+        q, v, exact = (x[order[once]] for x in (q, v, exact))
     order = np.lexsort((ids[v], -exact, q))
     q, v, exact = q[order], v[order], exact[order]
     first = np.searchsorted(q, q)
@@ -195,14 +203,14 @@ def search(vectors: DataFrame, is_query, k: int = 20, recall: float = 0.97, samp
 
     The tree is grown from at most ``sample`` vectors; every vector is then put into its leaf. At most ``calibration``
     queries are compared with all rows, and the number of leaves to visit is widened until these queries find the share
-    ``recall`` of their true neighbours; every query visits that many leaves, and more where those hold k rows or fewer.
+    ``recall`` of their true neighbours; every query visits that many leaves, and more where those hold k ids or fewer.
     Leaves with many vectors or many queries are split into tiles, each pair of tiles a bounded matrix product, so a leaf
     of equal vectors is no single task.
 
     Which vectors take part says ``usable``. Rows that repeat an id are one candidate with the better score, and one
     query. Without queries or candidates there are no rows.
     """
-    rows = kept(usable(vectors, id_col, vector_col))
+    rows = kept(usable(vectors, id_col, vector_col).dropDuplicates(["vec_id", "v"]))
     spark = rows.sparkSession
 
     def lengths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -222,9 +230,12 @@ def search(vectors: DataFrame, is_query, k: int = 20, recall: float = 0.97, samp
                 yield batch.assign(leaf=shared.value.assign(_matrix(batch["v"])))
 
     index = kept(rows.mapInPandas(into_leaves, "vec_id bigint, v binary, leaf bigint"))
-    held = np.zeros(tree.leaves, np.int64)  # rows by leaf: as many numbers as the tree has leaves
+    # by leaf, so as many numbers as the tree has leaves: its rows, and its ids, an id of several leaves in one of them only
+    held, own = np.zeros(tree.leaves, np.int64), np.zeros(tree.leaves, np.int64)
     for leaf, n in index.groupBy("leaf").count().collect():
         held[leaf] = n
+    for leaf, n in index.groupBy("vec_id").agg(F.min("leaf").alias("leaf")).groupBy("leaf").count().collect():
+        own[leaf] = n
     queries = index.where(is_query(F.col("vec_id"))).dropDuplicates(["vec_id"])
 
     # calibration: how far down its own list of leaves each true neighbour is
@@ -253,7 +264,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, recall: float = 0.97, samp
                         if held[leaf]:
                             which.append(i)
                             leaves.append(leaf)
-                            seen += held[leaf]
+                            seen += own[leaf]
                 yield pd.DataFrame({"query_id": part["vec_id"].to_numpy()[which], "q": part["v"].to_numpy()[which], "leaf": leaves})
 
     asked = kept(queries.select("vec_id", "v").mapInPandas(visited, "query_id bigint, q binary, leaf bigint"))

@@ -163,6 +163,30 @@ def test_neighbours_of_many_equal_vectors(spark):
         assert [r.vec_id for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == q] == [i for i in range(21) if i != q][:20]
 
 
+def test_neighbours_of_repeated_ids(spark):
+    """Ids with more rows than k, copies and other vectors, near the queries: every query still gets k different ids."""
+    rng = np.random.default_rng(8)
+    own = rng.normal(size=(60, 4))
+    rows = [(i, v.tolist()) for i, v in enumerate(own)]
+    rows += [(7, own[7].tolist())] * 50 + [(11, (own[11] + x).tolist()) for x in rng.normal(size=(50, 4)) / 50]
+    rows += [(i, v.tolist()) for i, v in enumerate(own)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    best = {}
+    for i, v in rows:
+        for q in (0, 5):
+            best[q, i] = max(best.get((q, i), -np.inf), float(own[q] @ np.array(v)))
+    for sample in (500, 20):
+        found = ann.search(df, lambda x: x.isin(0, 5), k=20, recall=1.0, sample=sample).collect()
+        for q in (0, 5):
+            got = [r.vec_id for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == q]
+            assert len(set(got)) == len(got) == 20
+            if sample == 500:
+                assert got == sorted((i for i in range(60) if i != q), key=lambda i: (-best[q, i], i))[:20]
+    ids, vectors = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    near = ann._best(np.array([0, 7]), own[[0, 7]] , ids, vectors, 20)
+    assert near.groupby("query_id")["vec_id"].nunique().tolist() == [20, 20] and len(near) == 40
+
+
 # 4
 
 
