@@ -111,7 +111,8 @@ _SPELLED = {
     "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
-_SPELLED_RUN = 7  # digits that a spelled run has at least
+_SPELLED_RUN = 7  # digits that a spelled run has at least, if it has not the four parts of an IP address
+_IP_DOTS = 3
 
 
 def _look_alikes() -> dict[str, str]:
@@ -171,12 +172,18 @@ def _may_spell(lower: str) -> bool:
     return False
 
 
+def _in_four_parts(tokens: list[tuple[re.Match[str], str]]) -> bool:
+    """Whether three words for the dot stand between digits; signs are left to prose such as "one. Two. Three"."""
+    digit = [bool(m[2] or m[4]) for m, _ in tokens]
+    return sum(bool(m[3]) and m[3] != "." and all(digit[i - 1 : i + 2 : 2]) for i, (m, _) in enumerate(tokens[1:-1], 1)) == _IP_DOTS
+
+
 def _unspelled(text: str, lower: str) -> list[tuple[int, int, str]]:
     edits: list[tuple[int, int, str]] = []
     if _may_spell(lower):
         for run in _RUN.finditer(text):
             tokens = [(m, "+" if m[1] else _SPELLED[m[2].lower()] if m[2] else "." if m[3] else m[4]) for m in _TOKEN.finditer(text, *run.span())]
-            if sum(bool(m[2]) for m, _ in tokens) >= 3 and sum(len(new) for m, new in tokens if m[2] or m[4]) >= _SPELLED_RUN:
+            if sum(bool(m[2]) for m, _ in tokens) >= 3 and sum(len(new) for m, new in tokens if m[2] or m[4]) >= (0 if _in_four_parts(tokens) else _SPELLED_RUN):
                 begin = run.start()
                 for m, new in tokens:  # what stands between two tokens goes to the second
                     edits.append((begin, m.end(), new))

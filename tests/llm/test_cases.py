@@ -395,6 +395,20 @@ def test_disguises_are_found_at_their_source():
         assert not any(pii.all_spans(text)[1].values())
 
 
+def test_spelled_addresses_of_few_digits():
+    cases = {
+        "dns eight dot eight dot eight dot eight now": "eight dot eight dot eight dot eight",
+        "host one zero dot zero dot zero dot one up": "one zero dot zero dot zero dot one",
+        "an uno punto uno punto uno punto zwei zwei zwei da": "uno punto uno punto uno punto zwei zwei zwei",
+    }
+    for text, source in cases.items():
+        base, every = pii.all_spans(text)
+        assert [text[a:b] for a, b in every["ip"]] == [source] and not any(base.values())
+        assert all(not v for k, v in every.items() if k != "ip")
+    for text in ["One. Two. Three. Four.", "one dot two dot three", "one dot two dot three dot four dot five", "three point one four"]:
+        assert not any(pii.all_spans(text)[1].values()), text
+
+
 def test_plain_spans_are_the_patterns(spark, odd, none):
     from test_queries import brute_personal
 
