@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftgate.llm import ann, bpe, langid, licenses, linededup, pii, quality, simhash, token_scan, winnow
+from driftgate.llm import ann, bpe, langid, licenses, linededup, packing, pii, quality, simhash, token_scan, winnow
 from driftgate.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,9 @@ def op5_licences(spark: SparkSession, folder: str) -> DataFrame:
         F.array_join("sentence_ids", ",").alias("sentences"),
         F.array_join("licences", ",").alias("licences"),
     )
+
+
+@query("op11_packing")
+def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
+    cut = packing.pieces(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"), capacity=2048, closing=0)
+    return packing.pack(cut, F.col("length"), capacity=2048)
