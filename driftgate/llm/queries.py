@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftgate.llm import ann, bpe, langid, licenses, linededup, packing, pii, quality, simhash, token_scan, winnow
+from driftgate.llm import ann, bpe, langid, licenses, linededup, packing, pii, prefixes, quality, simhash, token_scan, winnow
 from driftgate.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,42 @@ def op5_licences(spark: SparkSession, folder: str) -> DataFrame:
 def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
     cut = packing.pieces(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"), capacity=2048, closing=0)
     return packing.pack(cut, F.col("length"), capacity=2048)
+
+
+@query(
+    "op12_prefix_trie",
+    r"""
+    WITH told AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS place
+                  FROM conversations WHERE conv_id IS NOT NULL),
+    digits AS (SELECT i AS x, list_reduce(list_prepend(i::BIGINT, generate_series(1, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS t
+               FROM range(256) AS r(i)),
+    lookup AS (SELECT list(t ORDER BY x) AS t FROM digits),
+    every AS (SELECT conv_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+                                  lambda c, o: xor(t[(xor(c, o) & 255) + 1], c >> 8)), 4294967295) % 9 AS h
+              FROM (SELECT DISTINCT conv_id FROM told), lookup),
+    mixed AS (SELECT c.conv_id, 0 AS part, b.place, b.role, b.text FROM every c JOIN told b ON b.conv_id = c.conv_id - c.conv_id % 5 AND b.place < c.h
+              UNION ALL
+              SELECT c.conv_id, 1, o.place, o.role, o.text FROM every c JOIN told o ON o.conv_id = c.conv_id AND o.place >= c.h),
+    turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, place) AS depth, sha256(length(role) || ':' || role || text) AS d, strlen(text) AS bytes FROM mixed),
+    lists AS (SELECT conv_id, list(d ORDER BY depth) AS ds FROM turns GROUP BY conv_id),
+    begun AS (SELECT conv_id, 0 AS depth, '' AS k, 0 AS bytes FROM every
+              UNION ALL
+              SELECT conv_id, depth, array_to_string(ds[1:depth], ' '), bytes FROM turns JOIN lists USING (conv_id)),
+    sizes AS (SELECT conv_id, max(depth) AS size FROM begun GROUP BY conv_id),
+    nodes AS (SELECT depth, k, min(b.conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+                     coalesce(string_agg(b.conv_id::VARCHAR, ',' ORDER BY b.conv_id) FILTER (WHERE size = depth), '') AS ids
+              FROM begun b JOIN sizes USING (conv_id) GROUP BY depth, k),
+    up AS (SELECT n.*, p.conv_id AS parent_conv_id, p.k AS parent_k
+           FROM nodes n LEFT JOIN begun x ON x.conv_id = n.conv_id AND x.depth = n.depth - 1 LEFT JOIN nodes p ON p.depth = x.depth AND p.k = x.k),
+    children AS (SELECT depth - 1 AS depth, parent_k AS k, count(*) AS n FROM up WHERE depth > 0 GROUP BY ALL),
+    full_ AS (SELECT up.*, coalesce(n, 0) AS n_children FROM up LEFT JOIN children USING (depth, k)),
+    trees AS (SELECT a.depth, a.k, count(*) FILTER (WHERE f.n_children = 0) AS n_leaves, sum((f.n_convs - 1) * f.bytes) AS saved
+              FROM full_ f JOIN begun a ON a.conv_id = f.conv_id AND a.depth <= f.depth GROUP BY a.depth, a.k)
+    SELECT conv_id, depth::BIGINT AS depth, parent_conv_id, n_convs::BIGINT AS n_convs, n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves,
+           saved::BIGINT AS saved_tokens, sha256(ids) AS ends_sha256
+    FROM full_ JOIN trees USING (depth, k)
+    """,
+)
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefixes.trie(*prefixes.rebuilt(table(spark, folder, "conversations")))
