@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from driftgate.llm.common import kept
 
 TREE_ROWS = 8192  # documents of one tree
-LEAF_ROWS = 32
+LEAF_ROWS = 64
 BLOCK_TERMS = 1 << 19  # terms of all items that are searched for together, about
 _BATCH = 256  # texts that are taken apart at a time
 
