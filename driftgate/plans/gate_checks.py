@@ -631,11 +631,11 @@ def lessons(spark, folder) -> DataFrame:
 
 @check(
     "rpt3_recommendations",
-    f"""WITH {_MIG_SQL}, r AS (SELECT s.migration_id, unnest(list_filter([{{'priority': 'HIGH', 'area': 'Model maintenance', 'use': TRUE}}, {{'priority': 'HIGH', 'area': 'Runbook review', 'use': TRUE}},
-            {{'priority': 'MEDIUM', 'area': 'Risk accuracy', 'use': round(d, 2) > 20}}, {{'priority': 'MEDIUM', 'area': 'Cost accuracy', 'use': cost_variance_pct > 15}}], lambda x: x.use)) AS a
+    f"""WITH {_MIG_SQL}, r AS (SELECT s.migration_id, unnest(list_filter([{{'priority': 'HIGH', 'subject': 'anomaly model', 'use': TRUE}}, {{'priority': 'HIGH', 'subject': 'runbooks', 'use': TRUE}},
+            {{'priority': 'MEDIUM', 'subject': 'risk estimate', 'use': round(d, 2) > 20}}, {{'priority': 'MEDIUM', 'subject': 'cost estimate', 'use': cost_variance_pct > 15}}], lambda x: x.use)) AS a
             FROM summ s JOIN evo e ON s.migration_id = e.migration_id)
-        SELECT migration_id, a.priority AS priority, a.area AS area FROM r""",
+        SELECT migration_id, a.priority AS priority, a.subject AS subject FROM r""",
 )
 def recommendations(spark, folder) -> DataFrame:
     summary, evolution = _migrations(spark, folder)
-    return report.recommendations(summary, evolution).select("migration_id", "priority", "area")
+    return report.recommendations(summary, evolution).select("migration_id", "priority", "subject")

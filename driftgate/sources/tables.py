@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,16 +30,22 @@ def upsert_rows(target: DataFrame, batch: DataFrame, pk: str | Sequence[str]) ->
 
 
 class BucketedTable:
-    """A keyed table in Parquet, partitioned by a hash of its key; a batch overwrites the buckets it touches.
+    """A keyed table in Parquet, partitioned by a hash of its key; a batch replaces the buckets it touches.
 
-    Spark's dynamic partition overwrite replaces a bucket when the write commits, so a failed batch leaves the old
-    buckets, and a batch that runs again gives the same rows. ``buckets`` is the number of files a batch rewrites at
-    most; choose it by the size of the table. With a table format that has MERGE, ``merge_statement`` is the better way.
+    A batch is written ahead: the whole new content of its buckets goes to a stage of its own beside the table, the stage
+    is marked complete, and only then are the buckets overwritten from it. Overwriting removes a bucket before its new
+    files are in place, so a driver lost in between leaves the table without it; ``recover`` publishes a complete stage
+    again, and the next batch, or the same one run again, begins with that. A stage that was never completed is ignored
+    and written anew. Until the recovery a reader may miss buckets; it never sees half of one as a whole.
+
+    ``buckets`` is the number of files a batch rewrites at most; choose it by the size of the table. One writer at a
+    time. With a table format that has MERGE, ``merge_statement`` is the better way.
     """
 
     def __init__(self, spark: SparkSession, path: str, pk: str | Sequence[str], schema: T.StructType | str, buckets: int = 64):
         self.spark = spark
         self.path = path.rstrip("/")
+        self.stages = f"{self.path}_staged"
         self.pk = [pk] if isinstance(pk, str) else list(pk)
         self.schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         self.buckets = buckets
@@ -47,9 +54,9 @@ class BucketedTable:
         keys = [F.coalesce(F.col(k).cast("string"), F.lit("\\N")) for k in self.pk]
         return F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
 
-    def _files(self) -> DataFrame:
+    def _files(self, path: str | None = None) -> DataFrame:
         stored = T.StructType([*self.schema.fields, T.StructField("_live", T.BooleanType()), T.StructField("_bucket", T.IntegerType())])
-        return self.spark.read.schema(stored).parquet(self.path)
+        return self.spark.read.schema(stored).parquet(path or self.path)
 
     def create(self, base: DataFrame) -> None:
         rows = base.select(*self.schema.names).withColumn("_live", F.lit(True)).withColumn("_bucket", self._bucket())
@@ -58,8 +65,14 @@ class BucketedTable:
     def read(self) -> DataFrame:
         return self._files().where("_live").select(*self.schema.names)
 
-    def write_batch(self, upserts: DataFrame, deletes: DataFrame | None = None) -> None:
-        """Insert or replace whole rows and delete keys. Keys must be unique in the batch."""
+    def write_batch(self, upserts: DataFrame, deletes: DataFrame | None = None, batch_id: int | str | None = None) -> None:
+        """Insert or replace whole rows and delete keys. Keys must be unique in the batch.
+
+        A batch that is called again after its stage was completed is published from there; its rows are not read anew.
+        """
+        recovered = self.recover()
+        if batch_id is not None and str(batch_id) in recovered:
+            return
         gone = upserts.select(*self.pk)
         if deletes is not None:
             gone = gone.unionByName(deletes.select(*self.pk)).distinct()
@@ -76,7 +89,60 @@ class BucketedTable:
         # a bucket without rows would not be overwritten, so each has one row that is not live
         marks = self.spark.createDataFrame([(b,) for b in touched], "_bucket int").withColumn("_live", F.lit(False))
         rows = kept.unionByName(new).unionByName(marks, allowMissingColumns=True)
+        name = uuid.uuid4().hex if batch_id is None else str(batch_id)
+        self._stage(rows, name)
+        self._publish(name)
+
+    def recover(self) -> list[str]:
+        """Publish the stage that was completed and perhaps not published, and remove one left half-written; the published batches."""
+        found = []
+        for name in list_folder(self.spark, self.stages):
+            if path_exists(self.spark, f"{self.stages}/{name}/_complete"):
+                found.append(name.removeprefix("batch="))
+                self._publish(found[-1])
+            else:
+                remove_path(self.spark, f"{self.stages}/{name}")
+        return found
+
+    def _stage(self, rows: DataFrame, batch: str) -> None:
+        place = f"{self.stages}/batch={batch}"
+        rows.write.partitionBy("_bucket").parquet(f"{place}/rows")
+        touch(self.spark, f"{place}/_complete")
+
+    def _publish(self, batch: str) -> None:
+        place = f"{self.stages}/batch={batch}"
+        rows = self._files(f"{place}/rows").repartition("_bucket")
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(self.path)
+        # the mark goes first, so a stage half removed is not taken for a complete one
+        remove_path(self.spark, f"{place}/_complete")
+        remove_path(self.spark, place)
+
+
+def _on_file_system(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    found, system = _on_file_system(spark, path)
+    return system.exists(found)
+
+
+def list_folder(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it is not there."""
+    found, system = _on_file_system(spark, path)
+    return [status.getPath().getName() for status in system.listStatus(found)] if system.exists(found) else []
+
+
+def remove_path(spark: SparkSession, path: str) -> bool:
+    found, system = _on_file_system(spark, path)
+    return system.delete(found, True)
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file, there or not there and nothing in between."""
+    found, system = _on_file_system(spark, path)
+    system.create(found, True).close()
 
 
 def write_ledger(rows: DataFrame, path: str, batch_id: int) -> None:
@@ -106,14 +172,8 @@ def read_ledger(spark: SparkSession, path: str, before_batch: int | None = None,
 
 def remove_ledger_days(spark: SparkSession, path: str, first_kept_day) -> int:
     """Delete the folders of days before ``first_kept_day`` (a date); how many there were."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    removed = 0
-    for status in system.listStatus(root) if system.exists(root) else []:
-        name = status.getPath().getName()
-        if name.startswith("applied_on=") and name[11:21] < str(first_kept_day) and name[11:15].isdigit():
-            removed += bool(system.delete(status.getPath(), True))
-    return removed
+    old = [n for n in list_folder(spark, path) if n.startswith("applied_on=") and n[11:21] < str(first_kept_day) and n[11:15].isdigit()]
+    return sum(remove_path(spark, f"{path}/{name}") for name in old)
 
 
 def write_artifact(df: DataFrame, folder: str, name: str, form: str = "json") -> str:

@@ -8,7 +8,6 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from driftgate.operators.cdc import dedup_batch, ledger_rows, net_changes, with_event_id
 from driftgate.operators.fencing import audit_rows, fence
@@ -35,8 +34,9 @@ class CdcApplier:
 
     Dead letters, late rows and ledger entries of a batch stand in folders of its number that are overwritten when the
     batch runs again, and the ledger is compared with earlier batches only, on the days the batch speaks of. The table
-    takes the same batch twice without a change. A batch that failed half-way is therefore simply repeated. Columns that
-    an image leaves out keep the value the table has.
+    takes the same batch twice without a change, and writes it ahead: what a driver lost in the middle of the table's own
+    commit left undone is done first. A batch that failed half-way is therefore simply repeated. Columns that an image
+    leaves out keep the value the table has.
 
     ``horizon_days`` names how long the ledger is kept: rows older than that against the newest of their batch could not
     be told from repeats and go to ``late`` instead of the table; ``purge`` removes the ledger's older days.
@@ -55,6 +55,7 @@ class CdcApplier:
 
     def __call__(self, raw: DataFrame, batch_id: int) -> None:
         pk = self.table.pk
+        self.table.recover()
         parsed = parse_cdc(raw).persist()
         fresh = None
         try:
@@ -77,7 +78,7 @@ class CdcApplier:
                 *[F.col(f"_set_{c}").isNull().alias(f"_keep_{c}") for c in others], "_reset",
             )
             deletes = net.where("not _alive").select(*keys)
-            self.table.write_batch(self._completed(upserts, others), deletes)
+            self.table.write_batch(self._completed(upserts, others), deletes, batch_id)
             write_ledger(ledger_rows(fresh, F.col("_at")), f"{self.folder}/ledger", batch_id)
         finally:
             parsed.unpersist()
@@ -145,13 +146,13 @@ class FenceApplier:
             fenced.unpersist()
 
     def _known(self, batch_id: int) -> DataFrame | None:
-        """Highest epochs before this batch: each batch's folder holds those of all batches up to it."""
+        """Highest epochs before this batch: each batch's folder holds those of all batches up to it.
+
+        Only the first batch has none. If the folder is gone the batch fails, since without it stale writes would pass.
+        """
         if batch_id == 0:
             return None
-        try:
-            return self.spark.read.parquet(f"{self.folder}/epochs/batch_id={batch_id - 1}").select(self.domain, "_known")
-        except AnalysisException:
-            return None
+        return self.spark.read.parquet(f"{self.folder}/epochs/batch_id={batch_id - 1}").select(self.domain, "_known")
 
 
 def run_batches(stream: DataFrame, body, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:

@@ -5,12 +5,13 @@ import tempfile
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from driftgate.operators import cdc, fencing
 from driftgate.plans import stream_checks
 from driftgate.plans.cdc_inputs import fencing_log, raw_log, stale_target
 from driftgate.sources.cdc import good_events, parse_cdc, read_cdc_files
-from driftgate.sources.tables import BucketedTable
+from driftgate.sources.tables import BucketedTable, list_folder, remove_path
 from driftgate.streaming import apply, metrics, stateful
 
 
@@ -236,3 +237,90 @@ def test_files_of_a_stream_hold_every_row_once_and_in_order(spark, folder):
     assert found.agg(F.count("at"), F.sum("at"), F.sum(F.xxhash64("at").cast("decimal(38,0)"))).first() == want
     bounds = sorted(map(tuple, found.groupBy("batch_id").agg(F.min("at"), F.max("at")).collect()))
     assert len(bounds) == 4 and all(a[2] < b[1] for a, b in zip(bounds, bounds[1:]))
+
+
+def broken_publish(table):
+    """A table whose driver dies when the buckets of a batch are removed and before their new files are in place."""
+
+    def die(batch):
+        for name in list_folder(table.spark, f"{table.stages}/batch={batch}/rows"):
+            if name.startswith("_bucket="):
+                remove_path(table.spark, f"{table.path}/{name}")
+        raise RuntimeError("driver lost")
+
+    table._publish = die
+
+
+def test_upsert_survives_a_crash_inside_its_commit(spark, folder):
+    """Buckets that are gone between stage and publish come back from the stage, whoever writes next."""
+    schema = "id bigint, v string"
+
+    def opened():
+        return BucketedTable(spark, f"{folder}/t", "id", schema, buckets=4)
+
+    def rows(table):
+        return sorted(map(tuple, table.read().collect()))
+
+    opened().create(spark.createDataFrame([(i, "old") for i in range(20)], schema))
+    batch = spark.createDataFrame([(i, "new") for i in range(10)] + [(50, "more")], schema)
+    gone = spark.createDataFrame([(i,) for i in range(15, 20)], "id bigint")
+    want = sorted([(i, "new") for i in range(10)] + [(i, "old") for i in range(10, 15)] + [(50, "more")])
+    table = opened()
+    broken_publish(table)
+    with pytest.raises(RuntimeError, match="driver lost"):
+        table.write_batch(batch, gone, 7)
+    assert opened().read().count() < len(want)
+    # the same batch again: its stage is published, and the rows it brings are not read
+    opened().write_batch(spark.createDataFrame([(1, "other")], schema), None, 7)
+    assert rows(opened()) == want and not list_folder(spark, f"{folder}/t_staged")
+    # another batch after a crash: first what was staged, then its own
+    table = opened()
+    broken_publish(table)
+    with pytest.raises(RuntimeError, match="driver lost"):
+        table.write_batch(spark.createDataFrame([(1, "eighth")], schema), None, 8)
+    opened().write_batch(spark.createDataFrame([(2, "ninth")], schema), None, 9)
+    assert rows(opened()) == sorted([(1, "eighth"), (2, "ninth")] + [r for r in want if r[0] not in (1, 2)])
+    # a stage that was never completed is thrown away
+    spark.range(1).write.parquet(f"{folder}/t_staged/batch=10/rows")
+    assert opened().recover() == [] and not list_folder(spark, f"{folder}/t_staged")
+
+
+def test_apply_goes_on_after_a_crash_inside_the_commit(spark, sf, folder):
+    """A stream whose driver dies while a batch's buckets are replaced ends as if nothing had happened."""
+    log = raw_log(spark, sf)
+    log.withColumn("f", F.floor(F.col("offset") / 8) % 3).repartition(3, "f").drop("f").write.json(f"{folder}/raw")
+    target = stale_target(spark, sf)
+    table = BucketedTable(spark, f"{folder}/table", "o_orderkey", target.schema, buckets=8)
+    table.create(target)
+    raw = read_cdc_files(spark, f"{folder}/raw", streaming=True, files_per_trigger=1)
+    publish, calls = table._publish, []
+
+    def die_once(batch):
+        calls.append(batch)
+        if len(calls) == 2:
+            for name in list_folder(spark, table.path)[:4]:
+                remove_path(spark, f"{table.path}/{name}")
+            raise RuntimeError("driver lost")
+        publish(batch)
+
+    table._publish = die_once
+    with pytest.raises(Exception, match="driver lost"):
+        apply.run_apply(raw, apply.CdcApplier(spark, table, f"{folder}/sink", COLUMNS), f"{folder}/checkpoint").awaitTermination(240)
+    again = BucketedTable(spark, f"{folder}/table", "o_orderkey", target.schema, buckets=8)
+    finish(apply.run_apply(raw, apply.CdcApplier(spark, again, f"{folder}/sink", COLUMNS), f"{folder}/checkpoint"))
+    events = cdc.first_deliveries(cdc.with_event_id(good_events(parse_cdc(log)), ["o_orderkey"]))
+    want = sorted(map(tuple, cdc.apply_changes(target, events, "o_orderkey").collect()))
+    assert sorted(map(tuple, again.read().select(*COLUMNS).collect())) == want
+
+
+def test_lost_epochs_stop_the_fence(spark, folder):
+    """Without the epochs of the batch before, a batch fails; it doesn't start again from nought."""
+    body = apply.FenceApplier(spark, f"{folder}/fence", "table_name")
+    schema = "seq bigint, epoch bigint, table_name string, operation string, written_at timestamp"
+    body(spark.createDataFrame([(1, 5, "t", "u", None)], schema), 0)
+    stale = spark.createDataFrame([(2, 4, "t", "u", None)], schema)
+    body(stale, 1)
+    assert spark.read.parquet(f"{folder}/fence/violations").count() == 1
+    remove_path(spark, f"{folder}/fence/epochs/batch_id=1")
+    with pytest.raises(AnalysisException):
+        body(stale, 2)
