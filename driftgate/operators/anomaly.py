@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -46,6 +46,7 @@ class AnomalyModel:
     threshold: float = V.ANOMALY_THRESHOLD
     contamination: float = V.CONTAMINATION
     rows: int = 0
+    peak: list[float] = field(default_factory=list)  # highest training value by feature
     notes: list[str] = field(default_factory=list)
 
 
@@ -123,12 +124,13 @@ def fit_forest(
     rows = found["rows"]
     mean = [float(found[f"mean_{f}"] or 0.0) for f in names]
     std = [float(found[f"std_{f}"] or 0.0) or 1.0 for f in names]
+    peaks = df.agg(*[F.max(F.col(f).cast("double")).alias(f) for f in names]).first()
     scaled = df.select(key, *_scaled(names, mean, std))
     chosen = _subsamples(scaled, names, key, rows, trees, subsample, seed)
     grown = chosen.groupBy("tree").applyInPandas(_grow(names, subsample, seed), _NODES)
     model = AnomalyModel(
         names, mean, std, grown.orderBy("tree", "node").toPandas(), min(subsample, max(rows, 1)),
-        threshold=threshold, contamination=contamination, rows=rows,
+        threshold=threshold, contamination=contamination, rows=rows, peak=[float(peaks[f] or 0.0) for f in names],
     )
     if rows < V.MIN_TRAINING_ROWS:
         model.notes.append(f"only {rows} training rows, {V.MIN_TRAINING_ROWS} are recommended")
@@ -212,24 +214,98 @@ def calibrate(scored: DataFrame, contamination: float = V.CONTAMINATION, thresho
     )
 
 
-# --- fixed values: injected failures (name, features set, lowest score expected) ---
+# --- fixed values: injected failures in absolute figures (name, features set, lowest score expected) ---
 FAILURE_SHAPES = [
     ("replication_lag_spike", {"replication_lag_seconds": 30.0}, 0.6),
     ("connection_pool_exhaustion", {"conn_idle": 120.0, "conn_active": 5.0, "conn_waiting": 40.0}, 0.65),
     ("slow_inserts", {"p99_write_latency_ms": 200.0}, 0.7),
 ]
+# --- end of fixed values ---
+
+#: The same failures in deviations of the training rows, with the figures each drags along.
+FAILURE_DEVIATIONS = [
+    ("replication_lag_spike", {"replication_lag_seconds": 8, "wal_write_rate_bytes_per_sec": 8, "long_query_count": 6}, 0.6),
+    (
+        "connection_pool_exhaustion",
+        {"conn_idle": 8, "conn_waiting": 8, "conn_active": -3, "p99_select_latency_ms": 6, "long_query_count": 6},
+        0.65,
+    ),
+    ("slow_inserts", {"p99_write_latency_ms": 8, "long_query_count": 8, "deadlock_count_per_min": 6, "conn_active": 6}, 0.7),
+]
+
 
+def failure_rows(spark: SparkSession, model: AnomalyModel, deviations: Sequence[tuple] = FAILURE_DEVIATIONS, absolute: Sequence[tuple] | None = None) -> DataFrame:
+    """The mean row with each injected failure, and the score it should reach.
 
-def failure_rows(spark: SparkSession, model: AnomalyModel) -> DataFrame:
-    """The mean row with each injected failure, and the score it should reach."""
+    A figure k deviations up is mean + k deviations, and at least one deviation beyond all training rows; one k deviations
+    down is mean - k deviations. What is a failure thus follows the scale of the system. ``absolute`` sets figures instead.
+    """
     rows = []
-    for name, changes, expected in FAILURE_SHAPES:
-        values = dict(zip(model.features, model.mean, strict=True)) | changes
+    for name, changes, expected in absolute or deviations:
+        values = dict(zip(model.features, model.mean, strict=True))
+        for feature, by in changes.items():
+            if absolute:
+                values[feature] = by
+                continue
+            at = model.features.index(feature)
+            values[feature] = model.mean[at] + by * model.std[at]
+            if by > 0:
+                values[feature] = max(values[feature], model.peak[at] + model.std[at])
         rows.append((name, float(expected), *[float(values[f]) for f in model.features]))
     schema = "shape string, expected double, " + ", ".join(f"`{f}` double" for f in model.features)
     return spark.createDataFrame(rows, schema)
 
 
+_UNITS = 10_000  # scores have four digits
+
+
+def threshold_table(baseline: DataFrame, failures: DataFrame, score: str = "score") -> DataFrame:
+    """(cut, false_alarms, caught): baseline rows and failures that score at least ``cut``, for each score that occurs.
+
+    Scores are 0 to 1 with four digits, so however many rows there are, they are counted by at most 10 001 values, with a
+    combine before the shuffle, and only these counts are summed from the top. Rows without a score count nowhere.
+    """
+    unit = F.round(F.col(score) * _UNITS).cast("bigint").alias("unit")
+    none, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    both = baseline.select(unit, one.alias("a"), none.alias("b")).unionByName(failures.select(unit, none.alias("a"), one.alias("b")))
+    counts = both.where("unit is not null").groupBy("unit").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    down = Window.partitionBy(F.lit(0)).orderBy(F.desc("unit"))  # a row a score that occurs
+    return counts.select(
+        F.round(F.col("unit") / _UNITS, 4).alias("cut"), F.sum("a").over(down).alias("false_alarms"), F.sum("b").over(down).alias("caught")
+    )
+
+
+def find_threshold(baseline: DataFrame, failures: DataFrame, score: str = "score", allowed: float = 0.0) -> DataFrame:
+    """One row: the lowest threshold that catches every failure with at most the share ``allowed`` of the baseline as false alarms.
+
+    Where no threshold does, it is the highest that catches every failure, and ``found`` is false. Between two scores that
+    occur all thresholds do the same, so the lowest is one unit above the last score that would raise too many alarms. All
+    is null without failures.
+    """
+    table = threshold_table(baseline, failures, score)
+    totals = table.agg(F.max("false_alarms").alias("rows"), F.max("caught").alias("failures"))
+    rated = table.join(totals).withColumn("most", F.floor(F.col("rows") * F.lit(float(allowed))))
+    rated = rated.agg(
+        F.first("rows").alias("rows"), F.first("failures").alias("failures"), F.first("most").alias("most"),
+        F.max(F.when(F.col("false_alarms") > F.col("most"), F.col("cut"))).alias("_noisy"),
+        F.max(F.when(F.col("caught") == F.col("failures"), F.col("cut"))).alias("_last"),
+    )
+    quiet = F.coalesce(F.round(F.col("_noisy") + 1 / _UNITS, 4), F.lit(0.0))
+    found = quiet <= F.col("_last")
+    chosen = rated.select("rows", "failures", F.when(found, quiet).otherwise(F.col("_last")).alias("threshold"), found.alias("found")).where("failures > 0")
+    alarms = table.join(chosen.select("threshold"), F.col("cut") >= F.col("threshold")).agg(F.coalesce(F.max("false_alarms"), F.lit(0)).alias("false_alarms"))
+    return chosen.join(alarms).select("threshold", "found", "failures", "rows", "false_alarms")
+
+
+def calibrate_threshold(df: DataFrame, model: AnomalyModel, allowed: float = 0.01, deviations: Sequence[tuple] = FAILURE_DEVIATIONS) -> tuple[AnomalyModel, DataFrame]:
+    """The model with the threshold that the injected failures and the baseline ``df`` give, and the row that says so.
+
+    The training rows fill the scale from 0 to 1, so a small share of them is allowed above the threshold.
+    """
+    result = cut_lineage(find_threshold(score_rows(df, model), score_rows(failure_rows(df.sparkSession, model, deviations), model), allowed=allowed))
+    return replace(model, threshold=float(result.first()["threshold"])), result
+
+
 def threshold_change_pct(before: Column, after: Column) -> Column:
     """Change of the alert threshold in percent; 0 without an earlier one."""
     return F.coalesce(F.round(F.try_divide(F.abs(after - before), F.nullif(before, F.lit(0.0))) * 100, 2), F.lit(0.0))
@@ -249,10 +325,10 @@ def retrain(df: DataFrame, previous: AnomalyModel | None, **options) -> tuple[An
 def save_model(spark: SparkSession, model: AnomalyModel, folder: str) -> None:
     """Trees and metadata as two tables."""
     spark.createDataFrame(model.nodes, _NODES).coalesce(1).write.mode("overwrite").parquet(f"{folder}/nodes")
-    meta = [(model.features, model.mean, model.std, model.subsample, model.low, model.high, model.threshold, model.contamination, model.rows)]
+    meta = [(model.features, model.mean, model.std, model.subsample, model.low, model.high, model.threshold, model.contamination, model.rows, model.peak)]
     schema = (
         "features array<string>, mean array<double>, std array<double>, subsample int, low double, high double, "
-        "threshold double, contamination double, rows bigint"
+        "threshold double, contamination double, rows bigint, peak array<double>"
     )
     spark.createDataFrame(meta, schema).coalesce(1).write.mode("overwrite").json(f"{folder}/meta")
 
@@ -262,5 +338,5 @@ def load_model(spark: SparkSession, folder: str, threshold: float | None = None)
     nodes = spark.read.parquet(f"{folder}/nodes").orderBy("tree", "node").toPandas()
     return AnomalyModel(
         list(meta["features"]), list(meta["mean"]), list(meta["std"]), nodes, meta["subsample"], meta["low"], meta["high"],
-        meta["threshold"] if threshold is None else threshold, meta["contamination"], meta["rows"],
+        meta["threshold"] if threshold is None else threshold, meta["contamination"], meta["rows"], list(meta["peak"]),
     )

@@ -176,3 +176,67 @@ def threshold_change(spark, folder) -> DataFrame:
     return table(spark, folder, "events").groupBy("user_id").agg(F.min("value").alias("b"), F.max("value").alias("a")).select(
         "user_id", anomaly.threshold_change_pct(F.col("b"), F.col("a")).alias("threshold_change_pct")
     )
+
+
+_SPREAD = (3, 4, 5)  # deviations of the given failures above the mean
+
+
+def _given_scores(spark, folder, feature: str, rate: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """Scores that SQL can give as well: one feature, min-max scaled, and failures some deviations above its mean."""
+    beats = heartbeats(spark, folder).select((F.col(feature) * rate).alias("x"))
+    low, high, mean, std = beats.agg(F.min("x"), F.max("x"), F.avg("x"), F.stddev_pop("x")).first()
+    failures = spark.createDataFrame([(float(mean + k * std),) for k in _SPREAD], "x double")
+
+    def scored(rows: DataFrame) -> DataFrame:
+        unit = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("x") - low) / (high - low)))
+        return rows.select(F.round(unit, 4).alias("score"))
+
+    return scored(beats), scored(failures)
+
+
+def _given_sql(feature: str, name: str, rate: str = "1.0::DOUBLE") -> str:
+    return f"""{name}_x AS (SELECT {feature} * {rate} AS x FROM beats), {name}_f AS (SELECT min(x) AS lo, max(x) AS hi, avg(x) AS m, stddev_pop(x) AS s FROM {name}_x),
+        {name}_b AS (SELECT round((x - lo) / (hi - lo), 4) AS score FROM {name}_x, {name}_f),
+        {name}_i AS (SELECT round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (m + k * s - lo) / (hi - lo))), 4) AS score FROM {name}_f, (SELECT unnest([3, 4, 5]) AS k)),
+        {name}_t AS (SELECT cut, (SELECT count(*) FROM {name}_b WHERE score >= cut) AS false_alarms, (SELECT count(*) FROM {name}_i WHERE score >= cut) AS caught
+                     FROM (SELECT round(u / 10000.0::DOUBLE, 4) AS cut FROM range(10002) AS r(u))),
+        {name}_r AS (SELECT (SELECT count(*) FROM {name}_b) AS n, (SELECT min(cut) FROM {name}_t WHERE caught = 3 AND false_alarms <= floor((SELECT count(*) FROM {name}_b) * 0.01::DOUBLE)) AS quiet,
+                            (SELECT max(cut) FROM {name}_t WHERE caught = 3) AS last),
+        {name}_c AS (SELECT coalesce(quiet, last) AS threshold, quiet IS NOT NULL AS found, n FROM {name}_r)"""
+
+
+@check(
+    "ml4_threshold_table",
+    f"""WITH {BEATS_SQL}, {_given_sql('p99_select_latency_ms', 'g')}
+        SELECT t.* FROM g_t t JOIN (SELECT score FROM g_b UNION SELECT score FROM g_i) s ON t.cut = s.score""",
+)
+def threshold_table(spark, folder) -> DataFrame:
+    """False alarms and caught failures at every score that occurs."""
+    return anomaly.threshold_table(*_given_scores(spark, folder, "p99_select_latency_ms"))
+
+
+@check(
+    "ml4_threshold_search",
+    f"""WITH {BEATS_SQL}, {_given_sql('p99_select_latency_ms', 'g')}, {_given_sql('conn_idle', 'h')}
+        SELECT 'latency' AS case_name, threshold, found, 3::BIGINT AS failures, n AS rows, (SELECT count(*) FROM g_b WHERE score >= threshold) AS false_alarms FROM g_c
+        UNION ALL SELECT 'idle', threshold, found, 3, n, (SELECT count(*) FROM h_b WHERE score >= threshold) FROM h_c""",
+)
+def threshold_search(spark, folder) -> DataFrame:
+    """The threshold that catches given failures with at most one false alarm in a hundred rows."""
+    cases = {"latency": "p99_select_latency_ms", "idle": "conn_idle"}
+    found = [anomaly.find_threshold(*_given_scores(spark, folder, f), allowed=0.01).withColumn("case_name", F.lit(n)) for n, f in cases.items()]
+    return found[0].unionByName(found[1])
+
+
+@check(
+    "ml5_threshold_change",
+    f"""WITH {BEATS_SQL}, {_given_sql('p99_select_latency_ms', 'old')}, {_given_sql('p99_write_latency_ms', 'new', '0.4::DOUBLE')}
+        SELECT o.threshold AS previous_threshold, w.threshold AS new_threshold, round(abs(w.threshold - o.threshold) / o.threshold * 100, 2) AS threshold_change_pct
+        FROM old_c o, new_c w""",
+)
+def threshold_of_a_new_baseline(spark, folder) -> DataFrame:
+    """Thresholds found on two baselines, and by how much the second departs from the first."""
+    old = anomaly.find_threshold(*_given_scores(spark, folder, "p99_select_latency_ms"), allowed=0.01).select(F.col("threshold").alias("previous_threshold"))
+    new = anomaly.find_threshold(*_given_scores(spark, folder, "p99_write_latency_ms", 0.4), allowed=0.01).select(F.col("threshold").alias("new_threshold"))
+    change = anomaly.threshold_change_pct(F.col("previous_threshold"), F.col("new_threshold"))
+    return old.join(new).withColumn("threshold_change_pct", change)

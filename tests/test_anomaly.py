@@ -1,7 +1,9 @@
 """The isolation forest on a synthetic baseline."""
 
 import math
+import os
 import random
+import sys
 import tempfile
 
 import numpy as np
@@ -10,6 +12,10 @@ from pyspark.sql import functions as F
 
 from driftgate import fixed_values as V
 from driftgate.operators import anomaly
+from driftgate.plans.anomaly_checks import heartbeats
+
+sys.path.insert(0, os.path.join(os.path.dirname(__file__), "..", "tools"))
+import verify  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -100,3 +106,57 @@ def test_stream_scoring_equals_batch(spark, baseline, model):
     query.awaitTermination(120)
     want = {r["timestamp"]: r["score"] for r in anomaly.score_rows(baseline.where("timestamp < 200"), model).collect()}
     assert {r["timestamp"]: r["score"] for r in spark.read.parquet(f"{folder}/out").collect()} == want
+
+
+@pytest.mark.parametrize("name", ["ml2_score_properties", "ml4_threshold_table", "ml4_threshold_search", "ml5_threshold_change"])
+def test_entries_beyond_the_smallest_data(spark, name):
+    folder = "/root/testdata/sf0.01"
+    same, note = verify.compare(spark, verify.connect(folder), name, folder)
+    assert same, note
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_injected_failures_reach_their_scores(spark, size):
+    """Failures in deviations of the training rows score what they should, at any scale of the figures."""
+    beats = heartbeats(spark, f"/root/testdata/{size}")
+    model = anomaly.fit_forest(beats, key="us")
+    found = anomaly.score_rows(anomaly.failure_rows(spark, model), model).collect()
+    assert len(found) == 3 and all(r["score"] >= r["expected"] for r in found)
+    tuned, row = anomaly.calibrate_threshold(beats, model, allowed=0.02)
+    result = row.first()
+    assert result["found"] and tuned.threshold == result["threshold"] <= min(r["score"] for r in found)
+    alarms = anomaly.score_rows(beats, tuned).where("is_anomaly").count()
+    assert alarms == result["false_alarms"] <= 0.02 * result["rows"]
+
+
+def brute_threshold(baseline, failures, allowed):
+    most = math.floor(len(baseline) * allowed)
+    fits = [u for u in range(10_002) if all(round(f * 10_000) >= u for f in failures) and sum(round(b * 10_000) >= u for b in baseline) <= most]
+    return (min(fits) / 10_000, True) if fits else (min(failures), False)
+
+
+def test_threshold_search_against_all_thresholds(spark):
+    rng = random.Random(8)
+    for case in range(6):
+        baseline = [round(rng.random() ** 2 * (0.5 if case % 2 else 1), 4) for _ in range(200)]
+        failures = [round(rng.uniform(0.4, 1), 4) for _ in range(3)]
+        for allowed in (0.0, 0.05):
+            frames = [spark.createDataFrame([(x,) for x in xs], "score double") for xs in (baseline, failures)]
+            row = anomaly.find_threshold(*frames, allowed=allowed).first()
+            want, found = brute_threshold(baseline, failures, allowed)
+            assert (row["threshold"], row["found"]) == (want, found)
+            assert row["false_alarms"] == sum(b >= want for b in baseline) and row["rows"] == 200
+
+
+def test_threshold_search_cases(spark):
+    some, none = spark.createDataFrame([(0.3,), (None,), (0.3,)], "score double"), spark.createDataFrame([], "score double")
+    assert anomaly.find_threshold(some, none).count() == 0
+    alone = anomaly.find_threshold(none, some).first()
+    assert (alone["threshold"], alone["found"], alone["failures"], alone["false_alarms"]) == (0.0, True, 2, 0)
+    tied = anomaly.find_threshold(some, some).first()
+    assert (tied["threshold"], tied["found"], tied["false_alarms"]) == (0.3, False, 2)
+
+
+def test_absolute_failures_stay_an_option(spark, model):
+    rows = {r["shape"]: r for r in anomaly.failure_rows(spark, model, absolute=anomaly.FAILURE_SHAPES).collect()}
+    assert rows["replication_lag_spike"]["replication_lag_seconds"] == 30.0 and rows["slow_inserts"]["p99_write_latency_ms"] == 200.0
