@@ -17,8 +17,8 @@ from driftgate.plans.registry import check, table
 from driftgate.plans.risk_checks import DRAWS, STATES_SQL, cost_sql, states
 from driftgate.session import shared_folder
 from driftgate.sources.cdc import read_cdc_files
-from driftgate.sources.tables import BucketedTable
-from driftgate.streaming import apply, metrics, stateful
+from driftgate.sources.tables import BucketedTable, list_folder, set_time
+from driftgate.streaming import apply, carry, metrics
 
 _FILE_ROWS = 250_000  # of one batch
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -91,10 +91,14 @@ def dedup_stream(spark, folder) -> DataFrame:
               WHEN band = 'PROCEED' AND previous <> 'PROCEED' THEN 'on_proceed' END AS alert FROM p) WHERE alert IS NOT NULL""",
 )
 def band_alerts_stream(spark, folder) -> DataFrame:
-    evaluations = _events(spark, folder).select(
+    """The event log in eight batches or more; the last band of each run is carried between them."""
+    rows = table(spark, folder, "events").select(
         F.col("event_type").alias("run_id"), F.col("event_id").alias("ts_ms"), risk_band(F.col("value") * 30).alias("band")
     )
-    return _landed(stateful.band_alerts(evaluations))
+    place = _scratch(spark)
+    body = carry.band_alerts(spark, place)
+    apply.run_batches(_in_files(rows, "ts_ms", least=8), body, f"{place}/state").awaitTermination()
+    return body.results()
 
 
 @check(
@@ -104,9 +108,9 @@ def band_alerts_stream(spark, folder) -> DataFrame:
 def tumbling_stream(spark, folder) -> DataFrame:
     """Windows that the watermark has closed, and the open ones from a last batch."""
     def build(rows):
-        return metrics.tumbling(rows, "ts", "1 hour", {"worst": F.max("value"), "n": F.count(F.lit(1))}, ["event_type"])
+        return metrics.tumbling(rows, "ts", "1 hour", {"worst": F.max("value"), "n": F.count(F.lit(1))}, ["event_type"], lateness="1 minute")
 
-    found = _completed(spark, folder, build, ["event_type", "window_start"])
+    found = _completed(spark, folder, build, 60_000_000)
     return found.select("event_type", F.unix_micros("window_start").alias("us"), "worst", "n")
 
 
@@ -121,41 +125,44 @@ def dead_man_stream(spark, folder) -> DataFrame:
     """Four hours in steps of half an hour, over several batches."""
     def build(rows):
         gains = rows.withColumn("gained", F.floor("value").cast("bigint") * 1_000_000)
-        return metrics.dead_man_stream(gains, "ts", "gained", ["event_type"], min_bytes=150_000_000)
+        return metrics.dead_man_stream(gains, "ts", "gained", ["event_type"], min_bytes=150_000_000, lateness="10 minutes")
 
-    found = _completed(spark, folder, build, ["event_type", "window_start"])
+    found = _completed(spark, folder, build, 600_000_000)
     return found.select("event_type", F.unix_micros("window_start").alias("us"), "gained_bytes", "checkpoints", "alert")
 
 
-def _in_files(rows: DataFrame, order: str) -> DataFrame:
-    """The same rows as a stream of four batches or more, in ``order``, so that state is carried from batch to batch.
+def _in_files(rows: DataFrame, order: str, least: int = 4) -> DataFrame:
+    """The same rows as a stream of ``least`` batches or more, in ``order``, so that state is carried from batch to batch.
 
-    The order is cut once and stored: Spark draws the bounds of ranges anew in each evaluation, so cutting it for every
-    file would lose and repeat rows. Ranges in a row share a file of about ``_FILE_ROWS`` rows.
+    The order is cut into ranges of about ``_FILE_ROWS`` rows and stored once, since Spark draws the bounds of ranges anew in
+    each evaluation. All files are written in one job, a range a task and a file; a stream takes older files first, so the
+    files get times in the order of their ranges.
     """
     spark, place = rows.sparkSession, _scratch(rows.sparkSession)
-    dealt = add_order_ranges(rows, [order])
-    sizes = sorted(dealt.groupBy("_range").count().collect())  # one row a range
-    total = sum(n for _, n in sizes)
-    files = max(4, -(-total // _FILE_ROWS))
-    file_of, before = [0] * (sizes[-1][0] + 1 if sizes else 1), 0
-    for number, n in sizes:
-        file_of[number] = before * files // total
-        before += n
-    filed = dealt.withColumn("_file", F.element_at(F.lit(file_of), F.col("_range") + 1)).drop("_range")
-    filed.write.partitionBy("_file").parquet(f"{place}/cut")
-    for number in sorted({file_of[k] for k, _ in sizes}):  # added one by one: a stream takes older files first
-        spark.read.schema(rows.schema).parquet(f"{place}/cut/_file={number}").coalesce(1).write.mode("append").parquet(f"{place}/in")
-    if not sizes:
-        rows.write.parquet(f"{place}/in")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
-
-
-def _completed(spark, folder, build, keys: list[str]) -> DataFrame:
-    """Windows a stream over several batches has closed, and those still open from a batch over the same rows."""
+    ranges = max(least, -(-rows.count() // _FILE_ROWS))
+    add_order_ranges(rows, [order], ranges).write.partitionBy("_range").parquet(f"{place}/in")
+    number = sorted(int(name.partition("=")[2]) for name in list_folder(spark, f"{place}/in") if name.startswith("_range="))
+    for at, k in enumerate(number):
+        files = [f"{place}/in/_range={k}/{name}" for name in list_folder(spark, f"{place}/in/_range={k}")]
+        set_time(spark, [f for f in files if f.endswith(".parquet")], at - len(number))
+    if not number:
+        rows.write.mode("append").parquet(f"{place}/in")
+    reader = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+    return reader.parquet(f"{place}/in")
+
+
+def _completed(spark, folder, build, lateness_us: int) -> DataFrame:
+    """Windows a stream over several batches has closed, and from a batch over the same rows those it must not close yet.
+
+    What the last watermark leaves open is known from the rows alone: windows that end after the latest time less the allowed
+    lateness. Every other window has to come from the stream; one that it loses is missing here, and one that it closes too
+    early is here twice.
+    """
     rows = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     closed = _landed(build(_in_files(rows, "ts")))
-    return closed.unionByName(build(rows).join(closed.select(*keys), keys, "left_anti"))
+    newest = rows.agg(F.max(F.unix_millis("ts"))).scalar()
+    open_ = F.unix_micros("window_end") > newest * 1000 - lateness_us
+    return closed.unionByName(build(rows).where(open_))
 
 
 @check("str9_scored_stream", f"WITH {BEATS_SQL} SELECT count(*) AS n_rows, count(*) AS same_score, count(*) AS in_range FROM beats")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Sequence
 
@@ -139,6 +140,13 @@ def remove_path(spark: SparkSession, path: str) -> bool:
     return system.delete(found, True)
 
 
+def set_time(spark: SparkSession, paths: Sequence[str], seconds: float) -> None:
+    """Give files a modification time, in seconds from now."""
+    for path in paths:
+        found, system = _on_file_system(spark, path)
+        system.setTimes(found, int((time.time() + seconds) * 1000), -1)
+
+
 def touch(spark: SparkSession, path: str) -> None:
     """An empty file, there or not there and nothing in between."""
     found, system = _on_file_system(spark, path)

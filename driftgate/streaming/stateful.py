@@ -1,10 +1,9 @@
-"""Rules that remember: alerts on change, the clean clock, the price buffer, epochs."""
+"""Rules that remember and wait: the clean clock and the price buffer."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,70 +14,6 @@ from driftgate import fixed_values as V
 _HOUR_MS = 3_600_000
 
 
-class _BandAlerts(StatefulProcessor):
-    """Last band per run; a row out for every change worth an alert."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last_band", "band string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("ts_ms", kind="stable")
-        known = self.last.get()[0] if self.last.exists() else "PROCEED"
-        band, before = batch["band"], batch["band"].shift(fill_value=known)
-        alert = np.select(
-            [(band == "BLOCK") & (before != "BLOCK"), (band == "CAUTION") & (before == "PROCEED"), (band == "PROCEED") & before.isin(["BLOCK", "CAUTION"])],
-            ["on_block", "on_caution", "on_proceed"], "",
-        )
-        self.last.update((band.iloc[-1],))
-        out = pd.DataFrame({"run_id": key[0], "ts_ms": batch["ts_ms"], "previous": before, "band": band, "alert": alert})
-        if (alert != "").any():
-            yield out[alert != ""]
-
-    def close(self) -> None:
-        pass
-
-
-def band_alerts(evaluations: DataFrame) -> DataFrame:
-    """Alerts from a stream of (run_id, ts_ms, band); one evaluation per run each half minute or so.
-
-    A run's rows of one micro-batch are held together while they are compared, so the trigger bounds them.
-    """
-    return evaluations.select("run_id", "ts_ms", "band").groupBy("run_id").transformWithStateInPandas(
-        _BandAlerts(), "run_id string, ts_ms bigint, previous string, band string, alert string", "append", "none"
-    )
-
-
-class _MaxEpoch(StatefulProcessor):
-    """Highest accepted epoch per domain."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.highest = handle.getValueState("max_epoch", "epoch bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("seq")
-        known = int(self.highest.get()[0]) if self.highest.exists() else 0
-        epochs = batch["epoch"].to_numpy()
-        running = pd.Series(epochs).cummax().shift(fill_value=known).clip(lower=known).to_numpy()
-        self.highest.update((max(known, int(epochs.max())),))
-        yield pd.DataFrame(
-            {"domain": key[0], "seq": batch["seq"].to_numpy(), "epoch": epochs, "max_seen": running, "accepted": epochs >= running}
-        )
-
-    def close(self) -> None:
-        pass
-
-
-def fence_stream(writes: DataFrame) -> DataFrame:
-    """Low-latency fencing of (domain, seq, epoch) with keyed state.
-
-    One domain is one state key; where a domain can be a large share of all
-    writes use :class:`driftgate.streaming.apply.FenceApplier`.
-    """
-    return writes.select("domain", "seq", "epoch").groupBy("domain").transformWithStateInPandas(
-        _MaxEpoch(), "domain string, seq bigint, epoch bigint, max_seen bigint, accepted boolean", "append", "none"
-    )
-
-
 class _CleanClock(StatefulProcessor):
     """Time of the last hard divergence and counts; reports when the window has passed without one."""
 

@@ -1,5 +1,8 @@
 """Streams on file sources: batch and stream agree, restarts change nothing."""
 
+import os
+import random
+import sys
 import tempfile
 
 import pandas as pd
@@ -12,7 +15,10 @@ from driftgate.plans import stream_checks
 from driftgate.plans.cdc_inputs import fencing_log, raw_log, stale_target
 from driftgate.sources.cdc import good_events, parse_cdc, read_cdc_files
 from driftgate.sources.tables import BucketedTable, list_folder, remove_path
-from driftgate.streaming import apply, metrics, stateful
+from driftgate.streaming import apply, carry, metrics, stateful
+
+sys.path.insert(0, os.path.join(os.path.dirname(__file__), "..", "tools"))
+import verify  # noqa: E402
 
 
 @pytest.fixture
@@ -123,30 +129,46 @@ def test_fence_applier_equals_batch(spark, sf, folder):
     assert rejected == {k for k, ok in want.items() if not ok}
 
 
-def test_stateful_fence_equals_batch(spark, sf, folder):
-    log = _fence_files(spark, sf, folder)
-    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    out = stateful.fence_stream(stream.withColumnRenamed("table_name", "domain"))
-    finish(
-        out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/c")
-        .trigger(availableNow=True).start()
-    )
-    want = {r["seq"]: r["accepted"] for r in fencing.fence(log, keys=["table_name"]).collect()}
-    assert {r["seq"]: r["accepted"] for r in spark.read.parquet(f"{folder}/out").collect()} == want
+def brute_alerts(rows):
+    """Alerts of (run, ts, band) rows, one run after another."""
+    out, last = [], {}
+    for run, ts, band in sorted(rows, key=lambda r: r[1]):
+        before = last.get(run, "PROCEED")
+        if band is not None:
+            last[run] = band
+            if band == "BLOCK" != before or (band == "CAUTION" and before == "PROCEED") or (band == "PROCEED" != before):
+                out.append((run, ts, before, band))
+    return sorted(out, key=lambda r: r[1])
+
+
+def test_band_alerts_with_a_hot_run_over_many_batches(spark, folder):
+    """One run has nine rows in ten; some rows have no band; a batch that runs again changes nothing; a lost carry stops."""
+    rnd = random.Random(6)
+    rows = [("hot" if rnd.random() < 0.9 else f"r{rnd.randrange(5)}", t, rnd.choice(["PROCEED", "CAUTION", "BLOCK", "BLOCK", None])) for t in range(4000)]
+    schema = "run_id string, ts_ms bigint, band string"
+    body = carry.band_alerts(spark, f"{folder}/a")
+    finish(apply.run_batches(stream_checks._in_files(spark.createDataFrame(rows, schema), "ts_ms", least=8), body, f"{folder}/c"))
+    found = sorted(map(tuple, body.results().select("run_id", "ts_ms", "previous", "band").collect()), key=lambda r: r[1])
+    assert found == brute_alerts(rows)
+    batches = spark.read.parquet(f"{folder}/a/last").select("batch_id").distinct().count()
+    assert batches >= 8
+    more = [("hot", 5000, "PROCEED"), ("new", 5001, "CAUTION"), ("hot", 5002, "BLOCK")]
+    for _ in range(2):
+        body(spark.createDataFrame(more, schema), batches)
+    again = sorted(map(tuple, body.results().select("run_id", "ts_ms", "previous", "band").collect()), key=lambda r: r[1])
+    assert again == brute_alerts(rows + more)
+    remove_path(spark, f"{folder}/a/last/batch_id={batches}")
+    with pytest.raises(AnalysisException):
+        body(spark.createDataFrame(more, schema), batches + 1)
 
 
-def test_band_alerts_only_on_change(spark, folder):
-    bands = ["PROCEED", "CAUTION", "CAUTION", "BLOCK", "BLOCK", "CAUTION", "PROCEED", "BLOCK"]
-    for i in range(0, 8, 2):
-        rows = [("r", j, bands[j]) for j in (i, i + 1)]
-        spark.createDataFrame(rows, "run_id string, ts_ms bigint, band string").coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema("run_id string, ts_ms bigint, band string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    finish(
-        stateful.band_alerts(stream).writeStream.format("parquet").option("path", f"{folder}/out")
-        .option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start()
-    )
-    got = [(r["ts_ms"], r["alert"]) for r in spark.read.parquet(f"{folder}/out").orderBy("ts_ms").collect()]
-    assert got == [(1, "on_caution"), (3, "on_block"), (6, "on_proceed"), (7, "on_block")]
+@pytest.mark.parametrize("name", ["str7_tumbling_stream", "str8_dead_man_stream"])
+def test_a_lost_window_fails_its_entry(spark, sf, name, monkeypatch):
+    con = verify.connect(sf)
+    assert verify.compare(spark, con, name, sf)[0]
+    landed = stream_checks._landed
+    monkeypatch.setattr(stream_checks, "_landed", lambda stream: landed(stream).where("event_type <> 'error'"))
+    assert not verify.compare(spark, con, name, sf)[0]
 
 
 def test_clean_clock_restarts_and_completes(spark, folder):
