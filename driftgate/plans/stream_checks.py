@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import StreamingQueryException
 
 from driftgate.functions.risk_rules import risk_band
 from driftgate.operators import anomaly
@@ -16,9 +17,10 @@ from driftgate.plans.cdc_inputs import FENCE_SQL, LOG_SQL, raw_log, stale_target
 from driftgate.plans.registry import check, table
 from driftgate.plans.risk_checks import DRAWS, STATES_SQL, cost_sql, states
 from driftgate.session import shared_folder
-from driftgate.sources.cdc import read_cdc_files
+from driftgate.sources import segments
+from driftgate.sources.cdc import RAW_SCHEMA, read_cdc_files
 from driftgate.sources.tables import BucketedTable, list_folder, set_time
-from driftgate.streaming import apply, carry, metrics
+from driftgate.streaming import apply, carry, metrics, watch
 
 _FILE_ROWS = 250_000  # of one batch
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -197,8 +199,7 @@ def risk_stream(spark, folder) -> DataFrame:
     return spark.read.parquet(f"{place}/out").select("state_id", "p95_usd", "recommendation", "event_horizon_seconds")
 
 
-@check("str1_apply_stream", f"WITH {LOG_SQL}, {STEPS_SQL} SELECT * FROM applied")
-def apply_stream(spark, folder) -> DataFrame:
+def _applied(spark, folder) -> tuple[str, BucketedTable]:
     """The change log in three files, one a batch, with partial images and repeats, and the last batch once more."""
     place = _scratch(spark)
     log = raw_log(spark, folder)
@@ -211,5 +212,52 @@ def apply_stream(spark, folder) -> DataFrame:
     applier = apply.CdcApplier(spark, held, f"{place}/sink", {f.name: f.dataType.simpleString() for f in target.schema.fields})
     raw = read_cdc_files(spark, f"{place}/raw", streaming=True, files_per_trigger=1)
     apply.run_apply(raw, applier, f"{place}/state").awaitTermination()
-    applier(spark.read.schema(raw.schema).json(f"{place}/raw"), 99)
+    return place, held
+
+
+@check("str1_apply_stream", f"WITH {LOG_SQL}, {STEPS_SQL} SELECT * FROM applied")
+def apply_stream(spark, folder) -> DataFrame:
+    place, held = _applied(spark, folder)
+    applier = apply.CdcApplier(spark, held, f"{place}/sink", {f.name: f.dataType.simpleString() for f in held.schema.fields})
+    applier(spark.read.schema(RAW_SCHEMA).json(f"{place}/raw"), 99)
     return held.read()
+
+
+@check(
+    "snk6_stream_counters",
+    f"""WITH {LOG_SQL}, lastone AS (SELECT identity, coalesce(ts_ms, 0) AS t FROM good ORDER BY coalesce(ts_ms, 0) DESC, off DESC LIMIT 1)
+        SELECT (SELECT count(DISTINCT event_id) FROM good) AS events_processed, (SELECT count(*) - count(DISTINCT event_id) FROM good) AS events_deduplicated,
+               count(*) FILTER (status = 'corrupt') AS events_dlq, count(*) FILTER (status = 'tombstone') AS tombstones,
+               (SELECT identity FROM lastone) AS last_gtid, (SELECT t FROM lastone) AS last_event_ts_ms, 3::BIGINT AS batches FROM log""",
+)
+def stream_counters(spark, folder) -> DataFrame:
+    """Counters that the batches of the applied stream have left behind."""
+    place, _ = _applied(spark, folder)
+    return watch.sink_totals(spark, f"{place}/sink")
+
+
+@check("src6_segment_log", f"""WITH {LOG_SQL} SELECT CAST(part AS INTEGER) AS "partition", off AS "offset", status <> 'tombstone' AS has_value, 1::BIGINT AS times FROM log""")
+def segment_log(spark, folder) -> DataFrame:
+    """A log read by offsets in batches that end inside its files, with a query that dies half-way and is started again."""
+    place, log = _scratch(spark), raw_log(spark, folder)
+    rows = log.count()
+    segments.write_segments(log, f"{place}/log", rows=max(10, rows // 16))
+    stream = segments.read_segments(spark, f"{place}/log", f"{place}/admitted", per_batch=max(7, rows // 28))
+    died = []
+
+    def body(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/out/batch_id={batch_id}")
+        if batch_id == 2 and not died:
+            died.append(batch_id)
+            raise RuntimeError("driver lost")
+
+    for _ in range(2):
+        query = stream.writeStream.foreachBatch(body).option("checkpointLocation", f"{place}/state").start()
+        try:
+            query.processAllAvailable()
+        except StreamingQueryException:
+            if not died:
+                raise
+        query.stop()
+    found = spark.read.parquet(f"{place}/out")
+    return found.groupBy("partition", "offset", F.col("value").isNotNull().alias("has_value")).agg(F.count(F.lit(1)).alias("times"))

@@ -149,8 +149,15 @@ def set_time(spark: SparkSession, paths: Sequence[str], seconds: float) -> None:
 
 def touch(spark: SparkSession, path: str) -> None:
     """An empty file, there or not there and nothing in between."""
+    write_text(spark, path, "")
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file of a text, in place of any of that name."""
     found, system = _on_file_system(spark, path)
-    system.create(found, True).close()
+    stream = system.create(found, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
 
 
 def write_ledger(rows: DataFrame, path: str, batch_id: int) -> None:
@@ -210,12 +217,8 @@ def read_keyed_json(spark: SparkSession, path: str, value_schema: str, key: str,
     return text.select(entries)
 
 
-def observe_sink(df: DataFrame, name: str = "sink", outcome: Column | None = None) -> DataFrame:
-    """Attach counters that streaming progress and batch listeners report."""
-    metrics = [F.count(F.lit(1)).alias("rows"), F.max("ts_ms").alias("last_ts_ms")]
-    if outcome is not None:
-        metrics += [
-            F.count_if(outcome == "applied").alias("processed"),
-            F.count_if(outcome == "deduplicated").alias("deduplicated"),
-        ]
-    return df.observe(name, *metrics)
+def observe_rows(df: DataFrame, name: str = "source") -> DataFrame:
+    """Attach counts of raw records that streaming progress reports: rows, tombstones and the highest offset."""
+    return df.observe(
+        name, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("value").isNull()).alias("tombstones"), F.max("offset").alias("last_offset")
+    )

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from driftgate.operators.cdc import dedup_batch, ledger_rows, net_changes, with_event_id
 from driftgate.operators.fencing import audit_rows, fence
 from driftgate.sources.cdc import dead_letters, good_events, parse_cdc
-from driftgate.sources.tables import BucketedTable, observe_sink, read_ledger, remove_ledger_days, write_ledger
+from driftgate.sources.tables import BucketedTable, observe_rows, read_ledger, remove_ledger_days, write_ledger
 
 
 def deduplicated(events: DataFrame, event_time: str, horizon: str = "7 days") -> DataFrame:
@@ -69,7 +69,7 @@ class CdcApplier:
                 events, late = split_late(events, "_at", F.when(F.col("ts_ms") != 0, oldest))
                 late.drop("_at").write.mode("overwrite").parquet(f"{self.folder}/late/batch_id={batch_id}")
             ledger = read_ledger(self.spark, f"{self.folder}/ledger", batch_id, days["first"], days["last"])
-            fresh = observe_sink(dedup_batch(events, ledger), "sink").persist()
+            fresh = dedup_batch(events, ledger).persist()
             others = [c for c in self.columns if c not in pk]
             net = net_changes(fresh, pk, others)
             keys = [F.col(f"_pk_{k}").cast(self.columns[k]).alias(k) for k in pk]
@@ -80,11 +80,31 @@ class CdcApplier:
             deletes = net.where("not _alive").select(*keys)
             self.table.write_batch(self._completed(upserts, others), deletes, batch_id)
             write_ledger(ledger_rows(fresh, F.col("_at")), f"{self.folder}/ledger", batch_id)
+            self._counters(parsed, events, fresh).write.mode("overwrite").parquet(f"{self.folder}/counters/batch_id={batch_id}")
         finally:
             parsed.unpersist()
             if fresh is not None:
                 fresh.unpersist()
 
+    def _counters(self, parsed: DataFrame, events: DataFrame, fresh: DataFrame) -> DataFrame:
+        """One row of the batch's figures; ``watch.sink_totals`` adds the batches up."""
+
+        def number(which: str) -> Column:
+            return F.coalesce(F.sum(F.when(F.col("kind") == which, F.col("n"))), F.lit(0)).cast("bigint")
+
+        latest = F.max(F.struct("ts_ms", "offset", "gtid"))
+        none = F.lit(None).cast("struct<ts_ms:bigint,offset:bigint,gtid:string>")
+        shapes = parsed.where("status <> 'event'").groupBy(F.col("status").alias("kind")).agg(F.count(F.lit(1)).alias("n"), none.alias("latest"))
+        given = events.groupBy(F.lit("given").alias("kind")).agg(F.count(F.lit(1)).alias("n"), none.alias("latest"))
+        done = fresh.groupBy(F.lit("done").alias("kind")).agg(F.count(F.lit(1)).alias("n"), latest.alias("latest"))
+        return shapes.unionByName(given).unionByName(done).agg(
+            number("done").alias("events_processed"), (number("given") - number("done")).alias("events_deduplicated"),
+            number("corrupt").alias("events_dlq"), number("tombstone").alias("tombstones"), F.max("latest").alias("_latest"),
+        ).select(
+            "events_processed", "events_deduplicated", "events_dlq", "tombstones", F.col("_latest.gtid").alias("last_gtid"),
+            F.col("_latest.ts_ms").alias("last_event_ts_ms"), F.col("_latest.offset").alias("last_offset"),
+        )
+
     def _completed(self, upserts: DataFrame, others: Sequence[str]) -> DataFrame:
         """Columns an image leaves out keep the value the table has, unless the row was deleted in between."""
         held = self.table.read().select(*[F.col(k).alias(f"_held_{k}") for k in self.table.pk], *[F.col(c).alias(f"_old_{c}") for c in others])
@@ -105,9 +125,9 @@ class CdcApplier:
 
 
 def run_apply(raw: DataFrame, applier: CdcApplier, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Start applying a raw change stream; by default everything available, then stop."""
+    """Start applying a raw change stream; by default everything available, then stop. Its progress counts the raw records."""
     return (
-        raw.writeStream.foreachBatch(applier).option("checkpointLocation", checkpoint)
+        observe_rows(raw).writeStream.foreachBatch(applier).option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True})).start()
     )
 

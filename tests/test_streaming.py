@@ -4,6 +4,7 @@ import os
 import random
 import sys
 import tempfile
+import time
 
 import pandas as pd
 import pytest
@@ -15,7 +16,8 @@ from driftgate.plans import stream_checks
 from driftgate.plans.cdc_inputs import fencing_log, raw_log, stale_target
 from driftgate.sources.cdc import good_events, parse_cdc, read_cdc_files
 from driftgate.sources.tables import BucketedTable, list_folder, remove_path
-from driftgate.streaming import apply, carry, metrics, stateful
+from driftgate.sources import segments
+from driftgate.streaming import apply, carry, metrics, stateful, watch
 
 sys.path.insert(0, os.path.join(os.path.dirname(__file__), "..", "tools"))
 import verify  # noqa: E402
@@ -346,3 +348,47 @@ def test_lost_epochs_stop_the_fence(spark, folder):
     remove_path(spark, f"{folder}/fence/epochs/batch_id=1")
     with pytest.raises(AnalysisException):
         body(stale, 2)
+
+
+def test_progress_of_a_stream_becomes_a_table(spark, sf, folder):
+    """The listener writes what each batch observed; the sums are those of the whole log."""
+    log = raw_log(spark, sf)
+    log.repartitionByRange(3, "offset").write.json(f"{folder}/raw")
+    target = stale_target(spark, sf)
+    table = BucketedTable(spark, f"{folder}/table", "o_orderkey", target.schema, buckets=4)
+    table.create(target)
+    raw = read_cdc_files(spark, f"{folder}/raw", streaming=True, files_per_trigger=1)
+    listener = watch.ProgressLog(spark, f"{folder}/progress")
+    assert watch.progress_table(spark, f"{folder}/progress").count() == 0
+    spark.streams.addListener(listener)
+    try:
+        finish(apply.run_apply(raw, apply.CdcApplier(spark, table, f"{folder}/sink", COLUMNS), f"{folder}/checkpoint"))
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        for _ in range(50):
+            found = watch.progress_table(spark, f"{folder}/progress")
+            if found.count() >= 3:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    rows = found.select("batch_id", "input_rows", F.col("metrics.source.rows").cast("bigint").alias("rows"), F.col("metrics.source.tombstones").cast("bigint").alias("t")).collect()
+    assert sorted(r["batch_id"] for r in rows) == [0, 1, 2]
+    assert sum(r["rows"] for r in rows) == log.count() and sum(r["t"] for r in rows) == log.where("value is null").count()
+    totals, want = watch.sink_totals(spark, f"{folder}/sink").first(), cdc.sink_counters(parse_cdc(log), ["o_orderkey"]).first()
+    assert {k: totals[k] for k in want.asDict()} == want.asDict()
+
+
+def test_segments_are_read_by_offsets(spark, folder):
+    """Batches of 30 records over segments of 25: each ends inside a file; growth is seen; an empty partition is nothing."""
+    rows = [("t", i % 2, 10 * i, None if i % 9 == 0 else f'line "{i}"\n\u2028é') for i in range(200)]
+    raw = spark.createDataFrame(rows, "topic string, partition int, offset bigint, value string")
+    segments.write_segments(raw, f"{folder}/log", rows=25)
+    reader = segments.SegmentReader(f"{folder}/log", f"{folder}/own", 30)
+    assert reader.initialOffset() == {"0": 0, "1": 0} and reader.latestOffset() == {"0": 30, "1": 30}
+    slices = reader.partitions({"0": 10, "1": 0}, {"0": 30, "1": 0})
+    assert [(s.partition, s.skip, s.take) for s in slices] == [(0, 10, 15), (0, 0, 5)]
+    got = [r for s in slices for r in reader.read(s)]
+    assert [(r[1], r[2], r[3], r[4]) for r in got] == [(0, n, 20 * n, rows[2 * n][3]) for n in range(10, 30)]
+    # planned offsets are remembered by a new reader
+    assert segments.SegmentReader(f"{folder}/log", f"{folder}/own", 30).latestOffset() == {"0": 60, "1": 30}
+    assert segments.SegmentReader(f"{folder}/log", None, 0).latestOffset() == {"0": 100, "1": 100}
