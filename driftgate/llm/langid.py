@@ -14,19 +14,23 @@ from pyspark.sql import functions as F
 UNKNOWN = "und"
 BITS = 17  # of the hashed feature space
 LONGEST = 3  # characters of an n-gram
-_CHUNK = 1 << 20  # characters read at a time
+_CHUNK = 1 << 20  # places whose n-grams are hashed at a time
 _MOST_LANGUAGES = 1000
 _OTHER = re.compile(r"[\W\d_]+")
-_LETTER = re.compile(r"[^\W\d_]")
 
 
-def _grams(text: str) -> np.ndarray:
-    """Hashed features of all n-grams: letters lower-cased, everything between them one blank."""
-    points = np.frombuffer(f" {_OTHER.sub(' ', text.lower()).strip()} ".encode("utf-32-le"), "<u4").astype(np.uint64)
+def _points(text: str) -> np.ndarray:
+    """Code points of the text with letters lower-cased and everything between them one blank, a blank at either end."""
+    return np.frombuffer(f" {_OTHER.sub(' ', text.lower()).strip()} ".encode("utf-32-le"), "<u4")
+
+
+def _grams(points: np.ndarray, starts: int) -> np.ndarray:
+    """Hashed features of the n-grams that begin at one of the first ``starts`` places."""
+    points = points.astype(np.uint64)
     found = []
     rolled = np.zeros(len(points), np.uint64)
     for n in range(1, LONGEST + 1):
-        m = max(len(points) - n + 1, 0)
+        m = max(min(len(points) - n + 1, starts), 0)
         rolled = rolled[:m] * np.uint64(0x9E3779B97F4A7C15) + points[n - 1 : n - 1 + m] + np.uint64(n)
         found.append((rolled * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - BITS)).astype(np.int32))
     return np.concatenate(found)
@@ -34,11 +38,12 @@ def _grams(text: str) -> np.ndarray:
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct features and how often each occurs in the whole text."""
-    if len(text) <= _CHUNK:
-        return np.unique(_grams(text), return_counts=True)
+    points = _points(text)
+    if len(points) <= _CHUNK:
+        return np.unique(_grams(points, len(points)), return_counts=True)
     total = np.zeros(1 << BITS, np.int64)
-    for at in range(0, len(text), _CHUNK):  # overlapping, so that n-grams across the cut are there
-        total += np.bincount(_grams(text[max(at - LONGEST + 1, 0) : at + _CHUNK]), minlength=1 << BITS)
+    for at in range(0, len(points), _CHUNK):  # each n-gram counts where it begins, and may reach across the cut
+        total += np.bincount(_grams(points[at : at + _CHUNK + LONGEST - 1], _CHUNK), minlength=1 << BITS)
     index = np.flatnonzero(total)
     return index.astype(np.int32), total[index]
 
@@ -64,7 +69,7 @@ class LanguageModel:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The likeliest language and its probability; ``und`` and 0 for a text that is null or has no letter."""
-        if not text or not self.languages or not _LETTER.search(text):
+        if not text or not self.languages or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         p = _softmax(self.logits(text) / self.temperature)
         best = int(p.argmax())

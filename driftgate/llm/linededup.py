@@ -54,7 +54,7 @@ def drop_common_lines(
     count and never the last one, so their common lines go. Rows that repeat an id count as one document and each keep or
     lose lines as that document does. Other columns are handed through, whatever their names. No rows give no rows.
     """
-    ident, digest, lines, gone = fresh(docs, "id", "th", "lines", "gone")
+    ident, digest, whole_digest, lines, gone = fresh(docs, "id", "th", "own", "lines", "gone")
     source = docs.select(docs[id_col].alias("_id"), F.coalesce(docs[text_col], F.lit("")).alias("_text"))
     found = _lines(source, min_chars)
     # stored, so that the join below has a shuffle of its own on either side, which Spark splits where a line is very common
@@ -64,8 +64,8 @@ def drop_common_lines(
     drops = drops.select(F.col("_id").alias(ident), F.col("_th").alias(digest), gone)
     # split before the shuffle of the join, so that the lines are there once, as a column
     text = F.coalesce(docs[text_col], F.lit(""))
-    whole = docs.withColumns({lines: F.split(text, "\n"), f"{digest}d": F.xxhash64(text)})
-    joined = whole.join(drops, whole[id_col].eqNullSafe(drops[ident]) & (whole[f"{digest}d"] == drops[digest]), "left")
+    whole = docs.withColumns({lines: F.split(text, "\n"), whole_digest: F.xxhash64(text)})
+    joined = whole.join(drops, whole[id_col].eqNullSafe(drops[ident]) & (whole[whole_digest] == drops[digest]), "left")
     places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
     left = F.array_join(F.transform(places, lambda i: F.get(F.col(lines), i)), "\n")
     counts = {}

@@ -111,13 +111,16 @@ _SPELLED = {
     "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
+# fixed values: other writings of the two signs
+_ESCAPED = {"%40": "@", "&#64;": "@", "&#x40;": "@", "&commat;": "@", "%2e": ".", "&#46;": ".", "&#x2e;": ".", "&period;": "."}
+_STOPS = {"。": ".", "｡": "."}
 _SPELLED_RUN = 7  # digits that a spelled run has at least, if it has not the four parts of an IP address
 _IP_DOTS = 3
 
 
 def _look_alikes() -> dict[str, str]:
     """Letters, digits, dashes and spaces beyond Latin-1 that stand for an ASCII character, and invisible ones."""
-    table = dict(_ALIKE)
+    table = _ALIKE | _STOPS
     for point in [0xA0, 0xAD, *range(0x180, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800)]:
         letter = chr(point)
         category = unicodedata.category(letter)
@@ -140,13 +143,16 @@ _LOOK = re.compile("[" + "".join(map(re.escape, sorted(_LOOKS))) + "]")
 _NUMBER = "|".join(sorted(_SPELLED, key=len, reverse=True))
 _DOT = r"dot|punkt|punto|point"
 _DOT_WORDS = frozenset(_DOT.split("|"))
-_RUN = re.compile(rf"(?<!\w)(?:plus[ \t]+)?(?:{_NUMBER})(?!\w)(?:[ \t,.-]{{1,3}}(?:(?:{_NUMBER}|{_DOT})(?!\w)|[0-9]+))*", re.I)
+_RUN = re.compile(rf"(?<!\w)(?:plus[ \t]+)?(?:(?:{_NUMBER})(?!\w)|[0-9]+(?=[ \t]+(?:{_DOT})(?!\w)))(?:[ \t,.-]{{1,3}}(?:(?:{_NUMBER}|{_DOT})(?!\w)|[0-9]+))*", re.I)
 _TOKEN = re.compile(rf"(plus)|({_NUMBER})(?!\w)|({_DOT}|\.)|([0-9]+)", re.I)
 _PLUS = re.compile(r"(?<!\w)plus[ \t]*(?=[0-9])", re.I)
 _BRACKETS = re.compile(rf"[\[({{<][ \t]*(?:(at|arroba|@)|{_DOT}|\.)[ \t]*[\])}}>]", re.I)
 # without brackets only "dot" counts: the other words for it are too common in prose
 _BARE = re.compile(r"(?<=[A-Za-z0-9])(?:[ \t]+(?:at|arroba)[ \t]+|@)[A-Za-z0-9-]+(?:(?:[ \t]+dot[ \t]+|\.)[A-Za-z0-9-]+)+", re.I)
 _BARE_SIGN = re.compile(r"[ \t]+(?:(at|arroba)|dot)[ \t]+", re.I)
+_ESCAPE = re.compile("|".join(map(re.escape, _ESCAPED)), re.I)
+_UNDERSCORED = re.compile(r"[A-Za-z0-9]_(?:at|arroba)_[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?:_dot_[A-Za-z0-9-]+)+", re.I)
+_UNDERSCORED_SIGN = re.compile(r"_(?:(at|arroba)|dot)_", re.I)
 _DOTTED = re.compile(rf"(?<=[0-9])[ \t]+(?:{_DOT})[ \t]+(?=[0-9])", re.I)
 
 
@@ -203,6 +209,11 @@ def _undisguised(text: str, lower: str) -> list[tuple[int, int, str]]:
             while end < len(text) and text[end] in " \t":
                 end += 1
             edits.append((begin, end, "@" if m[1] else "."))
+    if "%" in text or "&" in text:
+        edits += [(m.start(), m.end(), _ESCAPED[m[0].lower()]) for m in _ESCAPE.finditer(text)]
+    if "_at_" in lower or "_arroba_" in lower:
+        for m in _UNDERSCORED.finditer(text):
+            edits += [(s.start(), s.end(), "@" if s[1] else ".") for s in _UNDERSCORED_SIGN.finditer(text, *m.span())]
     if any(word in lower for word in _DOT_WORDS):
         edits += [(m.start(), m.end(), ".") for m in _DOTTED.finditer(text)]
         for m in _BARE.finditer(text):

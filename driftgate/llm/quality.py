@@ -14,9 +14,8 @@ from pyspark.sql.functions import pandas_udf
 
 from driftgate.llm.common import fresh
 
-DICTIONARY_BYTES = 112_640
 BLOCK = 512  # bytes compressed at a time, so that a dictionary weighs the same at every place of a long text
-PIECE, MOST_PIECES = 1024, 20_000  # what a dictionary is trained on
+PIECE = 1024  # bytes of a text that count as one sample for a dictionary
 _LEAST_PIECES = 64  # below that, zstandard can't train: the texts themselves are the dictionary
 
 
@@ -47,14 +46,14 @@ def size_difference(text: str | None, good: zstandard.ZstdCompressor, bad: zstan
     return difference / max(len(raw), 1)
 
 
-def _dictionary(texts: list[str]) -> bytes:
+def _dictionary(texts: list[str], size: int, most_pieces: int) -> bytes:
     raw = [t.encode() for t in texts]
     # round by round, so that a long text does not take the place of many
     longest = max(map(len, raw), default=0)
-    pieces = [t[i : i + PIECE] for i in range(0, longest, PIECE) for t in raw if i < len(t)][:MOST_PIECES]
-    if len(pieces) >= _LEAST_PIECES and sum(map(len, pieces)) > 2 * DICTIONARY_BYTES:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, pieces).as_bytes()
-    return b"\n".join(pieces)[-DICTIONARY_BYTES:] or b"\n" * 8
+    pieces = [t[i : i + PIECE] for i in range(0, longest, PIECE) for t in raw if i < len(t)][:most_pieces]
+    if len(pieces) >= _LEAST_PIECES and sum(map(len, pieces)) > 2 * size:
+        return zstandard.train_dictionary(size, pieces).as_bytes()
+    return b"\n".join(pieces)[-size:] or b"\n" * 8
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -77,12 +76,15 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = 8000, most_chars: int = 20_000, id_col: str = "doc_id", text_col: str = "text",
-        label_col: str = "quality") -> QualityModel | float:
+        label_col: str = "quality", dictionary_bytes: int = 112_640, most_pieces: int = 20_000) -> QualityModel | float:
     """A model from at most ``rows`` labelled texts of at most ``most_chars`` code points.
 
-    These two bounds are of the fit alone: scores cover whole texts. The rows are those with the smallest hash of their
-    id; every second one goes to the dictionaries, the others to the calibration. ``labels`` has 0 or 1 by id; rows with
-    a null id, null or any other label, and ids with both labels are not used. Without texts of both labels there is
+    A dictionary has at most ``dictionary_bytes`` and is trained on the first ``most_pieces`` samples of 1 024 bytes, first
+    ones of all texts before second ones; texts too few to train on are themselves the dictionary, the last
+    ``dictionary_bytes`` of their samples. All four bounds are of the fit alone: scores cover whole texts. The rows are
+    those with the smallest hash of their id; every second one goes to the dictionaries, the others to the calibration.
+    ``labels`` has 0 or 1 by id; rows with a null id, null or any other label, and ids with both labels are not used. Of
+    different texts of one id the smallest is learned from. Without texts of both labels there is
     nothing to tell apart: the share of label 1 comes back (0.5 without any), and is everyone's score.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id"))
@@ -90,8 +92,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 8000, most_chars: int =
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(rows).select("_id", "_label")
     # at most `rows` narrow rows, so small enough to be sent to every task
     texts = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text")).where(F.length("_text").between(1, most_chars))
-    sample = texts.join(F.broadcast(chosen), "_id").select("_id", "_text", "_label").toPandas()
-    sample = sample.drop_duplicates("_id").sort_values("_id", ignore_index=True)
+    # one row an id before anything leaves the tasks, however often an id repeats
+    sample = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
+    sample = sample.select("_id", "_text", "_label").toPandas().sort_values("_id", ignore_index=True)
     good = sample["_label"] == 1
     if good.all() or not good.any():
         return float(good.mean()) if len(sample) else 0.5
@@ -99,7 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 8000, most_chars: int =
     turn = sample.groupby("_label").cumcount() % 2 == 0
     dictionaries = sample[turn]
     model = QualityModel(
-        _dictionary(dictionaries["_text"][good].tolist()), _dictionary(dictionaries["_text"][~good].tolist()), 0.0, 0.0
+        *(_dictionary(dictionaries["_text"][which].tolist(), dictionary_bytes, most_pieces) for which in (good, ~good)), 0.0, 0.0
     )
     rest = sample[~turn] if sample[~turn]["_label"].nunique() == 2 else sample
     pair = model.compressors()

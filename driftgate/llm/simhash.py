@@ -43,24 +43,21 @@ def fingerprint(text: str | None, words: int, seed: int = SEED) -> int:
     return int(np.packbits(counts * 2 > len(starts), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 5, wide: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, th, fp) per row, fp as a signed 64-bit number, th a hash of the text; ``wide`` adds fp2, of another seed.
+def fingerprints(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, th, fp) per row, fp as a signed 64-bit number, th a hash of the text.
 
     Null and word-less texts have fingerprint zero.
     """
     text = F.coalesce(docs[text_col], F.lit(""))
     source = docs.select(docs[id_col].alias("_id"), F.xxhash64(text).alias("_th"), text.alias("_text"))
-    seeds = {"fp": SEED, "fp2": SEED + 1} if wide else {"fp": SEED}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2)
-            found = [np.fromiter((fingerprint(x.as_py(), words, seed) for x in texts), np.uint64, batch.num_rows) for seed in seeds.values()]
-            columns = [batch.column(0), batch.column(1), *(pa.array(f.view(np.int64)) for f in found)]
-            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "th", *seeds])
+            found = np.fromiter((fingerprint(x.as_py(), words, SEED) for x in texts), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=[id_col, "th", "fp"])
 
-    schema = ", ".join(f"{name} bigint" for name in ("th", *seeds))
-    return source.mapInArrow(run, f"`{id_col}` {source.schema['_id'].dataType.simpleString()}, {schema}")
+    return source.mapInArrow(run, f"`{id_col}` {source.schema['_id'].dataType.simpleString()}, th bigint, fp bigint")
 
 
 # Golay keys
@@ -122,17 +119,15 @@ def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def with_keys(fps: DataFrame) -> DataFrame:
-    """Rows of ``fps`` (bigint columns fp, perhaps fp2, and others), once for each key of either fingerprint."""
-    names, marks = fps.columns, _marks(fps)
+    """Rows of ``fps`` (bigint columns, fp among them), once for each key of their fingerprint."""
+    names = fps.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 4096):
                 part = batch.slice(begin, 4096)
                 values = [part.column(i).to_numpy() for i in range(len(names))]
-                found = [golay_keys(values[names.index(mark)].view(np.uint64)) for mark in marks]
-                rows = np.concatenate([r for r, _ in found])
-                keys = np.concatenate([k + (_KINDS * i << 32) for i, (_, k) in enumerate(found)])
+                rows, keys = golay_keys(values[names.index("fp")].view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(v[rows]) for v in values)], names=["key", *names])
 
     return fps.mapInArrow(run, "key bigint, " + ", ".join(f"{n} bigint" for n in names))
@@ -141,18 +136,8 @@ def with_keys(fps: DataFrame) -> DataFrame:
 # links
 
 
-def _marks(df: DataFrame) -> list[str]:
-    return [c for c in ("fp", "fp2") if c in df.columns]
-
-
-def _node(marks: list[str], of: str = "") -> Column:
-    """One number for a fingerprint: itself, or a hash of a wide one."""
-    return F.col(of + marks[0]) if len(marks) == 1 else F.xxhash64(*(of + m for m in marks))
-
-
-def _close(a: str, b: str, marks: list[str], most: int) -> Column:
-    differing = [F.bit_count(F.col(a + m).bitwiseXOR(F.col(b + m))) for m in marks]
-    return sum(differing[1:], differing[0]) <= most
+def _close(a: str, b: str, most: int) -> Column:
+    return F.bit_count(F.col(f"{a}fp").bitwiseXOR(F.col(f"{b}fp"))) <= most
 
 
 def linked(fps: DataFrame, most_differing: int = MOST_DIFFERING) -> DataFrame:
@@ -162,20 +147,17 @@ def linked(fps: DataFrame, most_differing: int = MOST_DIFFERING) -> DataFrame:
     copies become few components, with as many rows as there are keys. Then all rows of a key are compared, but only
     rows of different components come out, so that no link is lost and a family's pairs are not all written.
     """
-    marks = _marks(fps)
-    fps = fps.select(*marks)
+    fps = fps.select("fp")
     keys = with_keys(fps)
-    ends = keys.groupBy("key").agg(F.min(F.struct(*marks)).alias("lo"), F.max(F.struct(*marks)).alias("hi")).where("lo < hi")
+    ends = keys.groupBy("key").agg(F.min(F.struct("fp")).alias("lo"), F.max(F.struct("fp")).alias("hi")).where("lo < hi")
     met = keys.join(ends, "key")
-    stars = [
-        met.where(_close("", f"{end}.", marks, most_differing)).select(_node(marks).alias("u"), _node(marks, f"{end}.").alias("v")) for end in ("lo", "hi")
-    ]
+    stars = [met.where(_close("", f"{end}.", most_differing)).select(F.col("fp").alias("u"), F.col(f"{end}.fp").alias("v")) for end in ("lo", "hi")]
     first = kept(components(stars[0].unionByName(stars[1]).where("u <> v").distinct()))
-    named = fps.withColumn("node", _node(marks)).join(first, "node", "left").select(*marks, F.coalesce("root", "node").alias("label"))
+    named = fps.withColumn("node", F.col("fp")).join(first, "node", "left").select("fp", F.coalesce("root", "node").alias("label"))
     all_keys = with_keys(kept(named))
     left, right = ((all_keys.select(*(F.col(c).alias(f"{side}_{c}") for c in all_keys.columns))) for side in "ab")
     same_key = (F.col("a_key") == F.col("b_key")) & (F.col("a_label") < F.col("b_label"))
-    across = left.join(right, same_key & _close("a_", "b_", marks, most_differing))
+    across = left.join(right, same_key & _close("a_", "b_", most_differing))
     second = components(across.select("a_label", "b_label").distinct(), "a_label", "b_label")
     second = second.select(F.col("node").alias("label"), F.col("root").alias("top"))
     joined = first.select("node", F.col("root").alias("label"))
@@ -184,23 +166,21 @@ def linked(fps: DataFrame, most_differing: int = MOST_DIFFERING) -> DataFrame:
     return joined.unionByName(alone).join(second, "label", "left").select("node", F.coalesce("top", "label").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, most_differing: int = MOST_DIFFERING, wide: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, most_differing: int = MOST_DIFFERING, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, fp, root, component_id) per row: component_id is the smallest id that the row's fingerprint reaches.
 
     Texts are lower-cased (A-Z), split at ASCII white space and hashed in shingles of ``words`` words, repeats included.
     Fingerprints link at ``most_differing`` bits or fewer; equal ones (copies, and all texts without words, null ones
-    included) always do. Up to four bits, no link is missed. ``wide`` adds 64 bits of another seed: keys come from
-    either half, differences are counted in all 128, so a limit can follow a similarity of the shingles closely; links
-    whose halves both differ in more than four bits are then found if they happen to share a key.
+    included) always do. Up to four bits, no link is missed.
 
     root names the component. Ids are bigints; a null id takes part and never names a component, unless all ids are
     null. Repeated rows stay repeated. Other columns are ignored. No rows give no rows.
     """
-    if not wide and not 0 <= most_differing <= MOST_DIFFERING:
+    if not 0 <= most_differing <= MOST_DIFFERING:
         raise ValueError(f"the keys find all pairs with up to {MOST_DIFFERING} differing bits")
-    marks = kept(fingerprints(docs, words, wide, id_col, text_col))
-    node = _node(_marks(marks))
-    fps = kept(marks.groupBy(*_marks(marks)).agg(F.min(id_col).alias("least")))
+    marks = kept(fingerprints(docs, words, id_col, text_col))
+    node = F.col("fp")
+    fps = kept(marks.groupBy("fp").agg(F.min(id_col).alias("least")))
     roots = linked(fps, most_differing)
     nodes = fps.select(node.alias("node"), "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     nodes = kept(nodes)
@@ -208,18 +188,3 @@ def near_duplicates(docs: DataFrame, words: int = 5, most_differing: int = MOST_
     named = kept(nodes.groupBy("root").agg(F.min("least").alias("component_id")))
     known = kept(nodes.join(named, "root").select(F.col("node").alias("_node"), "root", "component_id"))
     return marks.join(known, node == F.col("_node")).select(id_col, "th", "fp", "root", "component_id")
-
-
-def one_of_each(docs: DataFrame, words: int = 5, most_differing: int = 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with its columns, one row of each group of near-duplicates: the one with the smallest id.
-
-    With shingles of five words, 18 of 128 bits stand for a similarity (shared by all distinct shingles) of a little over
-    0.8, roughly, and pairs near that limit may be missed; ``nearcopies`` keeps to it exactly. Null ids come last. Of rows that repeat the chosen id and text, one stays.
-    """
-    groups = near_duplicates(docs, words, most_differing, True, id_col, text_col)
-    first = groups.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "th")).alias("chosen"))
-    first = kept(first.select(F.col("chosen.id").alias("_chosen_id"), F.col("chosen.th").alias("_chosen_th")))
-    (digest,) = fresh(docs, "th")
-    marked = docs.withColumn(digest, F.xxhash64(F.coalesce(docs[text_col], F.lit(""))))
-    found = marked.join(first, marked[id_col].eqNullSafe(first["_chosen_id"]) & (marked[digest] == first["_chosen_th"]), "left_semi")
-    return found.dropDuplicates([id_col, digest]).select(*docs.columns)

@@ -91,10 +91,6 @@ def test_simhash_cases(spark, odd, none):
     assert all(r.component_id == 1 for (_, fp), r in rows.items() if fp == 0)
     assert simhash.near_duplicates(odd).where("doc_id = 4").count() == 2
     assert simhash.near_duplicates(none).count() == 0
-    kept = simhash.one_of_each(odd)
-    assert kept.columns == odd.columns
-    assert sorted((r.doc_id is None, r.doc_id) for r in kept.select("doc_id").collect()) == [(False, 1), (False, 3), (False, 4), (True, None)]
-    assert simhash.one_of_each(none).count() == 0
     with pytest.raises(ValueError):
         simhash.near_duplicates(odd, most_differing=5)
 
@@ -258,13 +254,19 @@ def test_language_cases(spark, odd, none):
     assert {r.lang_pred for r in langid.predict(odd, nothing).collect()} == {"und"}
 
 
-def test_language_features_of_long_texts_are_those_of_whole_texts(monkeypatch):
-    text = "".join(random.Random(1).choice("abc dé") for _ in range(5000))
+@pytest.mark.parametrize("chunk", [3, 50, 700])
+def test_language_features_of_long_texts_are_those_of_whole_texts(monkeypatch, chunk):
+    text = "".join(random.Random(1).choice("abc dé1 .") for _ in range(5000))
     whole = dict(zip(*(x.tolist() for x in langid.features(text)), strict=True))
-    monkeypatch.setattr(langid, "_CHUNK", 700)
-    parts = dict(zip(*(x.tolist() for x in langid.features(text)), strict=True))
-    # the cuts add a few n-grams that touch a chunk's edge and lose none
-    assert all(parts.get(k, 0) >= v for k, v in whole.items()) and sum(parts.values()) - sum(whole.values()) < 100
+    monkeypatch.setattr(langid, "_CHUNK", chunk)
+    assert dict(zip(*(x.tolist() for x in langid.features(text)), strict=True)) == whole
+
+
+def test_language_of_signs_that_are_no_letters(spark):
+    rows = [(i, text, lang) for i in range(30) for text, lang in ((f"der hund schläft {i}", "de"), (f"the dog sleeps {i}", "en"))]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id int, text string, lang string"))
+    assert [model.predict(x)[0] for x in ("²½ ①", "_1_", "٣ 4", "\u0301")] == ["und"] * 4
+    assert model.predict("² hund der")[0] == "de"
 
 
 # 7
@@ -421,3 +423,43 @@ def test_plain_spans_are_the_patterns(spark, odd, none):
     found = pii.find(odd).collect()
     assert len(found) == 7 and {r.spans for r in found} == {""}
     assert pii.find(none).count() == 0
+
+
+# faults once found
+
+
+def test_lines_of_documents_with_every_name_taken(spark):
+    """Columns named like the helpers' own come back as they were."""
+    line = "a line of forty code points or more, said by all of them"
+    rows = [(i, f"{line}\nown {i}", "mine", "own", 7) for i in range(6)]
+    found = linededup.drop_common_lines(spark.createDataFrame(rows, "doc_id bigint, text string, _thd string, _own string, _gone int"))
+    assert {(r._thd, r._own, r._gone) for r in found.collect()} == {("mine", "own", 7)}
+    assert sorted(r.text for r in found.collect())[0] == f"{line}\nown 5"
+
+
+def test_quality_learns_one_text_of_an_id(spark):
+    """An id repeated very often, with different texts, sends one row to the driver, the same in any order."""
+    good = [(i, f"calm steady words about gardens and rivers number {i} " * 5) for i in range(20)]
+    bad = [(100 + i, f"BUY!!! $$$ NOW {i} ### " * 9) for i in range(20)]
+    again = [(3, f"other text {i % 7} of the same id") for i in range(5000)]
+    labels = spark.createDataFrame([(i, 1) for i, _ in good] + [(i, 0) for i, _ in bad], "doc_id bigint, quality int")
+    one = quality.fit(docs(spark, good + bad + again), labels)
+    two = quality.fit(docs(spark, list(reversed(good + bad + again))).repartition(7), labels)
+    assert one == two
+
+
+def test_more_disguises_are_found():
+    shown = {
+        "mail john%40example.com now": "john%40example.com",
+        "mail john&#64;example.com now": "john&#64;example.com",
+        "mail john_at_example_dot_com now": "john_at_example_dot_com",
+        "at 192。168。0。1 there": "192。168。0。1",
+        "host 10 dot zero dot zero dot one up": "10 dot zero dot zero dot one",
+    }
+    for text, wanted in shown.items():
+        base, every = pii.all_spans(text)
+        spans = [text[a:b] for kind in every for a, b in every[kind] if (a, b) not in base[kind]]
+        assert spans == [wanted], (text, spans)
+    for text in ("look_at_this.now and 50%40", "5 dot three is a number", "rock &amp; roll_at_home"):
+        base, every = pii.all_spans(text)
+        assert base == every
