@@ -63,11 +63,11 @@ def fk_levels(edges: DataFrame, tables: DataFrame | None = None, max_rounds: int
     ``edges`` has from_table (child) and to_table (parent). Every round settles
     the tables whose parents are all settled and takes their edges away; each
     round's small remainder is checkpointed. Tables on a cycle, or below one, are
-    never settled and come back with a null level. References of a table to itself
+    never settled and come back with a null level; ``fk_order`` has one for them too. References of a table to itself
     are left out. Tables without edges get level 0. There are as many rounds as
     levels; if ``max_rounds`` does not suffice, that is an error and no cycle.
     """
-    pairs = edges.where(F.col("from_table") != F.col("to_table")).select("from_table", "to_table").distinct()
+    pairs = _pairs(edges)
     nodes = edges.select(F.col("from_table").alias("table_name")).unionByName(
         edges.select(F.col("to_table").alias("table_name"))
     )
@@ -94,6 +94,81 @@ def fk_levels(edges: DataFrame, tables: DataFrame | None = None, max_rounds: int
     return nodes.join(settled, "table_name", "left")
 
 
+def cycles(edges: DataFrame) -> DataFrame:
+    """(table_name, component) of the tables on cycles: component is the smallest table that can reach and be reached.
+
+    ``edges`` has from_table and to_table. Round by round, tables without a way in or without a way out are trimmed, as no
+    cycle passes through them. Of what is left each table learns the smallest table that reaches it; from a table that
+    learned itself, the search goes backward among those that learned the same, and finds its component. Components are
+    taken out and the rest starts anew. Every step is a join and a minimum over the edges, combined before the shuffle;
+    steps grow with the longest way inside what is left. References of a table to itself are left out.
+    """
+    left = cut_lineage(_pairs(edges))
+    found: DataFrame | None = None
+    while not (left := _trimmed(left)).isEmpty():
+        names = left.select(F.col("from_table").alias("table_name")).distinct()
+        seen = cut_lineage(names.withColumn("label", F.col("table_name")))
+        before = None
+        while (now := tuple(seen.agg(F.sum(F.xxhash64("table_name", "label").cast("decimal(38,0)"))).first())) != before:
+            before = now
+            reached = left.join(seen.withColumnRenamed("table_name", "from_table"), "from_table").groupBy(F.col("to_table").alias("table_name")).agg(F.min("label").alias("_from"))
+            seen = cut_lineage(seen.join(reached, "table_name", "left").select("table_name", F.least("label", F.coalesce("_from", "label")).alias("label")))
+        inside = left.join(seen.select(F.col("table_name").alias("from_table"), F.col("label").alias("a")), "from_table")
+        inside = inside.join(seen.select(F.col("table_name").alias("to_table"), F.col("label").alias("b")), "to_table").where("a = b")
+        inside = cut_lineage(inside.select("from_table", "to_table"))
+        members = cut_lineage(seen.where("table_name = label"))
+        fresh = members
+        while not fresh.isEmpty():  # backward from the roots
+            step = inside.join(fresh.withColumnRenamed("table_name", "to_table"), "to_table").select(F.col("from_table").alias("table_name"), "label").distinct()
+            fresh = cut_lineage(step.join(members.select("table_name"), "table_name", "left_anti"))
+            members = cut_lineage(members.unionByName(fresh))
+        done = members.withColumnRenamed("label", "component")
+        found = done if found is None else found.unionByName(done)
+        out = members.select("table_name")
+        left = left.join(out.withColumnRenamed("table_name", "from_table"), "from_table", "left_anti")
+        left = cut_lineage(left.join(out.withColumnRenamed("table_name", "to_table"), "to_table", "left_anti"))
+    if found is None:
+        return edges.select(F.col("from_table").alias("table_name"), F.col("from_table").alias("component")).limit(0)
+    size = found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return cut_lineage(found.join(size, "component").select("table_name", "component"))
+
+
+def _pairs(edges: DataFrame) -> DataFrame:
+    return edges.where(F.col("from_table") != F.col("to_table")).select("from_table", "to_table").distinct()
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Only the edges whose both ends have a way in and a way out."""
+    left, n = edges, -1
+    while (now := left.count()) != n:
+        n = now
+        targets = left.select(F.col("to_table").alias("from_table")).distinct()
+        sources = left.select(F.col("from_table").alias("to_table")).distinct()
+        left = cut_lineage(left.join(targets, "from_table", "left_semi").join(sources, "to_table", "left_semi"))
+    return left
+
+
+def fk_order(edges: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """(table_name, level, component, cyclic): a level for every table, those on cycles and below them included.
+
+    Tables that refer to each other in a circle form a component, named after its smallest table, and are processed
+    together; a component comes after the components it refers to, by the longest way. Any other table is a component of
+    its own. Levels are those of ``fk_levels`` where there are no cycles.
+    """
+    looped = cycles(edges)
+    named = looped.select(F.col("table_name").alias("from_table"), F.col("component").alias("a"))
+    joined = _pairs(edges).join(named, "from_table", "left")
+    joined = joined.join(looped.select(F.col("table_name").alias("to_table"), F.col("component").alias("b")), "to_table", "left")
+    between = joined.select(F.coalesce("a", "from_table").alias("from_table"), F.coalesce("b", "to_table").alias("to_table"))
+    nodes = edges.select(F.col("from_table").alias("table_name")).unionByName(edges.select(F.col("to_table").alias("table_name")))
+    if tables is not None:
+        nodes = nodes.unionByName(tables.select("table_name"))
+    placed = nodes.distinct().join(looped, "table_name", "left").select("table_name", F.coalesce("component", "table_name").alias("component"), F.col("component").isNotNull().alias("cyclic"))
+    placed = cut_lineage(placed)
+    levels = fk_levels(between, placed.select(F.col("component").alias("table_name")).distinct())
+    return placed.join(levels.withColumnRenamed("table_name", "component"), "component").select("table_name", "level", "component", "cyclic")
+
+
 def processing_order(levels: DataFrame) -> DataFrame:
     """Tables in processing order; cyclic ones last."""
     return levels.orderBy(F.col("level").asc_nulls_last(), "table_name")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftgate.functions.changes import statement_preview, statement_verb
 from driftgate.functions.risk_rules import latency_proxy
+from driftgate.operators.selection import exact_percentiles
 
 WRITE_VERBS = ("INSERT", "UPDATE", "DELETE")
 
@@ -56,17 +57,19 @@ def with_latency_proxies(traffic: DataFrame) -> DataFrame:
 def true_latencies(log: DataFrame, exact: bool = True) -> DataFrame:
     """Measured p50, p95, p99 and maximum per table and verb, where single latencies exist.
 
-    ``exact=False`` uses a bounded sketch, for groups too large to hold their distinct values.
+    Exact figures come from ranges of the order, so a table with most of the calls is no single buffer; ``exact=False``
+    takes a bounded sketch instead, in one pass.
     """
-    points = [0.5, 0.95, 0.99]
-    found = F.percentile("latency_ms", points) if exact else F.percentile_approx("latency_ms", points, 10_000)
-    grouped = log.groupBy("table_name", "verb").agg(
-        found.alias("_p"), F.max("latency_ms").alias("max_ms"), F.count(F.lit(1)).alias("calls")
-    )
-    return grouped.select(
-        "table_name", "verb", F.col("_p")[0].alias("p50_ms"), F.col("_p")[1].alias("p95_ms"),
-        F.col("_p")[2].alias("p99_ms"), "max_ms", "calls",
-    )
+    points = {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99}
+    keys = ["table_name", "verb"]
+    figures = [F.max("latency_ms").alias("max_ms"), F.count(F.lit(1)).alias("calls")]
+    if exact:
+        counted = log.groupBy(F.struct(*keys).alias("_k")).agg(*figures)
+        found = exact_percentiles(log, keys, "latency_ms", points).select(F.struct(*keys).alias("_k"), *points)
+        return counted.join(found, "_k", "left").select("_k.*", *points, "max_ms", "calls")
+    sketch = F.percentile_approx("latency_ms", list(points.values()), 10_000)
+    grouped = log.groupBy(*keys).agg(sketch.alias("_p"), *figures)
+    return grouped.select(*keys, *[F.col("_p")[i].alias(name) for i, name in enumerate(points)], "max_ms", "calls")
 
 
 def _writes() -> Column:

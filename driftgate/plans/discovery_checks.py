@@ -434,6 +434,10 @@ _GRAPH_SQL = """edges AS (
         SELECT n.t AS table_name, CAST(max(w.level) AS INTEGER) AS level FROM nodes n LEFT JOIN walk w ON n.t = w.t GROUP BY 1""",
 )
 def fk_levels(spark, folder) -> DataFrame:
+    return keys.fk_levels(_graph(spark, folder))
+
+
+def _graph(spark, folder) -> DataFrame:
     """A dependency graph with one node per customer, self references and cycles."""
     key = F.col("c_custkey")
     rows = table(spark, folder, "customer").select("c_custkey")
@@ -445,14 +449,49 @@ def fk_levels(spark, folder) -> DataFrame:
         )
 
     up = F.floor(key / 8)
-    edges = (
+    return (
         edge("t", key, "t", up, key > 0)
         .unionByName(edge("t", key, "t", F.floor(up / 8), key > 64))
         .unionByName(edge("t", key, "t", key, key % 100 == 0))
         .unionByName(edge("x", key, "y", key, key % 50 == 0))
         .unionByName(edge("y", key, "x", key, key % 50 == 0))
     )
-    return keys.fk_levels(edges)
+
+
+_RING_SQL = f"""{_GRAPH_SQL}, rings AS (
+    SELECT * FROM edges
+    UNION ALL SELECT 'p' || c_custkey, 'q' || c_custkey FROM customer WHERE c_custkey % 70 = 0
+    UNION ALL SELECT 'q' || c_custkey, 'r' || c_custkey FROM customer WHERE c_custkey % 70 = 0
+    UNION ALL SELECT 'r' || c_custkey, 'p' || c_custkey FROM customer WHERE c_custkey % 70 = 0
+    UNION ALL SELECT 'p' || c_custkey, 't' || c_custkey FROM customer WHERE c_custkey % 70 = 0
+    UNION ALL SELECT 's' || c_custkey, 'p' || c_custkey FROM customer WHERE c_custkey % 70 = 0
+    UNION ALL SELECT 's' || c_custkey, 'x' || (c_custkey // 50 * 50) FROM customer WHERE c_custkey % 70 = 0)"""
+
+
+@check(
+    "srt6_cyclic_order",
+    f"""WITH RECURSIVE {_RING_SQL}, pairs AS (SELECT DISTINCT child, parent FROM rings WHERE child <> parent),
+        nodes AS (SELECT child AS t FROM rings UNION SELECT parent FROM rings),
+        reach AS (SELECT child AS a, parent AS b FROM pairs UNION SELECT r.a, p.parent FROM reach r JOIN pairs p ON p.child = r.b),
+        comp AS (SELECT n.t, coalesce(min(r.b) FILTER (b.a IS NOT NULL), n.t) AS c, count(b.a) > 0 AS cyclic
+                 FROM nodes n LEFT JOIN reach r ON r.a = n.t LEFT JOIN reach b ON b.a = r.b AND b.b = n.t GROUP BY n.t),
+        up AS (SELECT DISTINCT x.c AS child, y.c AS parent FROM pairs p JOIN comp x ON x.t = p.child JOIN comp y ON y.t = p.parent WHERE x.c <> y.c),
+        walk AS (SELECT DISTINCT c, 0 AS level FROM comp WHERE c NOT IN (SELECT child FROM up)
+                 UNION SELECT u.child, w.level + 1 FROM walk w JOIN up u ON u.parent = w.c),
+        top AS (SELECT c, max(level) AS level FROM walk GROUP BY c)
+        SELECT t AS table_name, CAST(level AS INTEGER) AS level, comp.c AS component, cyclic FROM comp JOIN top ON top.c = comp.c""",
+)
+def cyclic_order(spark, folder) -> DataFrame:
+    """The graph above with rings of three tables, a table above each ring and one below it that also hangs from a ring of two."""
+    key = F.col("c_custkey")
+    ring = table(spark, folder, "customer").where(key % 70 == 0)
+    ends = [("p", "q", key), ("q", "r", key), ("r", "p", key), ("p", "t", key), ("s", "p", key), ("s", "x", F.floor(key / 50) * 50)]
+    edges = _graph(spark, folder)
+    for child, parent, at in ends:
+        edges = edges.unionByName(
+            ring.select(F.concat(F.lit(child), key.cast("string")).alias("from_table"), F.concat(F.lit(parent), at.cast("bigint").cast("string")).alias("to_table"))
+        )
+    return keys.fk_order(edges)
 
 
 @check(

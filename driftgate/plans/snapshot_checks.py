@@ -57,6 +57,55 @@ def chunk_plan(spark, folder) -> DataFrame:
     )
 
 
+_KEY_CHUNK = 700
+#: Chunks over a composite key with a text first, and over a text key where a third of the rows share one value.
+_KEYED_SQL = f"""keyed AS (
+        SELECT 'lineitem' AS t, l_returnflag AS a, CAST(l_orderkey AS BIGINT) AS b, CAST(l_linenumber AS BIGINT) AS c FROM lineitem
+        UNION ALL SELECT 'orders', CASE WHEN o_orderkey % 3 = 0 THEN 'M' ELSE o_orderpriority || o_custkey END, 0, 0 FROM orders),
+    distinct_keys AS (SELECT t, a, b, c, count(*) AS n FROM keyed GROUP BY ALL),
+    placed AS (SELECT *, (sum(n) OVER (PARTITION BY t ORDER BY a, b, c ROWS UNBOUNDED PRECEDING) - n) // {_KEY_CHUNK} AS step FROM distinct_keys),
+    numbered AS (SELECT *, dense_rank() OVER (PARTITION BY t ORDER BY step) - 1 AS chunk_index FROM placed)"""
+
+
+def _keyed(spark, folder) -> dict[str, tuple[DataFrame, list[str]]]:
+    lines = table(spark, folder, "lineitem").select(F.col("l_returnflag").alias("a"), F.col("l_orderkey").cast("bigint").alias("b"), F.col("l_linenumber").cast("bigint").alias("c"))
+    text = F.when(F.col("o_orderkey") % 3 == 0, "M").otherwise(F.concat("o_orderpriority", F.col("o_custkey").cast("string")))
+    orders = table(spark, folder, "orders").select(text.alias("a"))
+    return {"lineitem": (lines, ["a", "b", "c"]), "orders": (orders, ["a"])}
+
+
+@check(
+    "src2_key_chunks",
+    f"""WITH {_KEYED_SQL}, starts AS (SELECT t, CAST(chunk_index AS BIGINT) AS chunk_index, min(row(a, b, c)) AS s, CAST(sum(n) AS BIGINT) AS n_rows FROM numbered GROUP BY t, chunk_index)
+        SELECT t AS table_name, chunk_index, s[1] AS start_a, s[2] AS start_b, s[3] AS start_c, lead(s[1]) OVER (PARTITION BY t ORDER BY chunk_index) AS end_a, n_rows FROM starts""",
+)
+def key_chunks(spark, folder) -> DataFrame:
+    """Equal shares of keys that are no single integer."""
+    parts = []
+    for name, (rows, pk) in _keyed(spark, folder).items():
+        found = snapshot_reads.key_chunks(rows, pk, _KEY_CHUNK)
+        start = [F.col("start_key")[c] if c in pk else F.lit(0).cast("bigint") for c in ("a", "b", "c")]
+        parts.append(found.select(
+            F.lit(name).alias("table_name"), "chunk_index", *[s.alias(f"start_{c}") for s, c in zip(start, ("a", "b", "c"), strict=True)],
+            F.col("end_key")["a"].alias("end_a"), F.col("rows").alias("n_rows"),
+        ))
+    return parts[0].unionByName(parts[1])
+
+
+@check(
+    "src1_key_ranges",
+    f"""WITH {_KEYED_SQL} SELECT t AS table_name, CAST(chunk_index AS BIGINT) AS chunk_index, a, b, c, CAST(n AS BIGINT) AS n_rows FROM numbered""",
+)
+def key_ranges(spark, folder) -> DataFrame:
+    """The chunk of every row, by carrying the chunk starts along the order."""
+    parts = []
+    for name, (rows, pk) in _keyed(spark, folder).items():
+        found = snapshot_reads.in_key_chunks(rows, pk, snapshot_reads.key_chunks(rows, pk, _KEY_CHUNK))
+        columns = [F.col(c) if c in pk else F.lit(0).cast("bigint").alias(c) for c in ("a", "b", "c")]
+        parts.append(found.groupBy(F.lit(name).alias("table_name"), "chunk_index", *columns).agg(F.count(F.lit(1)).alias("n_rows")))
+    return parts[0].unionByName(parts[1])
+
+
 @check(
     "prj31_chunk_of_row",
     f"""SELECT CAST((o_orderkey - (SELECT min(o_orderkey) FROM orders)) // {_CHUNK} AS BIGINT) AS chunk_index,

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftgate import fixed_values as V
+from driftgate.operators.prefix import running_scan
 
 _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
@@ -37,7 +41,7 @@ def read_jdbc_chunks(
 def chunk_plan(df: DataFrame, table: str, pk: str, size: int = V.CHUNK_SIZE) -> DataFrame:
     """Half-open key ranges covering a table; the last one is open.
 
-    An empty table has no chunks, a key that is not an integer gives one chunk.
+    An empty table has no chunks, a key that is not an integer gives one chunk; ``key_chunks`` splits those as well.
     Only the smallest and largest key are computed from the data.
     """
     bounds = df.agg(F.min(pk).alias("low"), F.max(pk).alias("high")).where("low is not null")
@@ -78,3 +82,58 @@ def in_key_order(df: DataFrame, pk: str, partitions: int | None = None) -> DataF
     """Range partitions, each sorted by key: ordered output without a single sorting task."""
     ranged = df.repartitionByRange(partitions, pk) if partitions else df.repartitionByRange(pk)
     return ranged.sortWithinPartitions(pk)
+
+
+def key_chunks(df: DataFrame, pk: Sequence[str], size: int = V.CHUNK_SIZE) -> DataFrame:
+    """Chunks of about ``size`` rows over any orderable key, of one or several columns: chunk_index, start_key, end_key, rows.
+
+    Keys are structs of the key's columns. A chunk takes the rows with start_key <= key < end_key, the last one has no end.
+    Split points are the keys at every ``size``-th row of the whole order, found by range, so a chunk has fewer than twice
+    ``size`` rows unless one key value has more; equal keys share a chunk. Only the key's columns are read. Rows with a null
+    in the key come as one more chunk of index -1 without bounds, if there are any. No rows, no chunks.
+    """
+    names, key = list(pk), F.struct(*pk)
+    whole = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in names))
+    counted = df.select(*names).where(whole).groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+    placed = running_scan(counted, names, {"_upto": ("sum", F.col("_n"))})
+    step = F.call_function("div", F.col("_upto") - F.col("_n"), F.lit(size).cast("bigint"))
+    chunks = placed.groupBy(step.alias("_step")).agg(F.min(key).alias("start_key"), F.sum("_n").alias("rows"))
+    ordered = Window.partitionBy(F.lit(0)).orderBy("_step")  # a row a chunk
+    listed = chunks.select(
+        (F.row_number().over(ordered) - 1).cast("bigint").alias("chunk_index"), "start_key", F.lead("start_key").over(ordered).alias("end_key"), "rows"
+    )
+    none = F.lit(None).cast(listed.schema["start_key"].dataType)
+    lost = df.where(~whole).agg(F.count(F.lit(1)).alias("rows")).where("rows > 0")
+    return listed.unionByName(lost.select(F.lit(-1).cast("bigint").alias("chunk_index"), none.alias("start_key"), none.alias("end_key"), "rows"))
+
+
+def key_range(pk: Sequence[str], start: Row | tuple | None, end: Row | tuple | None) -> Column:
+    """start <= key < end on several columns, in plain comparisons; the one on the first column alone can reach the scan."""
+    names = list(pk)
+
+    def compare(bound, first: str, equal: bool) -> Column:
+        # the largest differing column decides: a > x, or a = x and the rest compares
+        rest = F.lit(equal)
+        for name, value in reversed(list(zip(names, bound, strict=True))):
+            column, limit = F.col(name), F.lit(value)
+            beyond = column > limit if first == ">" else column < limit
+            rest = beyond | ((column == limit) & rest)
+        lead = F.col(names[0]) >= F.lit(bound[0]) if first == ">" else F.col(names[0]) <= F.lit(bound[0])
+        return lead & rest
+
+    if start is None:
+        return reduce(lambda a, b: a | b, (F.col(c).isNull() for c in names))
+    parts = [F.col(c).isNotNull() for c in names[1:]]  # rows with a null in the key are a chunk of their own
+    parts += [compare(start, ">", True)] + ([compare(end, "<", False)] if end is not None else [])
+    return reduce(lambda a, b: a & b, parts)
+
+
+def in_key_chunks(df: DataFrame, pk: Sequence[str], chunks: DataFrame) -> DataFrame:
+    """``df`` with the chunk_index of each row. Chunk starts are carried along the order of keys, range by range."""
+    names = list(pk)
+    rows = df.select(*names, F.struct(*df.columns).alias("_row"), F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("_chunk"))
+    starts = chunks.where("chunk_index >= 0").select(*[F.col("start_key")[c].alias(c) for c in names], F.lit(0).alias("_kind"), F.col("chunk_index").alias("_chunk"))
+    merged = rows.unionByName(starts, allowMissingColumns=True)
+    found = running_scan(merged, [*names, "_kind"], {"chunk_index": ("max", F.col("_chunk"))}).where("_kind = 1")
+    null = reduce(lambda a, b: a | b, (F.col(c).isNull() for c in names))
+    return found.select("_row.*", F.when(null, F.lit(-1).cast("bigint")).otherwise(F.col("chunk_index")).alias("chunk_index"))
