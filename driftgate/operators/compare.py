@@ -106,31 +106,30 @@ def classify_divergence(
     if hard is None:
         hard = F.coalesce(F.size(diff) > 0, F.lit(False))
 
-    def verdict(kind: str, details) -> Column:
-        words = details if isinstance(details, Column) else F.lit(details)
-        return F.struct(F.lit(kind).alias("class"), words.alias("details"))
-
     deleted = F.upper(op) == "DELETE"
     neither = ~has_edge & ~has_target
     slow = (edge_ms > 0) & (target_ms > edge_ms * V.TIMING_FACTOR)
     listed = F.to_json(diff, {"ignoreNullFields": "false"})
     values = F.concat(F.lit(V.MSG_VALUES_PREFIX), listed if detail_chars is None else F.left(listed, F.lit(detail_chars)))
-    answer = (
-        F.when(deleted & neither, verdict("NONE", V.MSG_BOTH_DELETED))
-        .when(deleted & ~has_edge & has_target, verdict("A", V.MSG_DELETE_LEFT_ON_TARGET))
-        .when(deleted & has_edge & ~has_target, verdict("B", V.MSG_DELETE_EDGE_ONLY))
-        .when(~deleted & neither, verdict("B", V.MSG_BOTH_MISSING))
-        .when(~deleted & has_edge & ~has_target, verdict("A", V.MSG_MISSING_ON_TARGET))
-        .when(~deleted & ~has_edge & has_target, verdict("B", V.MSG_MISSING_ON_EDGE))
-        .when(~deleted & hard, verdict("A", values))
-    )
+    cases = [
+        (deleted & neither, "NONE", F.lit(V.MSG_BOTH_DELETED)),
+        (deleted & ~has_edge & has_target, "A", F.lit(V.MSG_DELETE_LEFT_ON_TARGET)),
+        (deleted & has_edge & ~has_target, "B", F.lit(V.MSG_DELETE_EDGE_ONLY)),
+        (~deleted & neither, "B", F.lit(V.MSG_BOTH_MISSING)),
+        (~deleted & has_edge & ~has_target, "A", F.lit(V.MSG_MISSING_ON_TARGET)),
+        (~deleted & ~has_edge & has_target, "B", F.lit(V.MSG_MISSING_ON_EDGE)),
+        (~deleted & hard, "A", values),
+    ]
     if soft is not None:
-        answer = answer.when(~deleted & soft, verdict("B", V.MSG_SOFT_NULL))
-    answer = answer.when(slow, verdict("C", F.format_string(V.MSG_TIMING_FORMAT, target_ms, edge_ms)))
-    answer = answer.otherwise(verdict("NONE", V.MSG_NO_DIVERGENCE))
+        cases.append((~deleted & soft, "B", F.lit(V.MSG_SOFT_NULL)))
+    cases.append((slow, "C", F.format_string(V.MSG_TIMING_FORMAT, target_ms, edge_ms)))
     if sampled is not None:
-        answer = F.when(~sampled, verdict("NONE", V.MSG_SAMPLED_OUT)).otherwise(answer)
-    return answer
+        cases.insert(0, (~sampled, "NONE", F.lit(V.MSG_SAMPLED_OUT)))
+    # two chains, not one of structs: whoever reads the class alone makes no text
+    kind, details = F.lit("NONE"), F.lit(V.MSG_NO_DIVERGENCE)
+    for when, letter, words in reversed(cases):
+        kind, details = F.when(when, F.lit(letter)).otherwise(kind), F.when(when, words).otherwise(details)
+    return F.struct(kind.alias("class"), details.alias("details"))
 
 
 def audit_tallies(comparisons: DataFrame, by: Sequence[str] = ()) -> DataFrame:

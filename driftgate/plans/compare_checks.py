@@ -349,6 +349,9 @@ def audit_exit(spark, folder) -> DataFrame:
     )
 
 
+CLOCK_START = instant_us(_START)
+
+
 @check(
     "win7_clean_clock",
     f"""WITH {compared_sql()}, timed AS (SELECT c.*, o.o_orderdate FROM compared c JOIN orders o ON o.o_orderkey = c.o_orderkey),

@@ -15,20 +15,20 @@ from driftgate.plans.registry import check, table
 
 _HOUR = 3_600_000_000
 
-# --- states: one migration run per group of users; the number of draws is the documented one ---
+# --- states: one migration run for each three users, so that they grow with the table; the number of draws is the documented one ---
 
 DRAWS = V.SIMULATIONS
-_GROUPS = 50
+_USERS = 3  # in a state
 
 STATES_SQL = f"""st AS (
-    SELECT user_id % {_GROUPS} AS state_id, CAST(100000000000 AS BIGINT) AS total_bytes, count(*) * 1000000000 AS bytes_done,
+    SELECT user_id // {_USERS} AS state_id, CAST(100000000000 AS BIGINT) AS total_bytes, count(*) * 1000000000 AS bytes_done,
            CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) * 20000 AS write_rate, max(value) / 100 AS lag_seconds,
-           300.0::DOUBLE AS merkle_seconds, 1.0::DOUBLE AS mean_gbps, 0.1::DOUBLE * (1 + (user_id % {_GROUPS}) % 3) AS std_gbps
-    FROM events GROUP BY user_id % {_GROUPS})"""
+           300.0::DOUBLE AS merkle_seconds, 1.0::DOUBLE AS mean_gbps, 0.1::DOUBLE * (1 + (user_id // {_USERS}) % 3) AS std_gbps
+    FROM events GROUP BY user_id // {_USERS})"""
 
 
-def states(spark, folder) -> DataFrame:
-    group = F.col("user_id") % _GROUPS
+def states(spark, folder, users: int = _USERS) -> DataFrame:
+    group = F.call_function("div", F.col("user_id"), F.lit(users)).cast("bigint")
     return table(spark, folder, "events").groupBy(group.alias("state_id")).agg(
         F.lit(100_000_000_000).cast("bigint").alias("total_bytes"), (F.count(F.lit(1)) * 1_000_000_000).alias("bytes_done"),
         (F.sum(F.col("value").cast("decimal(18,2)")).cast("double") * 20_000).alias("write_rate"),
@@ -90,8 +90,8 @@ def evaluate_risk(spark, folder) -> DataFrame:
 
 @check("sim2_evaluate_risk_fast_draws")
 def evaluate_risk_fast(spark, folder) -> DataFrame:
-    """The default draws, which other engines cannot repeat, at the full number per state."""
-    return risk.evaluate_risk(states(spark, folder)).select("state_id", *_VERDICT)
+    """The default draws, which other engines cannot repeat, at the full number per state and a state for each user."""
+    return risk.evaluate_risk(states(spark, folder, users=1)).select("state_id", *_VERDICT)
 
 
 @check(
@@ -245,7 +245,7 @@ ROUTED_SQL = f"""{PRICES_SQL}, {WRITES_SQL}, routed AS (
            CASE WHEN w.ts >= TIMESTAMP '2024-01-28' THEN 'deadline_override' WHEN {_CLASS_SQL} = 'critical' THEN 'flow_immediately'
                 WHEN coalesce(p.price, 0.09::DOUBLE) / 0.09::DOUBLE >= 1.5 THEN 'buffer_to_wal' ELSE 'flow_immediately' END AS decision
     FROM writes w ASOF LEFT JOIN prices p ON w.ts >= p.price_ts)"""
-_DEADLINE = instant_us("2024-01-29")
+DEADLINE = instant_us("2024-01-29")
 
 
 def prices(spark, folder) -> DataFrame:
@@ -266,7 +266,7 @@ def writes(spark, folder) -> DataFrame:
 
 
 def routed(spark, folder) -> DataFrame:
-    return pricing.route_writes(writes(spark, folder), prices(spark, folder), deadline_us=_DEADLINE)
+    return pricing.route_writes(writes(spark, folder), prices(spark, folder), deadline_us=DEADLINE)
 
 
 @check("prj13_write_class", f"WITH {WRITES_SQL} SELECT table_name, {_CLASS_SQL} AS write_class, count(*) AS n_rows FROM writes GROUP BY 1, 2")
@@ -327,7 +327,7 @@ def price_baseline(spark, folder) -> DataFrame:
     return found.select(F.unix_micros("price_ts").alias("us"), "price", F.round("baseline", 6).alias("baseline"), "spike")
 
 
-_DRAIN_SQL = f"""{ROUTED_SQL}, waiting AS (SELECT event_id, ts, bytes, price, epoch_us(ts) AS us FROM routed WHERE decision = 'buffer_to_wal'),
+DRAIN_SQL = f"""{ROUTED_SQL}, waiting AS (SELECT event_id, ts, bytes, price, epoch_us(ts) AS us FROM routed WHERE decision = 'buffer_to_wal'),
     h AS (SELECT w.*, p.price AS half_price FROM waiting w ASOF LEFT JOIN prices p ON w.us + 3600000000 >= p.us),
     nx AS (SELECT h.*, n.us AS next_us FROM h ASOF LEFT JOIN (SELECT * FROM prices WHERE price / 0.09::DOUBLE < 1.5) n ON h.us + 3600000000 <= n.us),
     f AS (SELECT *, CASE WHEN coalesce(half_price, 0.09::DOUBLE) / 0.09::DOUBLE < 1.5 THEN us + 3600000000
@@ -337,7 +337,7 @@ _DRAIN_SQL = f"""{ROUTED_SQL}, waiting AS (SELECT event_id, ts, bytes, price, ep
 
 @check(
     "win14_drain_schedule",
-    f"""WITH {_DRAIN_SQL} SELECT event_id, flush_us, flush_price, CASE WHEN flush_us >= us + 7200000000 THEN 'max_age' ELSE 'price_normal' END AS flush_reason FROM drained""",
+    f"""WITH {DRAIN_SQL} SELECT event_id, flush_us, flush_price, CASE WHEN flush_us >= us + 7200000000 THEN 'max_age' ELSE 'price_normal' END AS flush_reason FROM drained""",
 )
 def drain_schedule(spark, folder) -> DataFrame:
     waiting = routed(spark, folder).where("decision = 'buffer_to_wal'").select("event_id", "bytes", F.col("ts").alias("buffered_at"))

@@ -14,13 +14,15 @@ from driftgate.operators.prefix import add_order_ranges
 from driftgate.plans.anomaly_checks import BEATS_SQL, heartbeats
 from driftgate.plans.cdc_checks import STEPS_SQL
 from driftgate.plans.cdc_inputs import FENCE_SQL, LOG_SQL, raw_log, stale_target
+from driftgate.plans.compare_checks import CLOCK_START, compared, compared_sql
+from driftgate.plans.inputs import edge_orders, target_orders, touched_orders
 from driftgate.plans.registry import check, table
-from driftgate.plans.risk_checks import DRAWS, STATES_SQL, cost_sql, states
+from driftgate.plans.risk_checks import DEADLINE, DRAIN_SQL, DRAWS, STATES_SQL, cost_sql, prices, states, writes
 from driftgate.session import shared_folder
 from driftgate.sources import segments
 from driftgate.sources.cdc import RAW_SCHEMA, read_cdc_files
 from driftgate.sources.tables import BucketedTable, list_folder, set_time
-from driftgate.streaming import apply, carry, metrics, watch
+from driftgate.streaming import apply, carry, drain, live, metrics, watch
 
 _FILE_ROWS = 250_000  # of one batch
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -133,7 +135,7 @@ def dead_man_stream(spark, folder) -> DataFrame:
     return found.select("event_type", F.unix_micros("window_start").alias("us"), "gained_bytes", "checkpoints", "alert")
 
 
-def _in_files(rows: DataFrame, order: str, least: int = 4) -> DataFrame:
+def _in_files(rows: DataFrame, order: str | list[str], least: int = 4) -> DataFrame:
     """The same rows as a stream of ``least`` batches or more, in ``order``, so that state is carried from batch to batch.
 
     The order is cut into ranges of about ``_FILE_ROWS`` rows and stored once, since Spark draws the bounds of ranges anew in
@@ -142,7 +144,7 @@ def _in_files(rows: DataFrame, order: str, least: int = 4) -> DataFrame:
     """
     spark, place = rows.sparkSession, _scratch(rows.sparkSession)
     ranges = max(least, -(-rows.count() // _FILE_ROWS))
-    add_order_ranges(rows, [order], ranges).write.partitionBy("_range").parquet(f"{place}/in")
+    add_order_ranges(rows, [order] if isinstance(order, str) else order, ranges).write.partitionBy("_range").parquet(f"{place}/in")
     number = sorted(int(name.partition("=")[2]) for name in list_folder(spark, f"{place}/in") if name.startswith("_range="))
     for at, k in enumerate(number):
         files = [f"{place}/in/_range={k}/{name}" for name in list_folder(spark, f"{place}/in/_range={k}")]
@@ -261,3 +263,74 @@ def segment_log(spark, folder) -> DataFrame:
         query.stop()
     found = spark.read.parquet(f"{place}/out")
     return found.groupBy("partition", "offset", F.col("value").isNotNull().alias("has_value")).agg(F.count(F.lit(1)).alias("times"))
+
+
+@check(
+    "str4_price_buffer_stream",
+    f"""WITH {DRAIN_SQL} SELECT event_id AS entry_id, flush_us, flush_price, CASE WHEN flush_us >= us + 7200000000 THEN 'max_age' ELSE 'price_normal' END AS flush_reason FROM drained""",
+)
+def price_buffer_stream(spark, folder) -> DataFrame:
+    """Writes and prices as one stream of several batches; entries wait across batches, the last ones go as planned."""
+    left = writes(spark, folder).select(F.col("event_id").alias("entry_id"), F.col("ts").cast("timestamp").alias("ts"), "table_name", "bytes", F.lit(None).cast("double").alias("price"))
+    right = prices(spark, folder).select(
+        F.lit(None).cast("bigint").alias("entry_id"), F.col("price_ts").cast("timestamp").alias("ts"), F.lit(None).cast("string").alias("table_name"),
+        F.lit(None).cast("bigint").alias("bytes"), "price",
+    )
+    place = _scratch(spark)
+    body = drain.DrainApplier(spark, f"{place}/buffer", deadline_us=DEADLINE)
+    apply.run_batches(_in_files(left.unionByName(right), "ts"), body, f"{place}/state").awaitTermination()
+    found = body.released().unionByName(body.planned())
+    return found.select("entry_id", F.unix_micros("flush_at").alias("flush_us"), "flush_price", "flush_reason")
+
+
+@check(
+    "str6_clean_clock_stream",
+    f"""WITH {compared_sql()}, timed AS (SELECT c.*, o.o_orderdate FROM compared c JOIN orders o ON o.o_orderkey = c.o_orderkey),
+        run AS (SELECT o_orderkey, epoch_us(o_orderdate) AS moment, max(CASE WHEN divergence_class = 'A' THEN epoch_us(o_orderdate) END)
+                  OVER (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS last_a FROM timed)
+        SELECT o_orderkey AS comparison_id, round(CAST(moment - greatest({CLOCK_START}, coalesce(last_a, 0)) AS DOUBLE) / 3600000000, 6) AS clean_hours,
+               moment - greatest({CLOCK_START}, coalesce(last_a, 0)) >= 72 * 3600000000 AS window_complete FROM run""",
+)
+def clean_clock_stream(spark, folder) -> DataFrame:
+    """The clock over comparisons in eight batches or more, restarted by a class A of any of them."""
+    dates = table(spark, folder, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("ts"))
+    rows = compared(spark, folder).join(dates, "o_orderkey")
+    rows = carry.with_hits(rows.select(F.lit("orders").alias("stream_id"), F.col("o_orderkey").alias("comparison_id"), "ts", "divergence_class"))
+    place = _scratch(spark)
+    body = carry.clean_clock(spark, f"{place}/clock", CLOCK_START)
+    apply.run_batches(_in_files(rows, ["ts", "comparison_id"], least=8), body, f"{place}/state").awaitTermination()
+    return body.results().select("comparison_id", "clean_hours", "window_complete")
+
+
+@check(
+    "str12_late_stream",
+    """WITH a AS (SELECT event_id, event_type, CASE WHEN event_id % 41 <> 0 THEN epoch_us(ts) - CASE WHEN event_id % 13 = 0 THEN 200000000000 ELSE 0 END END AS us FROM events),
+       m AS (SELECT *, max(us) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM a)
+       SELECT event_id, coalesce(us < newest - 172800000000, FALSE) AS late FROM m""",
+)
+def late_stream(spark, folder) -> DataFrame:
+    """Rows that arrive two days behind others of their kind are set aside, in whichever batch they come; none is lost."""
+    at = F.unix_micros(F.col("ts").cast("timestamp")) - F.when(F.col("event_id") % 13 == 0, F.lit(200_000_000_000)).otherwise(F.lit(0))
+    rows = table(spark, folder, "events").select("event_id", "event_type", F.when(F.col("event_id") % 41 != 0, at).alias("us"))
+    place = _scratch(spark)
+    body = carry.late_split(spark, f"{place}/split", "event_type", ["event_id"], "us", 172_800_000_000)
+    apply.run_batches(_in_files(rows, "event_id"), body, f"{place}/state").awaitTermination()
+    parts = [body.results(name).select("event_id", F.lit(name == "late").alias("late")) for name in ("out", "late")]
+    return parts[0].unionByName(parts[1])
+
+
+@check("joi1_live_compare", f"WITH {compared_sql()} SELECT o_orderkey, operation, divergence_class FROM compared")
+def live_comparison(spark, folder) -> DataFrame:
+    """Writes of both sides as two streams, the target's some minutes behind; a last pair of rows ends the waiting."""
+    touched, columns = touched_orders(spark, folder), ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+
+    def arriving(rows: DataFrame, latency: str, delay) -> DataFrame:
+        place_in_time = 1_700_000_000 + F.abs("o_orderkey") * 5 + delay
+        found = touched.join(rows, "o_orderkey").select("o_orderkey", *columns, F.timestamp_seconds(place_in_time).alias("ts"), "operation", F.col(latency).alias("latency_ms"))
+        last = found.agg(F.max(F.unix_seconds("ts")).alias("s")).select(F.timestamp_seconds(F.col("s") + 86_400).alias("ts"))
+        return _in_files(found.unionByName(last, allowMissingColumns=True), "ts")
+
+    edge = arriving(edge_orders(spark, folder), "edge_ms", F.lit(0))
+    target = arriving(target_orders(spark, folder), "target_ms", F.abs("o_orderkey") % 5 * 60)
+    found = _landed(live.live_compare(edge, target, "o_orderkey", columns))
+    return found.where("o_orderkey is not null").select("o_orderkey", "operation", "divergence_class")
