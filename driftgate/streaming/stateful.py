@@ -1,11 +1,11 @@
-"""Rules that remember and wait: the clean clock and the price buffer."""
+"""A rule that waits for a timer: the clean clock."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -76,105 +76,3 @@ def clean_clock_stream(
         "stream_id string, event string, last_a_ms bigint, class_a bigint, class_b bigint, class_c bigint, total bigint, error_rate double"
     )
     return rows.groupBy("stream_id").transformWithStateInPandas(_CleanClock(hours, start_ms), schema, "append", "eventTime")
-
-
-class _PriceBuffer(StatefulProcessor):
-    """Waiting writes of one slot; prices and age let them go."""
-
-    def __init__(self, baseline: float, multiplier: float, max_age_hours: float):
-        self.baseline = baseline
-        self.multiplier = multiplier
-        self.max_age_ms = int(max_age_hours * _HOUR_MS)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "entry_id string, ts_ms bigint, bytes bigint")
-        self.price = handle.getValueState("price", "price double")
-
-    def _spike(self, price: float) -> bool:
-        return price / max(self.baseline, 0.001) >= self.multiplier
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ts_ms", "is_write"])
-        price = float(self.price.get()[0]) if self.price.exists() else self.baseline
-        held = list(self.waiting.get()) if self.waiting.exists() else []
-        out = []
-        for row in batch.itertuples(index=False):
-            now = int(row.ts_ms)
-            if not row.is_write:
-                price = float(row.price)
-            elif self._spike(price):
-                held.append((row.entry_id, now, int(row.bytes)))
-            else:
-                out.append((row.entry_id, now, now, int(row.bytes), price, "flow_immediately"))
-            held = self._release(held, now, price, out)
-        self.price.update((price,))
-        self._keep(held)
-        if out:
-            yield self._frame(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = int(expiredTimerInfo.getExpiryTimeInMs())
-        price = float(self.price.get()[0]) if self.price.exists() else self.baseline
-        out: list = []
-        held = self._release(list(self.waiting.get()) if self.waiting.exists() else [], now, price, out)
-        self._keep(held)
-        if out:
-            yield self._frame(out)
-
-    def _release(self, held: list, now: int, price: float, out: list) -> list:
-        kept = []
-        for entry, at, size in held:
-            age = now - at
-            if age >= self.max_age_ms:
-                out.append((entry, at, at + self.max_age_ms, size, price, "max_age"))
-            elif age >= self.max_age_ms / 2 and not self._spike(price):
-                out.append((entry, at, now, size, price, "price_normal"))
-            else:
-                kept.append((entry, at, size))
-        return kept
-
-    def _keep(self, held: list) -> None:
-        if held:
-            self.waiting.put(held)
-            oldest = min(at for _, at, _ in held)
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(oldest + self.max_age_ms)
-        else:
-            self.waiting.clear()
-
-    def _frame(self, out: list) -> pd.DataFrame:
-        return pd.DataFrame(out, columns=["entry_id", "ts_ms", "released_ms", "bytes", "price", "reason"])
-
-    def close(self) -> None:
-        pass
-
-
-def price_buffer(
-    writes: DataFrame, prices: DataFrame, slots: int | None = None, baseline: float = V.BASELINE_PRICE_PER_GB,
-    multiplier: float = V.SPIKE_MULTIPLIER, max_age_hours: float = V.BUFFER_MAX_AGE_HOURS, lateness: str = "1 minute",
-) -> DataFrame:
-    """Release non-critical writes when the price allows or their age demands it.
-
-    ``writes`` is (entry_id, ts, bytes), ``prices`` (ts, price). Entries do not
-    depend on one another, so they are spread over ``slots`` state keys by hash (four
-    for each shuffle partition by default, fixed for the life of a checkpoint) and
-    every slot gets the short price series: no table is a hot key.
-    """
-    if slots is None:
-        slots = 4 * int(writes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slot: Column = F.pmod(F.xxhash64("entry_id"), F.lit(slots)).cast("int")
-    left = writes.select(
-        slot.alias("slot"), "ts", "entry_id", F.col("bytes").cast("bigint").alias("bytes"), F.lit(None).cast("double").alias("price"),
-        F.lit(True).alias("is_write"),
-    )
-    right = prices.select(
-        F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"), "ts", F.lit(None).cast("string").alias("entry_id"),
-        F.lit(None).cast("bigint").alias("bytes"), F.col("price").cast("double").alias("price"), F.lit(False).alias("is_write"),
-    )
-    merged = left.unionByName(right).withWatermark("ts", lateness).withColumn("ts_ms", F.unix_millis("ts"))
-    schema = "entry_id string, ts_ms bigint, released_ms bigint, bytes bigint, price double, reason string"
-    return merged.groupBy("slot").transformWithStateInPandas(
-        _PriceBuffer(baseline, multiplier, max_age_hours), schema, "append", "eventTime"
-    )

@@ -17,7 +17,7 @@ from driftgate.plans.cdc_inputs import fencing_log, raw_log, stale_target
 from driftgate.sources.cdc import good_events, parse_cdc, read_cdc_files
 from driftgate.sources.tables import BucketedTable, list_folder, remove_path
 from driftgate.sources import segments
-from driftgate.streaming import apply, carry, metrics, stateful, watch
+from driftgate.streaming import apply, carry, drain, live, metrics, stateful, watch
 
 sys.path.insert(0, os.path.join(os.path.dirname(__file__), "..", "tools"))
 import verify  # noqa: E402
@@ -195,31 +195,82 @@ def test_clean_clock_restarts_and_completes(spark, folder):
     assert done["class_a"] == 1 and done["last_a_ms"] == (base + 3600) * 1000
 
 
-def test_price_buffer_releases_by_price_and_age(spark, folder):
+BUFFER = "entry_id string, s long, table_name string, bytes bigint, price double"
+
+
+def buffer_rows(spark, rows):
     base = 1_700_000_000
+    listed = [(e, base + s, None if e is None else "page_views", None if e is None else 1000, p) for e, s, p in rows]
+    return spark.createDataFrame(listed, BUFFER).withColumn("ts", F.timestamp_seconds("s")).drop("s")
+
+
+def test_price_buffer_releases_by_price_and_age(spark, folder):
+    """Entries wait across batches; a batch that runs again, and all batches in one, give the same."""
     steps = [
-        [("p", 0, 0.09, None), ("w", 60, None, "early")],
-        [("p", 600, 0.18, None), ("w", 700, None, "old"), ("w", 6000, None, "young")],
-        [("p", 10000, 0.09, None)],
-        [("p", 40000, 0.09, None)],
-        [("p", 80000, 0.09, None)],
+        [(None, 0, 0.09), ("early", 60, None)],
+        [(None, 600, 0.18), ("old", 700, None), ("young", 6000, None)],
+        [(None, 10000, 0.09), ("late", 10100, None)],
+        [(None, 40000, 0.18), ("open", 40100, None)],
     ]
-    for step in steps:
-        rows = [(kind, base + s, price, entry) for kind, s, price, entry in step]
-        spark.createDataFrame(rows, "kind string, s long, price double, entry_id string").select(
-            "kind", F.timestamp_seconds("s").alias("ts"), "price", "entry_id", F.lit(1000).alias("bytes")
-        ).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    schema = "kind string, ts timestamp, price double, entry_id string, bytes int"
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    out = stateful.price_buffer(stream.where("kind = 'w'"), stream.where("kind = 'p'"), slots=2)
-    finish(
-        out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/c")
-        .trigger(availableNow=True).start()
-    )
-    got = {r["entry_id"]: (r["reason"], r["released_ms"] // 1000 - base) for r in spark.read.parquet(f"{folder}/out").collect()}
-    assert got["early"] == ("flow_immediately", 60)
-    assert got["old"] == ("max_age", 700 + 7200)
-    assert got["young"] == ("price_normal", 10000)
+    body = drain.DrainApplier(spark, f"{folder}/a")
+    for i, step in enumerate(steps):
+        for _ in range(2):
+            body(buffer_rows(spark, step), i)
+
+    def listed(rows):
+        return sorted((r["entry_id"], r["flush_reason"], int(r["flush_at"].timestamp()) - 1_700_000_000, r["flush_price"]) for r in rows.collect())
+
+    want = [("old", "max_age", 7900, 0.18), ("young", "price_normal", 10000, 0.09)]
+    assert listed(body.released()) == want
+    assert listed(body.planned()) == [("open", "max_age", 47300, 0.18)]
+    # the old prices are gone, but for the one in force
+    assert spark.read.parquet(f"{folder}/a/prices/batch_id=3").count() == 2
+    once = drain.DrainApplier(spark, f"{folder}/b")
+    once(buffer_rows(spark, [r for step in steps for r in step]), 0)
+    assert listed(once.released()) == want and listed(once.planned()) == listed(body.planned())
+    remove_path(spark, f"{folder}/a/waiting/batch_id=3")
+    with pytest.raises(AnalysisException):
+        body(buffer_rows(spark, steps[0]), 4)
+
+
+def test_late_rows_by_arrival(spark, folder):
+    """What is late does not depend on where batches end."""
+    rnd = random.Random(2)
+    rows = [(i, rnd.choice("ab"), None if rnd.random() < 0.05 else i * 10 - rnd.choice([0, 0, 5, 900])) for i in range(300)]
+    want, newest = [], {}
+    for i, k, at in rows:
+        if at is not None and k in newest and at < newest[k] - 300:
+            want.append(i)
+        newest[k] = max(newest.get(k, at), at) if at is not None and k in newest else newest.get(k, at) if k in newest else at
+        if newest[k] is None:
+            del newest[k]
+    for name, cuts in (("x", [0, 300]), ("y", [0, 7, 100, 101, 300])):
+        body = carry.late_split(spark, f"{folder}/{name}", "k", ["i"], "at", 300)
+        for n, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            body(spark.createDataFrame(rows[low:high], "i int, k string, at bigint").repartition(3), n)
+        assert sorted(r["i"] for r in body.results("late").collect()) == want
+        assert body.results("late").count() + body.results().count() == len(rows)
+
+
+def test_live_comparison_reports_the_missing_side(spark, folder):
+    """A pair in time, one that differs, a write only one side has, and a target that comes after its time."""
+    schema = "k int, v string, ts timestamp, operation string, latency_ms double"
+    base = 1_700_000_000
+
+    def stream(name, batches):
+        for i, rows in enumerate(batches):
+            listed = [(k, v, base + s, op, ms) for k, v, s, op, ms in rows]
+            frame = spark.createDataFrame(listed, "k int, v string, s long, operation string, latency_ms double")
+            frame.select("k", "v", F.timestamp_seconds("s").alias("ts"), "operation", "latency_ms").coalesce(1).write.mode("append").parquet(f"{folder}/{name}")
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/{name}")
+
+    edge = stream("e", [[(1, "a", 0, "UPDATE", 10.0), (2, "b", 5, "UPDATE", 10.0)], [(3, "c", 20, "DELETE", 10.0), (4, "d", 30, "UPDATE", 10.0)], [(9, None, 90_000, "UPDATE", 1.0)]])
+    target = stream("t", [[(1, "a", 60, "UPDATE", 50.0), (2, "x", 65, "UPDATE", 10.0)], [(5, "e", 100, "DELETE", 10.0), (4, "d", 4000, "UPDATE", 10.0)], [(9, None, 90_000, "UPDATE", 1.0)]])
+    out = live.live_compare(edge, target, "k", ["v"])
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    finish(out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start())
+    found = sorted((r["k"], r["missing"] or "", r["divergence_class"]) for r in spark.read.parquet(f"{folder}/out").collect() if r["k"] != 9)
+    assert found == [(1, "", "C"), (2, "", "A"), (3, "target", "B"), (4, "edge", "B"), (4, "target", "A"), (5, "edge", "A")]
 
 
 def test_tumbling_and_dead_man_streams(spark, folder):
