@@ -98,6 +98,21 @@ def infer_pk(spark, folder) -> DataFrame:
     return both.groupBy("op", names.alias("pk_columns")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+@check(
+    "prj25_infer_pk_of_log",
+    f"""WITH {LOG_SQL} SELECT op, CASE step WHEN 1 THEN CASE WHEN new_k = k THEN 'id' ELSE 'id,status_id' END WHEN 2 THEN 'id,cust_id,status_id' END AS pk_columns,
+            count(*) AS n_rows FROM good GROUP BY 1, 2""",
+)
+def infer_pk_of_log(spark, folder) -> DataFrame:
+    """Keys read from the log's own images, all operations: an unchanged id, a moved one, a deletion, and none for an insertion."""
+    names = {"o_orderkey": "id", "o_custkey": "cust_id", "o_orderstatus": "status_id"}
+    rename = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    rows = source.good_events(parsed_log(spark, folder))
+    before, after = (F.transform_keys(side, lambda k, v: rename[k]) for side in ("before", "after"))
+    keys = F.array_join(changes.infer_pk(F.col("b"), F.col("a")), ",")
+    return rows.select("op", before.alias("b"), after.alias("a")).groupBy("op", keys.alias("pk_columns")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 @check(
     "prj28_topic_names",
     """SELECT 'cdc.shop.' || event_type AS topic, 'cdc.dlq' AS dlq, 'cdc.schema-history' AS history,

@@ -156,6 +156,44 @@ def text_files(spark, folder) -> DataFrame:
     )
 
 
+_DOC_LINES = """doc_lines AS (SELECT doc_id, coalesce(source, '') AS source, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)"""
+_MENTIONS = ["http", "@", "0."]
+
+
+def _document_files(spark, folder) -> DataFrame:
+    """Whole documents in nested folders by source, a line a row and 20 000 rows a file at most, read line by line."""
+    place = _place(spark)
+    rows = table(spark, folder, "documents").select("doc_id", F.hex(F.coalesce("source", F.lit(""))).alias("source"), F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
+    named = rows.select("source", F.concat(F.col("doc_id").cast("string"), F.lit("|"), "line").alias("value"))
+    named.write.option("lineSep", "\n").option("maxRecordsPerFile", 20_000).partitionBy("source").text(place)
+    found = corpus.read_text_lines(spark, [place], "*.txt")
+    code = F.regexp_extract("location", r"source=([0-9A-F]*|__HIVE_DEFAULT_PARTITION__)/", 1)
+    source = F.when(code == "__HIVE_DEFAULT_PARTITION__", F.lit("")).otherwise(F.unhex(code).cast("string"))
+    at = F.locate("|", F.col("line"))
+    return found.select(source.alias("source"), F.substring(F.col("line"), F.lit(1), at - 1).cast("bigint").alias("doc_id"), F.substring("line", at + 1, F.length("line")).alias("line"))
+
+
+@check(
+    "src8_document_files",
+    f"WITH {_DOC_LINES} SELECT source, count(DISTINCT doc_id) AS n_documents, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM doc_lines GROUP BY 1",
+)
+def document_files(spark, folder) -> DataFrame:
+    return _document_files(spark, folder).groupBy("source").agg(
+        F.count_distinct("doc_id").alias("n_documents"), F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).cast("bigint").alias("n_chars")
+    )
+
+
+@check(
+    "prj24_document_lines",
+    f"""WITH {_DOC_LINES}, m AS (SELECT doc_id, min(CASE WHEN contains(line, 'http') THEN 0 WHEN contains(line, '@') THEN 1 ELSE 2 END) AS first_at, count(*) AS lines
+            FROM doc_lines WHERE contains(line, 'http') OR contains(line, '@') OR contains(line, '0.') GROUP BY 1)
+        SELECT doc_id, ['http', '@', '0.'][first_at + 1] AS pattern, lines FROM m""",
+)
+def document_mentions(spark, folder) -> DataFrame:
+    """The first pattern that each whole document mentions, found line by line."""
+    return corpus.scan_lines(_document_files(spark, folder), _MENTIONS, by="doc_id")
+
+
 @check("src4_table_profile", f"WITH {_SIZES_SQL} SELECT * FROM sizes")
 def table_profile(spark, folder) -> DataFrame:
     return _sizes(spark, folder)

@@ -17,6 +17,24 @@ def read_text_files(spark: SparkSession, folders: Sequence[str], pattern: str =
     return files.select(F.col("_metadata.file_path").alias("location"), F.col("value").alias("text"))
 
 
+def read_text_lines(spark: SparkSession, folders: Sequence[str], pattern: str = "*.conf") -> DataFrame:
+    """Every line of the matching files: (location, line). Large files are split between tasks and no row holds a whole one."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("lineSep", "\n").text(list(folders))
+    return files.select(F.col("_metadata.file_path").alias("location"), F.col("value").alias("line"))
+
+
+def scan_lines(lines: DataFrame, patterns: Sequence[str], by: str = "location", line: str = "line") -> DataFrame:
+    """(by, pattern, lines) of the places that mention a pattern: the first pattern in list order, and how many lines mention one.
+
+    What a task has read of a place is one row before the shuffle, so a place of any size is no group.
+    """
+    first = F.lit(None).cast("int")
+    for number, pattern in reversed(list(enumerate(patterns))):
+        first = F.when(F.col(line).contains(pattern), F.lit(number)).otherwise(first)
+    found = lines.select(by, first.alias("_at")).where("_at is not null").groupBy(by).agg(F.min("_at").alias("_at"), F.count(F.lit(1)).alias("lines"))
+    return found.select(by, F.element_at(F.array(*[F.lit(p) for p in patterns]), F.col("_at") + 1).alias("pattern"), "lines")
+
+
 def scan_references(docs: DataFrame, patterns: Sequence[str], text: str = "text") -> DataFrame:
     """Documents that mention a pattern, with the first pattern (in list order) they mention."""
     first = F.lit(None).cast("string")
