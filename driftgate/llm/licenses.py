@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+import zlib
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,6 +124,35 @@ SENTENCES: dict[str, list[str]] = {
     "cc-by-nc-ref": ["Licensed under CC BY-NC 4.0.", "This work is licensed under CC BY-NC 4.0.", "SPDX-License-Identifier: CC-BY-NC-4.0"],
     "cc-by-long": ["This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "cc0-ref": ["Released under CC0 1.0.", "Licensed under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0"],
+    "agpl3-ref": [
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "Licensed under the GNU Affero General Public License v3.0.",
+        "Released under the GNU Affero General Public License, version 3.",
+        "SPDX-License-Identifier: AGPL-3.0-only",
+    ],
+    "agpl3-later-ref": ["SPDX-License-Identifier: AGPL-3.0-or-later"],
+    "lgpl21-ref": ["Licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-only"],
+    "lgpl3-ref": ["Licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0-only"],
+    "lgpl3-later-ref": ["SPDX-License-Identifier: LGPL-3.0-or-later"],
+    "bsl1-ref": [
+        "Boost Software License - Version 1.0",
+        "Distributed under the Boost Software License, Version 1.0.",
+        "Licensed under the Boost Software License, Version 1.0.",
+        "SPDX-License-Identifier: BSL-1.0",
+    ],
+    "epl2-ref": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+        "Licensed under the Eclipse Public License 2.0.",
+        "SPDX-License-Identifier: EPL-2.0",
+    ],
+    "zlib-as-is": ["This software is provided 'as-is', without any express or implied warranty."],
+    "zlib-grant": [
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, "
+        "subject to the following restrictions:",
+    ],
+    "zlib-ref": ["Licensed under the zlib License.", "SPDX-License-Identifier: Zlib"],
+    "0bsd-ref": ["SPDX-License-Identifier: 0BSD"],
+    "unlicense-ref": ["SPDX-License-Identifier: Unlicense"],
     "unlicense-domain": ["This is free and unencumbered software released into the public domain."],
 }
 
@@ -154,6 +185,17 @@ RULES: list[tuple[str, list[str]]] = [
     ("CC-BY-NC-4.0", ["cc-by-nc-ref"]),
     ("CC0-1.0", ["cc0-ref"]),
     ("Unlicense", ["unlicense-domain"]),
+    ("Zlib", ["zlib-as-is", "zlib-grant"]),
+    ("AGPL-3.0-only", ["agpl3-ref"]),
+    ("AGPL-3.0-or-later", ["agpl3-later-ref"]),
+    ("LGPL-2.1-only", ["lgpl21-ref"]),
+    ("LGPL-3.0-only", ["lgpl3-ref"]),
+    ("LGPL-3.0-or-later", ["lgpl3-later-ref"]),
+    ("BSL-1.0", ["bsl1-ref"]),
+    ("EPL-2.0", ["epl2-ref"]),
+    ("Zlib", ["zlib-ref"]),
+    ("0BSD", ["0bsd-ref"]),
+    ("Unlicense", ["unlicense-ref"]),
 ]
 
 #: One of these stands in every sentence above, whatever its case, so that what has none is passed over.
@@ -168,10 +210,33 @@ def _parts(sentence: str) -> list[str]:
     return [_plain(x) for x in re.sub(ENDS, _MARK, sentence).split(_MARK) if re.search(CLUES, x, re.IGNORECASE)]
 
 
-def known_sentences() -> dict[str, str]:
+@dataclass(frozen=True)
+class Catalogue:
+    """Sentences by identifier and rules of (licence, identifiers in order).
+
+    A sentence without one of ``CLUES`` is never looked for, so each should have one. Identifiers have no comma.
+    """
+
+    sentences: Mapping[str, Sequence[str]]
+    rules: Sequence[tuple[str, Sequence[str]]]
+
+    @classmethod
+    def of_tables(cls, sentences: DataFrame, rules: DataFrame) -> Catalogue:
+        """From tables (sentence_id, sentence) and (licence, sentence_ids); a catalogue is as long as the licences in the world."""
+        by_id: dict[str, list[str]] = {}
+        for name, sentence in sentences.select("sentence_id", "sentence").distinct().orderBy("sentence_id", "sentence").collect():
+            by_id.setdefault(name, []).append(sentence)
+        listed = rules.select("licence", "sentence_ids").distinct().orderBy("licence", "sentence_ids").collect()
+        return cls(by_id, [(licence, list(ids)) for licence, ids in listed])
+
+
+DEFAULT = Catalogue(SENTENCES, RULES)
+
+
+def known_sentences(catalogue: Catalogue = DEFAULT) -> dict[str, str]:
     """Identifier by normalised sentence; of a sentence in several parts, the later ones are numbered."""
     known: dict[str, str] = {}
-    for name, variants in SENTENCES.items():
+    for name, variants in catalogue.sentences.items():
         for variant in variants:
             for i, part in enumerate(_parts(variant)):
                 known[part] = name if i == 0 else f"{name}+{i}"
@@ -182,15 +247,15 @@ def _plain(sentence: str) -> str:
     return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip()
 
 
-def known_rules() -> list[tuple[str, str]]:
+def known_rules(catalogue: Catalogue = DEFAULT) -> list[tuple[str, str]]:
     """Licence and the row of identifiers, with the numbered parts of their sentences; each variant is a rule."""
-    known = known_sentences()
+    known = known_sentences(catalogue)
     forms: dict[str, list[list[str]]] = {}
-    for name, variants in SENTENCES.items():
+    for name, variants in catalogue.sentences.items():
         rows = {tuple(known[p] for p in _parts(v)) for v in variants}
         forms[name] = [list(r) for r in sorted(rows, key=lambda r: (-len(r), r))]
     rules = []
-    for licence, names in RULES:
+    for licence, names in catalogue.rules:
         rows: list[list[str]] = [[]]
         for name in names:
             rows = [row + form for row in rows for form in forms[name]]
@@ -202,22 +267,32 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def sentence_ids(text: Column) -> Column:
+def _table(known: dict[str, str]) -> Callable[[Column], Column]:
+    """Look-up of a normalised sentence: a list of small maps by a hash, since one long map is searched from end to end."""
+    shelves: list[dict[str, str]] = [{} for _ in range(len(known) // 2 + 1)]
+    for sentence, name in known.items():
+        shelves[zlib.crc32(sentence.encode()) % len(shelves)][sentence] = name
+    none = F.create_map().cast("map<string,string>")
+    maps = F.array(*(F.create_map(*(F.lit(x) for pair in shelf.items() for x in pair)) if shelf else none for shelf in shelves))
+    return lambda sentence: _let(sentence, lambda x: F.element_at(F.get(maps, F.pmod(F.crc32(x.cast("binary")), F.lit(len(shelves))).cast("int")), x))
+
+
+def sentence_ids(text: Column, catalogue: Catalogue = DEFAULT) -> Column:
     """Identifiers of the known sentences of a text, in their order.
 
     A sentence may run over several lines; if it is not known as a whole, its lines are looked up each by itself, for
     notices that end without a stop. Case, punctuation and comment signs do not count.
     """
-    known = known_sentences()
-    table = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
+    table = _table(known_sentences(catalogue))
+    text = F.translate(text, _MARK, " ")
     clue = F.lit(f"(?i){CLUES}")
 
     def normal(x: Column) -> Column:
         return F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " "))
 
     def look_up(sentence: Column) -> Column:
-        whole = F.element_at(table, normal(sentence))
-        lines = F.filter(F.transform(F.split(sentence, "\n"), lambda x: F.element_at(table, normal(x))), lambda x: x.isNotNull())
+        whole = table(normal(sentence))
+        lines = F.filter(F.transform(F.split(sentence, "\n"), lambda x: table(normal(x))), lambda x: x.isNotNull())
         return F.when(whole.isNotNull(), F.array(whole)).otherwise(lines)
 
     sentences = F.filter(F.split(F.regexp_replace(text, ENDS, _MARK), _MARK), lambda x: F.regexp_like(x, clue))
@@ -225,9 +300,9 @@ def sentence_ids(text: Column) -> Column:
     return F.when(F.regexp_like(text, clue), found).otherwise(F.array().cast("array<string>"))
 
 
-def licences(ids: Column) -> Column:
+def licences(ids: Column, catalogue: Catalogue = DEFAULT) -> Column:
     """Licences whose rules a sequence of identifiers holds, sorted; what a longer rule has taken no shorter one takes again."""
-    rules = F.array(*(F.struct(F.lit(licence).alias("licence"), F.lit(row).alias("row")) for licence, row in known_rules()))
+    rules = F.array(*(F.struct(F.lit(licence).alias("licence"), F.lit(row).alias("row")) for licence, row in known_rules(catalogue)))
     # every identifier between two commas of its own, so that neighbours do not share one
     start = F.struct(F.concat(F.lit(","), F.array_join(ids, ","), F.lit(",")).alias("left"), F.array().cast("array<string>").alias("found"))
 
@@ -243,13 +318,14 @@ def licences(ids: Column) -> Column:
     )
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", catalogue: Catalogue = DEFAULT) -> DataFrame:
     """(id, sentence_ids, licences) of every row, both arrays; one projection, without a shuffle.
 
+    ``catalogue`` names what is known: by default the sentences and rules above, else one of your own.
     A null or empty text has no sentences. Repeated rows stay repeated, a null id stays null, other columns are ignored.
     """
-    ids = docs.select(docs[id_col], sentence_ids(F.coalesce(docs[text_col], F.lit(""))).alias("sentence_ids"))
-    return ids.select(id_col, "sentence_ids", _let(F.col("sentence_ids"), licences).alias("licences"))
+    ids = docs.select(docs[id_col], sentence_ids(F.coalesce(docs[text_col], F.lit("")), catalogue).alias("sentence_ids"))
+    return ids.select(id_col, "sentence_ids", _let(F.col("sentence_ids"), lambda found: licences(found, catalogue)).alias("licences"))
 
 
 def oracle() -> str:
@@ -265,7 +341,7 @@ def oracle() -> str:
     last = f"s{len(marks)}"
     return f"""
     WITH known(sentence, name) AS (VALUES {known}),
-    parts AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '{ENDS}', chr(1), 'g'), chr(1)) AS parts FROM documents),
+    parts AS (SELECT doc_id, string_split(regexp_replace(replace(coalesce(text, ''), chr(1), ' '), '{ENDS}', chr(1), 'g'), chr(1)) AS parts FROM documents),
     cut AS (SELECT doc_id, unnest(parts) AS s, generate_subscripts(parts, 1) AS p FROM parts),
     whole AS (SELECT doc_id, p, s, name FROM cut LEFT JOIN known ON sentence = trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))),
     lines AS (SELECT doc_id, p, unnest(string_split(s, chr(10))) AS s, generate_subscripts(string_split(s, chr(10)), 1) AS q FROM whole WHERE name IS NULL),

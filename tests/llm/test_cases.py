@@ -463,3 +463,23 @@ def test_more_disguises_are_found():
     for text in ("look_at_this.now and 50%40", "5 dot three is a number", "rock &amp; roll_at_home"):
         base, every = pii.all_spans(text)
         assert base == every
+
+
+def test_licences_of_another_catalogue(spark):
+    """Common licences by default; a catalogue of one's own from tables; a control character in a text is a blank."""
+    cases = {
+        1: ("Licensed under the GNU Affero General Public License, version 3.", ["AGPL-3.0-only"]),
+        2: ("// SPDX-License-Identifier: LGPL-2.1-only\nint x;", ["LGPL-2.1-only"]),
+        3: ("Boost Software License - Version 1.0\n\nmore", ["BSL-1.0"]),
+        4: ("Released under the MIT\u0001License.", ["MIT"]),
+        5: ("This software is provided 'as-is', without any express or implied warranty. Permission is granted to anyone to use this software for any purpose,\n"
+            "including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n1. ...", ["Zlib"]),
+    }
+    found = {r.doc_id: r.licences for r in licenses.scan(docs(spark, [(i, t) for i, (t, _) in cases.items()])).collect()}
+    assert found == {i: want for i, (_, want) in cases.items()}
+    sentences = spark.createDataFrame([("own-a", "House licence, part one."), ("own-b", "House licence, part two."), ("own-a", "House licence (first part).")], "sentence_id string, sentence string")
+    rules = spark.createDataFrame([("House", ["own-a", "own-b"])], "licence string, sentence_ids array<string>")
+    own = licenses.Catalogue.of_tables(sentences, rules)
+    texts = [(1, "house LICENCE first part. House licence, part two."), (2, "House licence, part two. House licence, part one."), (3, "Released under the MIT License.")]
+    found = {r.doc_id: (r.sentence_ids, r.licences) for r in licenses.scan(docs(spark, texts), catalogue=own).collect()}
+    assert found == {1: (["own-a", "own-b"], ["House"]), 2: (["own-b", "own-a"], []), 3: ([], [])}
