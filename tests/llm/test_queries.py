@@ -33,7 +33,7 @@ def test_against_sql(spark, sf, con, name):
 
 
 def test_every_operator_has_its_query():
-    assert {re.match(r"op(\d+)_", name)[1] for name in QUERIES} == {str(n) for n in range(1, 14) if f"op{n}_" in " ".join(QUERIES)}
+    assert {re.match(r"op(\d+)_", name)[1] for name in QUERIES} == {str(n) for n in range(1, 14)}
 
 
 def test_quality_on_held_out_rows(spark, con):
