@@ -372,7 +372,7 @@ def buffer_status(spark, folder) -> DataFrame:
 def cost_status(spark, folder) -> DataFrame:
     rows = routed(spark, folder)
     return pricing.cost_status(
-        pricing.egress_meter(rows, 720, 0.18), pricing.buffer_status(rows, _NOW), _NOW, _DEADLINE
+        pricing.egress_meter(rows, 720, 0.18), pricing.buffer_status(rows, _NOW), _NOW, DEADLINE
     )
 
 
