@@ -152,14 +152,14 @@ def test_band_alerts_with_a_hot_run_over_many_batches(spark, folder):
     finish(apply.run_batches(stream_checks._in_files(spark.createDataFrame(rows, schema), "ts_ms", least=8), body, f"{folder}/c"))
     found = sorted(map(tuple, body.results().select("run_id", "ts_ms", "previous", "band").collect()), key=lambda r: r[1])
     assert found == brute_alerts(rows)
-    batches = spark.read.parquet(f"{folder}/a/last").select("batch_id").distinct().count()
+    batches = spark.read.parquet(f"{folder}/a/carried").select("batch_id").distinct().count()
     assert batches >= 8
     more = [("hot", 5000, "PROCEED"), ("new", 5001, "CAUTION"), ("hot", 5002, "BLOCK")]
     for _ in range(2):
         body(spark.createDataFrame(more, schema), batches)
     again = sorted(map(tuple, body.results().select("run_id", "ts_ms", "previous", "band").collect()), key=lambda r: r[1])
     assert again == brute_alerts(rows + more)
-    remove_path(spark, f"{folder}/a/last/batch_id={batches}")
+    remove_path(spark, f"{folder}/a/carried/batch_id={batches}")
     with pytest.raises(AnalysisException):
         body(spark.createDataFrame(more, schema), batches + 1)
 
