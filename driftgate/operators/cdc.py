@@ -42,7 +42,12 @@ def first_deliveries(events: DataFrame) -> DataFrame:
 def dedup_batch(events: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """Events neither repeated in the batch nor applied before."""
     fresh = first_deliveries(events)
-    return fresh if ledger is None else fresh.join(ledger.select("event_id"), "event_id", "left_anti")
+    return fresh if ledger is None else fresh.join(_sorted_by_id(ledger.select("event_id")), "event_id", "left_anti")
+
+
+def _sorted_by_id(rows: DataFrame) -> DataFrame:
+    """``rows`` for a join on event_id that merges: Spark takes a log for as small as the file it is derived from, and would broadcast it."""
+    return rows.hint("merge")
 
 
 def ledger_rows(applied: DataFrame, applied_at: Column) -> DataFrame:
@@ -148,12 +153,12 @@ def apply_changes(target: DataFrame, events: DataFrame, pk: str | Sequence[str])
 
 def apply_outcomes(events: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """Every delivery with its outcome: applied or deduplicated."""
-    firsts = first_deliveries(events).select("event_id", F.struct("partition", "offset").alias("_first"))
+    firsts = events.groupBy("event_id").agg(F.min(F.struct("partition", "offset")).alias("_first"))
     if ledger is not None:
-        firsts = firsts.join(ledger.select("event_id", F.lit(True).alias("_seen")), "event_id", "left")
+        firsts = firsts.join(_sorted_by_id(ledger.select("event_id", F.lit(True).alias("_seen"))), "event_id", "left")
     else:
         firsts = firsts.withColumn("_seen", F.lit(None).cast("boolean"))
-    tagged = events.join(firsts, "event_id")
+    tagged = events.join(_sorted_by_id(firsts), "event_id")
     fresh = F.col("_seen").isNull() & (F.struct("partition", "offset") == F.col("_first"))
     return tagged.withColumn("outcome", F.when(fresh, "applied").otherwise("deduplicated")).drop("_first", "_seen")
 
@@ -172,7 +177,7 @@ def sink_counters(parsed: DataFrame, pk: Sequence[str] = (), id_mode: str = "row
         F.count(F.lit(1)).alias("n"), F.max(F.struct("ts_ms", "offset", "gtid")).alias("latest")
     )
     if ledger is not None:
-        ids = ids.join(ledger.select("event_id", F.lit(1).alias("_seen")), "event_id", "left")
+        ids = ids.join(_sorted_by_id(ledger.select("event_id", F.lit(1).alias("_seen"))), "event_id", "left")
     else:
         ids = ids.withColumn("_seen", F.lit(None).cast("int"))
     fresh = F.col("_seen").isNull()

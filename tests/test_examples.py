@@ -518,6 +518,15 @@ def test_one_gigabyte_costs_nine_cents(spark):
     assert pricing.egress_meter(writes, 1, 0.09).first()["cost_usd"] == 0.09
 
 
+def test_outcomes_broadcast_no_log(spark):
+    """A log made from a small file may be large: neither it nor its ids go through the driver."""
+    log = [(0, 1, "a"), (0, 2, "b"), (1, 3, "a"), (0, 4, "c")]
+    events = spark.createDataFrame(log, "partition int, offset bigint, event_id string")
+    found = cdc.apply_outcomes(events, events.where("event_id = 'b'").select("event_id").distinct())
+    assert {(r["offset"], r["outcome"]) for r in found.collect()} == {(1, "applied"), (2, "deduplicated"), (3, "deduplicated"), (4, "applied")}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 # --- gates -----------------------------------------------------------------
 
 
