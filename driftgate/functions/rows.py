@@ -27,6 +27,27 @@ def exact_double_text(column: Column) -> Column:
     )
 
 
+def fixed_text(column: Column, digits: int) -> Column:
+    """A double with no or one digit after the point, rounded from its binary value, halves to even, as C's printf does.
+
+    ``format_string`` rounds the shortest decimal text of a double, halves up: 48.65 lies below what it is written as.
+    """
+    if digits not in (0, 1):
+        raise ValueError(digits)
+    size = F.abs(column)
+    whole = F.floor(size)
+    one = F.lit(1 << 58)  # the fraction times 2^58 is whole, except far below any digit shown
+    parts = ((size - whole) * F.lit(float(1 << 58))).cast("bigint") * F.lit(10**digits)
+    down, rest = F.call_function("div", parts, one), parts % one
+    shown = whole.cast("bigint") * F.lit(10**digits) + down
+    up = (rest > F.lit(1 << 57)) | ((rest == F.lit(1 << 57)) & (shown % 2 == 1))
+    shown = shown + F.when(up, 1).otherwise(0)
+    text = F.concat(F.call_function("div", shown, F.lit(10)).cast("string"), F.lit("."), (shown % 10).cast("string")) if digits else shown.cast("string")
+    text = F.concat(F.when(column.cast("string").startswith("-"), "-").otherwise(""), text)
+    # doubles from here on have no fraction
+    return F.when(size < F.lit(float(1 << 53)), text).otherwise(F.format_string(f"%.{digits}f", column))
+
+
 def canonical_value(column: Column, kind: T.DataType) -> Column:
     """Text of a value that does not depend on how an engine prints numbers or times, and loses nothing."""
     if isinstance(kind, (T.FloatType, T.DoubleType)):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from driftgate import fixed_values as V
 from driftgate.functions.clock import epoch_us
 from driftgate.functions.risk_rules import day_phase
+from driftgate.functions.rows import fixed_text
 from driftgate.operators.prefix import running_scan
 from driftgate.operators.timeline import compare_to, trailing_window
 from driftgate.session import cut_lineage
@@ -152,7 +153,7 @@ def resilience_score(benchmarks: DataFrame, experiments: DataFrame, inputs: Data
     notes = F.array_compact(
         F.array(
             F.when(~F.col("anomaly_ok"), "Anomaly detector failed calibration check"),
-            F.when(drift > 40, F.format_string("Risk model drift too high: %.1f%% > 40%%", drift)),
+            F.when(drift > 40, F.concat(F.lit("Risk model drift too high: "), fixed_text(drift, 1), F.lit("% > 40%"))),
         )
     )
     return joined.select(

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftgate.functions import changes, hashing, pii, risk_rules
-from driftgate.functions.rows import canonical_row, row_bytes, row_hash
+from driftgate.functions.rows import canonical_row, fixed_text, row_bytes, row_hash
 from driftgate.operators import cdc, compare, fencing, gates, keys, merkle, pricing, redact, risk, snapshot, timeline, traffic
 from driftgate.sources import cdc as source
 from driftgate.sources import corpus, metadata, snapshot_reads, tables
@@ -547,6 +547,20 @@ def test_resilience_scores(spark, benchmarks, experiments, deviation, ok, want):
     assert (got["blocking_failures"] == "") == (benchmarks == 6 and experiments == 7 and deviation <= 40 and ok)
 
 
+@pytest.mark.parametrize("drift", [291.9 / 6, 280.1 / 6, 40.25, 40.75, 99.95, 331.8 / 6, 40.05])
+def test_drift_is_rounded_from_its_binary_value(spark, drift):
+    assert _score(spark, 6, 7, drift)["blocking_failures"] == f"Risk model drift too high: {drift:.1f}% > 40%"
+
+
+def test_fixed_text_rounds_as_printf_does(spark):
+    draw = random.Random(1)
+    values = [draw.choice([1, -1]) * round(draw.uniform(0, 10 ** draw.randint(-3, 9)), draw.randint(0, 4)) / draw.choice([1, 4, 6, 8]) for _ in range(2000)]
+    values += [0.0, 0.5, 1.5, 0.05, 0.25, 0.75, 0.9999, 0.49999999999999994, 0.5000000000000001, 0.25000000000000006, 2.0**53, 4503599627370496.5]
+    df = spark.createDataFrame([(x,) for x in values], "x double").select("x", fixed_text(F.col("x"), 0).alias("a"), fixed_text(F.col("x"), 1).alias("b"))
+    wrong = [tuple(r) for r in df.collect() if (r["a"], r["b"]) != (f"{r['x']:.0f}", f"{r['x']:.1f}")]
+    assert not wrong
+
+
 def test_gate_needs_every_metric(spark):
     metrics = spark.createDataFrame([("e", "lag", 5.0)], "entity string, metric string, value double")
     got = {r["check_id"]: r["passed"] for r in gates.evaluate_gate(metrics, [("1", "lag", "<=", 5.0), ("2", "gone", ">=", 0.0)]).collect()}
