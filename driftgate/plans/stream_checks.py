@@ -10,7 +10,6 @@ from pyspark.sql.utils import StreamingQueryException
 
 from driftgate.functions.risk_rules import risk_band
 from driftgate.operators import anomaly
-from driftgate.operators.prefix import add_order_ranges
 from driftgate.plans.anomaly_checks import BEATS_SQL, heartbeats
 from driftgate.plans.cdc_checks import STEPS_SQL
 from driftgate.plans.cdc_inputs import FENCE_SQL, LOG_SQL, raw_log, stale_target
@@ -24,7 +23,7 @@ from driftgate.sources.cdc import RAW_SCHEMA, read_cdc_files
 from driftgate.sources.tables import BucketedTable, list_folder, set_time
 from driftgate.streaming import apply, carry, drain, live, metrics, watch
 
-_FILE_ROWS = 250_000  # of one batch
+_FILE_ROWS = 250_000  # of one task of a batch
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -138,20 +137,24 @@ def dead_man_stream(spark, folder) -> DataFrame:
 def _in_files(rows: DataFrame, order: str | list[str], least: int = 4) -> DataFrame:
     """The same rows as a stream of ``least`` batches or more, in ``order``, so that state is carried from batch to batch.
 
-    The order is cut into ranges of about ``_FILE_ROWS`` rows and stored once, since Spark draws the bounds of ranges anew in
-    each evaluation. All files are written in one job, a range a task and a file; a stream takes older files first, so the
-    files get times in the order of their ranges.
+    The rows are stored once, since Spark reads its input anew for the bounds of ranges, and cut into ranges of about
+    ``_FILE_ROWS`` rows, a range a task and a file. A stream takes older files first, so the files get times in the order of
+    their ranges. What a batch costs besides its rows must not grow with the table: a longer one has more files a batch, and
+    never twice ``least`` batches.
     """
     spark, place = rows.sparkSession, _scratch(rows.sparkSession)
-    ranges = max(least, -(-rows.count() // _FILE_ROWS))
-    add_order_ranges(rows, [order] if isinstance(order, str) else order, ranges).write.partitionBy("_range").parquet(f"{place}/in")
+    rows.write.parquet(f"{place}/given")
+    given = spark.read.schema(rows.schema).parquet(f"{place}/given")
+    ranges = max(least, -(-given.count() // _FILE_ROWS))
+    dealt = given.repartitionByRange(ranges, *([order] if isinstance(order, str) else order))
+    dealt.withColumn("_range", F.spark_partition_id()).write.partitionBy("_range").parquet(f"{place}/in")
     number = sorted(int(name.partition("=")[2]) for name in list_folder(spark, f"{place}/in") if name.startswith("_range="))
     for at, k in enumerate(number):
         files = [f"{place}/in/_range={k}/{name}" for name in list_folder(spark, f"{place}/in/_range={k}")]
         set_time(spark, [f for f in files if f.endswith(".parquet")], at - len(number))
     if not number:
         rows.write.mode("append").parquet(f"{place}/in")
-    reader = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+    reader = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, len(number) // least)).option("recursiveFileLookup", "true")
     return reader.parquet(f"{place}/in")
 
 

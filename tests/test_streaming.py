@@ -443,3 +443,19 @@ def test_segments_are_read_by_offsets(spark, folder):
     # planned offsets are remembered by a new reader
     assert segments.SegmentReader(f"{folder}/log", f"{folder}/own", 30).latestOffset() == {"0": 60, "1": 30}
     assert segments.SegmentReader(f"{folder}/log", None, 0).latestOffset() == {"0": 100, "1": 100}
+
+
+def test_batches_do_not_grow_with_the_table(spark, monkeypatch):
+    """A long table has more files a batch; all rows come, batch after batch in their order."""
+    monkeypatch.setattr(stream_checks, "_FILE_ROWS", 10)
+    seen = []
+
+    def body(batch, batch_id):
+        seen.append([r["at"] for r in batch.collect()])
+
+    rows = spark.range(300).select(F.col("id").alias("at"))
+    folder = tempfile.mkdtemp()
+    finish(apply.run_batches(stream_checks._in_files(rows, "at"), body, f"{folder}/c"))
+    assert 4 <= len(seen) < 8
+    assert sorted(x for batch in seen for x in batch) == list(range(300))
+    assert all(max(a) < min(b) for a, b in zip(seen, seen[1:], strict=False))
