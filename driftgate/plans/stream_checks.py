@@ -205,17 +205,17 @@ def risk_stream(spark, folder) -> DataFrame:
 
 
 def _applied(spark, folder) -> tuple[str, BucketedTable]:
-    """The change log in three files, one a batch, with partial images and repeats, and the last batch once more."""
+    """The change log in three batches or so, with partial images and repeats, and the last batch once more."""
     place = _scratch(spark)
     log = raw_log(spark, folder)
     # all changes of a key stay in one file, since batches follow each other by file
-    dealt = log.withColumn("f", F.floor(F.col("offset") / 8) % 3).repartitionByRange(3, "f").drop("f")
-    dealt.write.json(f"{place}/raw")
+    files = max(1, -(-table(spark, folder, "orders").count() // (3 * _FILE_ROWS)))  # of a batch
+    log.repartition(3 * files, F.floor(F.col("offset") / 8)).write.json(f"{place}/raw")
     target = stale_target(spark, folder)
     held = BucketedTable(spark, f"{place}/table", "o_orderkey", target.schema, buckets=16)
     held.create(target)
     applier = apply.CdcApplier(spark, held, f"{place}/sink", {f.name: f.dataType.simpleString() for f in target.schema.fields})
-    raw = read_cdc_files(spark, f"{place}/raw", streaming=True, files_per_trigger=1)
+    raw = read_cdc_files(spark, f"{place}/raw", streaming=True, files_per_trigger=files)
     apply.run_apply(raw, applier, f"{place}/state").awaitTermination()
     return place, held
 

@@ -161,8 +161,11 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 def write_ledger(rows: DataFrame, path: str, batch_id: int) -> None:
-    """Ledger entries by day and batch; a repeated batch replaces its own folders."""
-    named = rows.withColumn("batch_id", F.lit(batch_id))
+    """Ledger entries by day and batch; a repeated batch replaces its own folders.
+
+    A day's rows are brought together first, a busy day's in several tasks: else each task would leave a file for every day.
+    """
+    named = rows.withColumn("batch_id", F.lit(batch_id)).hint("rebalance", "applied_on")
     named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("applied_on", "batch_id").parquet(path)
 
 

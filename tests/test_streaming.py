@@ -15,7 +15,7 @@ from driftgate.operators import cdc, fencing
 from driftgate.plans import stream_checks
 from driftgate.plans.cdc_inputs import fencing_log, raw_log, stale_target
 from driftgate.sources.cdc import good_events, parse_cdc, read_cdc_files
-from driftgate.sources.tables import BucketedTable, list_folder, remove_path
+from driftgate.sources.tables import BucketedTable, list_folder, read_ledger, remove_path, write_ledger
 from driftgate.sources import segments
 from driftgate.streaming import apply, carry, drain, live, metrics, stateful, watch
 
@@ -459,3 +459,12 @@ def test_batches_do_not_grow_with_the_table(spark, monkeypatch):
     assert 4 <= len(seen) < 8
     assert sorted(x for batch in seen for x in batch) == list(range(300))
     assert all(max(a) < min(b) for a, b in zip(seen, seen[1:], strict=False))
+
+
+def test_ledger_has_few_files_a_day(spark, tmp_path):
+    """Not one for each task and day."""
+    at = F.timestamp_seconds(1_700_000_000 + F.col("id") % 10 * 86_400)
+    rows = spark.range(0, 400, 1, 8).select(F.col("id").cast("string").alias("event_id"), at.alias("applied_at"), F.to_date(at).alias("applied_on"))
+    write_ledger(rows, f"{tmp_path}/ledger", 0)
+    assert read_ledger(spark, f"{tmp_path}/ledger").count() == 400
+    assert len(list(tmp_path.rglob("*.parquet"))) <= 20
