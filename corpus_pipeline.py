@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftgate.llm import bpe, linededup, nearcopies, quality, winnow
+from driftgate.llm import bpe, linededup, quality, simhash, winnow
 from driftgate.llm.common import fold, table
 from driftgate.llm.queries import tokenizer
 from driftgate.session import shared_folder
@@ -29,8 +29,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts that share 80 % or more of their distinct five-word shingles."""
-    return nearcopies.one_of_each(docs, words=5, percent=80)
+    """One document of each component that op2 finds: 64-bit SimHash of four-word shingles, linked at four or fewer differing bits."""
+    return simhash.one_of_each(docs, words=4, most_differing=4)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

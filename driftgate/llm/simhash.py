@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftgate.llm.common import kept
+from driftgate.llm.common import fresh, kept
 from driftgate.llm.components import components
 
 SEED = 42
@@ -188,3 +188,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, most_differing: int = MOST_
     named = kept(nodes.groupBy("root").agg(F.min("least").alias("component_id")))
     known = kept(nodes.join(named, "root").select(F.col("node").alias("_node"), "root", "component_id"))
     return marks.join(known, node == F.col("_node")).select(id_col, "th", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, most_differing: int = MOST_DIFFERING, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with its columns, one row of each component of ``near_duplicates``: the one with the smallest id.
+
+    Null ids come last. Of rows that repeat the chosen id and text, one stays. No rows give no rows.
+    """
+    groups = near_duplicates(docs, words, most_differing, id_col, text_col)
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "th")).alias("chosen"))
+    first = kept(first.select(F.col("chosen.id").alias("_chosen_id"), F.col("chosen.th").alias("_chosen_th")))
+    (digest,) = fresh(docs, "th")
+    marked = docs.withColumn(digest, F.xxhash64(F.coalesce(docs[text_col], F.lit(""))))
+    found = marked.join(first, marked[id_col].eqNullSafe(first["_chosen_id"]) & (marked[digest] == first["_chosen_th"]), "left_semi")
+    return found.dropDuplicates([id_col, digest]).select(*docs.columns)

@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline as pipeline
 import verify
-from driftgate.llm import quality
+from driftgate.llm import quality, simhash
 from driftgate.llm.common import fold
 
 
@@ -64,6 +64,25 @@ def test_near_copies(steps):
     assert len(texts) == len(set(texts)) and set(after) < set(before)
 
 
+def test_near_copies_are_components_of_fingerprints(steps):
+    """The stage keeps the smallest id of each component of op2's fingerprints, compared here pair by pair."""
+    before, after = rows(steps[2]), rows(steps[3])
+    fps = {i: simhash.fingerprint(r.text, 4) & (2**64 - 1) for i, r in before.items()}
+    root = {i: i for i in fps}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in fps:
+        for j in fps:
+            if i < j and (fps[i] ^ fps[j]).bit_count() <= 4:
+                a, b = top(i), top(j)
+                root[max(a, b)] = min(a, b)
+    assert set(after) == {i for i in fps if top(i) == i}
+
+
 def test_decontamination(sf, steps):
     con = verify.connect(sf)
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({i: i + 32 for i in range(65, 91)}))
