@@ -2,30 +2,35 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftgate import fixed_values as V
-from driftgate.functions.hashing import normal_draw
+from driftgate.functions.hashing import normal_draw, normal_draws
 from driftgate.functions.risk_rules import (
     deviation_pct, network_health, progress_pct, risk_band, rollback_feasible, seconds_to_limit,
 )
 from driftgate.operators.prefix import running_scan
 
 _BLOCK = 1_000
+_INPUTS = ("bytes_done", "write_rate", "lag_seconds", "merkle_seconds", "std_gbps")
 
 
-def draws(states: DataFrame, n: int, state: str = "state_id") -> DataFrame:
+def draws(states: DataFrame, n: int, state: str = "state_id", together: bool = False) -> DataFrame:
     """Every state with draws 0..n-1 in ``draw``, spread evenly over the cluster.
 
     States multiply inside the row (no join): first into blocks, which are
     distributed, then each block into its draws. One state may have any number.
+    ``together`` leaves the blocks of a state in one task, for what sorts a state's draws anyway.
     """
-    blocks = states.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // _BLOCK))))
+    dealt = _together(states, state) if together else states
+    blocks = dealt.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // _BLOCK))))
     # A given number of partitions: blocks are a few bytes each, and adaptive
     # execution would otherwise merge them into one task that makes every draw.
     tasks = int(states.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = blocks.repartition(tasks, F.col(state), F.col("_block"))
+    blocks = blocks if together else blocks.repartition(tasks, F.col(state), F.col("_block"))
     first = F.col("_block").cast("bigint") * _BLOCK
     last = F.least(first + F.lit(_BLOCK - 1), F.lit(n - 1).cast("bigint"))
     return blocks.withColumn("draw", F.explode(F.sequence(first, last))).drop("_block")
@@ -38,19 +43,26 @@ def rollback_cost(z: Column, unit_fix: bool = False) -> Column:
     rate divides gigabytes and counts as hours; ``unit_fix`` treats it as the
     gigabits per second its name says.
     """
-    rate = F.greatest(F.lit(V.ROLLBACK_GBPS) + F.col("std_gbps") * F.lit(0.5) * z, F.lit(V.ROLLBACK_FLOOR_GBPS))
-    per_hour = rate * F.lit(3600.0 / 8.0) if unit_fix else rate
-    gigabyte, hourly = F.lit(V.BYTES_PER_GB), F.lit(V.DOWNTIME_PER_HOUR)
-    egress = F.col("bytes_done") / gigabyte * F.lit(V.EGRESS_PER_GB)
-    resync_hours = (F.col("lag_seconds") * F.col("write_rate")) / gigabyte / per_hour
-    repair_hours = (F.col("merkle_seconds") * F.col("write_rate") * F.lit(V.DIRTY_SHARE)) / gigabyte / per_hour
-    downtime_hours = F.lit(V.BASE_DOWNTIME_SECONDS / 3600.0) + resync_hours
-    return egress + (resync_hours + downtime_hours + repair_hours) * hourly
+    return _cost(F.greatest(_rate(F.col("std_gbps"), z), F.lit(V.ROLLBACK_FLOOR_GBPS)), F.col, unit_fix)
+
+
+def _rate(std, z):
+    return V.ROLLBACK_GBPS + std * 0.5 * z
+
+
+def _cost(rate, of, unit_fix: bool):
+    """The arithmetic of a cost, for columns as for numpy arrays; ``of`` gives a state's value by name."""
+    per_hour = rate * (3600.0 / 8.0) if unit_fix else rate
+    egress = of("bytes_done") / V.BYTES_PER_GB * V.EGRESS_PER_GB
+    resync_hours = (of("lag_seconds") * of("write_rate")) / V.BYTES_PER_GB / per_hour
+    repair_hours = (of("merkle_seconds") * of("write_rate") * V.DIRTY_SHARE) / V.BYTES_PER_GB / per_hour
+    downtime_hours = V.BASE_DOWNTIME_SECONDS / 3600.0 + resync_hours
+    return egress + (resync_hours + downtime_hours + repair_hours) * V.DOWNTIME_PER_HOUR
 
 
 def simulate_cost(
     states: DataFrame, n: int = V.SIMULATIONS, seed: int = 0, state: str = "state_id", unit_fix: bool = False,
-    method: str = "xxhash64",
+    method: str = "xxhash64", together: bool = False,
 ) -> DataFrame:
     """One row per state and draw with its cost.
 
@@ -58,11 +70,75 @@ def simulate_cost(
     cluster; with ``method="md5"`` on any engine. States need bytes_done, write_rate, lag_seconds, merkle_seconds and
     std_gbps.
     """
-    drawn = draws(states, n, state)
+    drawn = draws(states, n, state, together)
     key = F.concat_ws(":", F.col(state).cast("string"), F.col("draw").cast("string"), F.lit(str(seed)))
     return drawn.withColumn("cost", rollback_cost(normal_draw(key, method), unit_fix))
 
 
+def _summed_rows(states: DataFrame, n: int, seed: int, state: str, unit_fix: bool, method: str, points: list[float]) -> DataFrame:
+    """Percentiles, mean and deviation of each state's costs. A state's draws are made and sorted in one task: no draw is shuffled."""
+    costs = simulate_cost(states, n, seed, state, unit_fix, method, together=True).select(state, "cost")
+    held = costs.groupBy(state).agg(
+        F.sort_array(F.collect_list("cost")).alias("_c"), F.avg("cost").alias("_mean"), F.stddev_pop("cost").alias("_std")
+    )
+
+    def at(point: float) -> Column:
+        rank = F.lit(point) * (F.size("_c") - 1)
+        low, high = F.get("_c", F.floor(rank).cast("int")), F.get("_c", F.ceil(rank).cast("int"))
+        return F.when(F.floor(rank) == F.ceil(rank), low).otherwise((F.ceil(rank) - rank) * low + (rank - F.floor(rank)) * high)
+
+    return held.select(state, F.when(F.size("_c") > 0, F.array(*[at(p) for p in points])).alias("_p"), "_mean", "_std")
+
+
+def _summed_arrays(states: DataFrame, n: int, seed: int, state: str, unit_fix: bool, method: str, points: list[float]) -> DataFrame:
+    """The same for MD5 draws, which Spark's own functions make ten times more slowly: a state's costs are one array of numbers."""
+    kind = states.schema[state].dataType.simpleString()
+    text = states.where(F.col(state).isNotNull()).select(
+        state, F.col(state).cast("string").alias("_text"), *[F.col(c).cast("double").alias(c) for c in _INPUTS]
+    )
+
+    def summed(rows: pa.Table) -> pa.Table:
+        costs = [_costs(row, n, seed, unit_fix) for row in rows.to_pylist()]
+        c = np.sort(np.concatenate([x for x in costs if x is not None] or [np.empty(0)]))  # not a number comes last, as in Spark
+        found, mean, std = None, None, None
+        if len(c):
+            rank = np.array(points) * (len(c) - 1)
+            low, high = np.floor(rank).astype(int), np.ceil(rank).astype(int)
+            found = np.where(low == high, c[low], (high - rank) * c[low] + (rank - low) * c[high]).tolist()
+            mean, std = float(c.mean()), float(c.std())
+        given = {
+            state: rows[state].slice(0, 1).combine_chunks(), "_p": pa.array([found], pa.list_(pa.float64())),
+            "_mean": pa.array([mean], pa.float64()), "_std": pa.array([std], pa.float64()),
+        }
+        return pa.table(given)
+
+    return _together(text, state).groupBy(state).applyInArrow(summed, f"`{state}` {kind}, _p array<double>, _mean double, _std double")
+
+
+def _costs(row: dict, n: int, seed: int, unit_fix: bool) -> np.ndarray | None:
+    """Costs of all draws of one state, or none where an input is null; without a deviation the rate is the least."""
+    if any(row[c] is None for c in _INPUTS if c != "std_gbps"):
+        return None
+    out, values = np.empty(n), {c: np.float64(row[c]) for c in _INPUTS if row[c] is not None}
+    with np.errstate(all="ignore"):
+        for first in range(0, n, 10 * _BLOCK):
+            last = min(n, first + 10 * _BLOCK)
+            rate = np.full(last - first, V.ROLLBACK_FLOOR_GBPS)
+            if "std_gbps" in values:
+                z = normal_draws(f"{row['_text']}:", first, last, f":{seed}")
+                rate = np.maximum(_rate(values["std_gbps"], z), V.ROLLBACK_FLOOR_GBPS)
+            out[first:last] = _cost(rate, values.__getitem__, unit_fix)
+    return out
+
+
+def _together(states: DataFrame, state: str) -> DataFrame:
+    """All rows of a state in one task; a given number of tasks, for the reason in ``draws``.
+
+    An odd number, since Spark drops a repartition that equals the shuffle below it, whose few bytes it then reads in one task.
+    """
+    return states.repartition(2 * int(states.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1, F.col(state))
+
+
 def evaluate_risk(
     states: DataFrame,
     n: int = V.SIMULATIONS,
@@ -80,11 +156,15 @@ def evaluate_risk(
     "sketch" (bounded, for very many draws), whatever the number of draws. ``stop_when_done`` gives no horizon once all bytes are moved.
     """
     points = [0.05, 0.5, 0.95, 0.99]
-    found = {"exact": F.percentile("cost", points), "sketch": F.percentile_approx("cost", points, 10_000)}[percentiles]
-    needed = states.select(state, "bytes_done", "write_rate", "lag_seconds", "merkle_seconds", "std_gbps")
-    costs = simulate_cost(needed, n, seed, state, unit_fix, method).groupBy(state).agg(
-        found.alias("_p"), F.avg("cost").alias("_mean"), F.stddev_pop("cost").alias("_std")
-    )
+    needed = states.select(state, *_INPUTS)
+    if percentiles == "sketch":
+        costs = simulate_cost(needed, n, seed, state, unit_fix, method).groupBy(state).agg(
+            F.percentile_approx("cost", points, 10_000).alias("_p"), F.avg("cost").alias("_mean"), F.stddev_pop("cost").alias("_std")
+        )
+    elif percentiles == "exact":
+        costs = (_summed_arrays if method == "md5" else _summed_rows)(needed, n, seed, state, unit_fix, method, points)
+    else:
+        raise ValueError(percentiles)
     p95 = F.col("_p")[2]
     left = F.col("total_bytes") - F.col("bytes_done") if stop_when_done else None
     return states.join(costs, state).select(

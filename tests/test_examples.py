@@ -489,6 +489,38 @@ def test_normal_draws_look_normal(spark):
     assert abs(mean) < 0.03 and abs(std - 1) < 0.03
 
 
+@pytest.mark.parametrize("method", ["md5", "xxhash64"])
+def test_risk_of_a_state_in_one_task(spark, method):
+    """Figures are those of all draws as rows, nulls as there, and no draw is shuffled."""
+    data = [("a", 5, 10**12, 5e7, 2.0, 300.0, 1.0, 0.1), ("b" * 60, 5, 10**11, 5e7, 2.0, 300.0, 1.0, 0.4), ("c", 5, 10**11, 5e7, 2.0, 300.0, 1.0, None), ("d", 5, None, 5e7, 2.0, 300.0, 1.0, 0.1), ("a", 6, 10**11, 5e7, 2.0, 300.0, 1.0, 0.2)]
+    given = spark.createDataFrame(
+        data, "state_id string, total_bytes bigint, bytes_done bigint, write_rate double, lag_seconds double, merkle_seconds double, mean_gbps double, std_gbps double"
+    )
+    points = (0.05, 0.5, 0.95, 0.99)
+    want = risk.simulate_cost(given, 1234, 5, method=method).groupBy("state_id").agg(
+        *[F.round(F.percentile("cost", p), 2) for p in points], F.round(F.avg("cost"), 2), F.round(F.stddev_pop("cost"), 2)
+    )
+    got = risk.evaluate_risk(given, 1234, 5, method=method)
+    columns = ["state_id", "p5_usd", "p50_usd", "p95_usd", "p99_usd", "mean_usd", "std_usd"]
+    assert got.count() == len(data)
+    assert {tuple(r) for r in got.select(*columns).collect()} == {tuple(r) for r in want.collect()}
+
+    grouped = given.groupBy("state_id").agg(*[F.max(c).alias(c) for c in given.columns[1:]])
+    plan = risk.evaluate_risk(grouped, 1234, 5, method=method)._jdf.queryExecution().executedPlan().toString()
+    tasks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions")) + 1
+    assert f", {tasks}), REPARTITION_BY_NUM" in plan  # not the shuffle of the grouping, which would become one task
+    if method == "xxhash64":
+        assert "Exchange" not in plan[plan.index("ObjectHashAggregate"):plan.index("Generate explode(")]
+
+
+def test_normal_draws_as_an_array(spark):
+    for before, after in (("7:", ":0"), ("12@95:", ":3"), ("é" * 30 + ":", ":7")):
+        z = hashing.normal_draw(F.concat(F.lit(before), F.col("id").cast("string"), F.lit(after)), "md5")
+        want = [r[0] for r in spark.range(11_000).select(z).collect()]
+        got = hashing.normal_draws(before, 0, 6_000, after).tolist() + hashing.normal_draws(before, 6_000, 11_000, after).tolist()
+        assert got == pytest.approx(want, rel=1e-12, abs=1e-12)
+
+
 def test_six_checkpoints(spark):
     runs = spark.createDataFrame([("r", 10**12, 5e7, 1.0, 0.1)], "run_id string, total_bytes bigint, write_rate double, mean_gbps double, std_gbps double")
     got = risk.pre_migration_estimate(runs, 500).orderBy("progress").collect()
