@@ -75,7 +75,8 @@ def running_scan(
 
     ``order`` must be total within a key (end it with a tie breaker).
     ``inclusive=False`` leaves the current row out. ``last`` keeps the latest
-    value that is not null.
+    value that is not null. With ``ranges`` there are as many tasks, where Spark
+    would merge ranges into tasks by their compressed bytes.
     """
     inputs = {name: f"_in_{name}" for name in measures}
     staged = df.select("*", *[column.alias(inputs[n]) for n, (_, column) in measures.items()])
@@ -103,6 +104,8 @@ def running_scan(
     if not keys:
         carry = F.broadcast(carry)  # at most as many rows as slices
     joined = staged.join(carry, condition, "left")
+    if ranges is not None:
+        joined = joined.repartition(ranges, *keys, *slices)
     upto = Window.currentRow if inclusive else -1
     local = Window.partitionBy(*keys, *slices).orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
     results = [

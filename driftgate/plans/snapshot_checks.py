@@ -97,12 +97,13 @@ def key_chunks(spark, folder) -> DataFrame:
     f"""WITH {_KEYED_SQL} SELECT t AS table_name, CAST(chunk_index AS BIGINT) AS chunk_index, a, b, c, CAST(n AS BIGINT) AS n_rows FROM numbered""",
 )
 def key_ranges(spark, folder) -> DataFrame:
-    """The chunk of every row, by carrying the chunk starts along the order."""
+    """The chunk of every key and its rows, by carrying the chunk starts along the order. Rows are counted by key first: one key has a third of them."""
     parts = []
     for name, (rows, pk) in _keyed(spark, folder).items():
-        found = snapshot_reads.in_key_chunks(rows, pk, snapshot_reads.key_chunks(rows, pk, _KEY_CHUNK))
+        counted = rows.groupBy(*pk).agg(F.count(F.lit(1)).alias("n_rows"))
+        found = snapshot_reads.in_key_chunks(counted, pk, snapshot_reads.key_chunks(rows, pk, _KEY_CHUNK))
         columns = [F.col(c) if c in pk else F.lit(0).cast("bigint").alias(c) for c in ("a", "b", "c")]
-        parts.append(found.groupBy(F.lit(name).alias("table_name"), "chunk_index", *columns).agg(F.count(F.lit(1)).alias("n_rows")))
+        parts.append(found.select(F.lit(name).alias("table_name"), "chunk_index", *columns, "n_rows"))
     return parts[0].unionByName(parts[1])
 
 

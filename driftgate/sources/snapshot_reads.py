@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from driftgate import fixed_values as V
 from driftgate.operators.prefix import running_scan
 
+_RANGE_ROWS = 100_000  # a task sorts a few ranges, however long the table
 _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
@@ -95,7 +96,7 @@ def key_chunks(df: DataFrame, pk: Sequence[str], size: int = V.CHUNK_SIZE) -> Da
     names, key = list(pk), F.struct(*pk)
     whole = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in names))
     counted = df.select(*names).where(whole).groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
-    placed = running_scan(counted, names, {"_upto": ("sum", F.col("_n"))})
+    placed = running_scan(counted, names, {"_upto": ("sum", F.col("_n"))}, ranges=_ranges(df))
     step = F.call_function("div", F.col("_upto") - F.col("_n"), F.lit(size).cast("bigint"))
     chunks = placed.groupBy(step.alias("_step")).agg(F.min(key).alias("start_key"), F.sum("_n").alias("rows"))
     ordered = Window.partitionBy(F.lit(0)).orderBy("_step")  # a row a chunk
@@ -128,12 +129,21 @@ def key_range(pk: Sequence[str], start: Row | tuple | None, end: Row | tuple | N
     return reduce(lambda a, b: a & b, parts)
 
 
+def _ranges(df: DataFrame) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // _RANGE_ROWS))
+
+
 def in_key_chunks(df: DataFrame, pk: Sequence[str], chunks: DataFrame) -> DataFrame:
-    """``df`` with the chunk_index of each row. Chunk starts are carried along the order of keys, range by range."""
+    """``df`` with the chunk_index of each row. Chunk starts are carried along the order of keys, range by range.
+
+    Rows of equal keys stay in one range; where a key may hold much of the table, count or gather its rows first.
+    """
     names = list(pk)
-    rows = df.select(*names, F.struct(*df.columns).alias("_row"), F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("_chunk"))
+    others = [c for c in df.columns if c not in names]
+    rows = df.select(*names, *([F.struct(*others).alias("_row")] if others else []), F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("_chunk"))
     starts = chunks.where("chunk_index >= 0").select(*[F.col("start_key")[c].alias(c) for c in names], F.lit(0).alias("_kind"), F.col("chunk_index").alias("_chunk"))
     merged = rows.unionByName(starts, allowMissingColumns=True)
-    found = running_scan(merged, [*names, "_kind"], {"chunk_index": ("max", F.col("_chunk"))}).where("_kind = 1")
+    found = running_scan(merged, [*names, "_kind"], {"chunk_index": ("max", F.col("_chunk"))}, ranges=_ranges(df)).where("_kind = 1")
     null = reduce(lambda a, b: a | b, (F.col(c).isNull() for c in names))
-    return found.select("_row.*", F.when(null, F.lit(-1).cast("bigint")).otherwise(F.col("chunk_index")).alias("chunk_index"))
+    columns = [F.col(c) if c in names else F.col("_row")[c].alias(c) for c in df.columns]
+    return found.select(*columns, F.when(null, F.lit(-1).cast("bigint")).otherwise(F.col("chunk_index")).alias("chunk_index"))

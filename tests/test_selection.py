@@ -96,3 +96,15 @@ def test_two_rings_behind_each_other(spark):
     assert sorted(map(tuple, found.select("table_name", "level", "component", "cyclic").collect())) == brute_order(edges, ["a", "b", "x", "y", "top", "root"])
     none = spark.createDataFrame([], "from_table string, to_table string")
     assert keys.fk_order(none).count() == 0 and keys.cycles(none).count() == 0
+
+
+def test_chunk_tasks_grow_with_the_table(spark, monkeypatch):
+    """Small ranges are not merged into one task, neither in the plan of chunks nor where rows are placed in them."""
+    monkeypatch.setattr(snapshot_reads, "_RANGE_ROWS", 50)
+    df = spark.range(2_000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("t"), F.col("id").alias("n"), F.lit("x").alias("other"))
+    chunks = snapshot_reads.key_chunks(df, ["t", "n"], 100)
+    placed = snapshot_reads.in_key_chunks(df, ["t", "n"], chunks)
+    assert placed.columns == ["t", "n", "other", "chunk_index"]
+    sizes = [r["count"] for r in placed.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) == 2_000 and max(sizes) < 600
+    assert sum(r["rows"] for r in chunks.collect()) == 2_000
