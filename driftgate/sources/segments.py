@@ -1,8 +1,9 @@
 """A change log as numbered segments, read by offsets: what a broker's source does, on files.
 
 A log has partitions; a record's position in its partition is its offset. Segments of a fixed number of records stand in
-folders ``log/partition=P/segment=S``, so which segment holds an offset follows from its number, and a batch may begin and
-end inside a file. ``index`` has the number of records of each partition and is replaced when the log grows.
+folders ``log/partition=P/segment=S/piece=K``, a long segment in several pieces, so which piece holds an offset follows from
+its number, and a batch may begin and end inside a file. A piece is what one task reads. ``index`` has the number of records
+of each partition and is replaced when the log grows.
 """
 
 from __future__ import annotations
@@ -20,19 +21,21 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from driftgate.operators.prefix import running_scan
 
 FORMAT = "segments"
+_PIECE_ROWS = 25_000  # of one task of a batch
 _SCHEMA = "topic string, partition int, position bigint, offset bigint, value string"
 
 
 def write_segments(raw: DataFrame, folder: str, rows: int = 100_000) -> None:
     """Store raw records (topic, partition, offset, value) in the order of their offsets, ``rows`` in a segment.
 
-    Positions come from ranges of the whole order, so a partition may be of any size; a segment is one file.
+    Positions come from ranges of the whole order, so a partition may be of any size; a piece of a segment is one file.
     """
     numbered = running_scan(raw, ["partition", "offset"], {"position": ("count", F.lit(1))}, keys=["partition"]).withColumn("position", F.col("position") - 1)
-    placed = numbered.withColumn("segment", F.floor(F.col("position") / rows)).repartition("partition", "segment").sortWithinPartitions("partition", "segment", "position")
-    record = placed.select("topic", "position", "offset", "value", "partition", "segment")
-    record.write.mode("overwrite").option("ignoreNullFields", "false").partitionBy("partition", "segment").json(f"{folder}/log")
-    sizes = spark_sizes(record.sparkSession, folder).withColumn("segment_rows", F.lit(rows))
+    place = ["partition", "segment", "piece"]
+    placed = numbered.withColumn("segment", F.floor(F.col("position") / rows)).withColumn("piece", F.floor(F.col("position") % rows / _PIECE_ROWS))
+    record = placed.repartition(*place).sortWithinPartitions(*place, "position").select("topic", "position", "offset", "value", *place)
+    record.write.mode("overwrite").option("ignoreNullFields", "false").partitionBy(*place).json(f"{folder}/log")
+    sizes = spark_sizes(record.sparkSession, folder).withColumn("segment_rows", F.lit(rows)).withColumn("piece_rows", F.lit(_PIECE_ROWS))
     sizes.coalesce(1).write.mode("overwrite").json(f"{folder}/index")
 
 
@@ -43,7 +46,7 @@ def spark_sizes(spark: SparkSession, folder: str) -> DataFrame:
 
 @dataclass
 class Slice(InputPartition):
-    """Records ``skip`` to ``skip + take`` of one segment."""
+    """Records ``skip`` to ``skip + take`` of one piece of a segment."""
 
     path: str
     partition: int
@@ -82,10 +85,10 @@ class SegmentReader(DataSourceStreamReader):
             for line in file.read().decode().splitlines():
                 yield json.loads(line)
 
-    def _index(self) -> dict[str, tuple[int, int]]:
-        """Records and records a segment, by partition."""
+    def _index(self) -> dict[str, tuple[int, int, int]]:
+        """Records, records a segment and records a piece, by partition."""
         files = [x.path for x in self.system.get_file_info(fs.FileSelector(f"{self.root}/index")) if x.path.endswith(".json")]
-        return {str(r["partition"]): (r["last"] + 1, r["segment_rows"]) for path in files for r in self._read_json(path)}
+        return {str(r["partition"]): (r["last"] + 1, r["segment_rows"], r["piece_rows"]) for path in files for r in self._read_json(path)}
 
     def _planned(self) -> dict[str, int]:
         if self.admitted and self.system.get_file_info(self.admitted).type == fs.FileType.File:
@@ -97,17 +100,18 @@ class SegmentReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         planned = self._planned()
-        ends = {p: n for p, (n, _) in self._index().items()}
+        ends = {p: n for p, (n, _, _) in self._index().items()}
         return {p: min(n, planned.get(p, 0) + self.per_batch) if self.per_batch else n for p, n in ends.items()}
 
     def partitions(self, start: dict, end: dict) -> list[Slice]:
         out, planned = [], self._planned()
-        for p, (_, rows) in self._index().items():
+        for p, (_, rows, piece_rows) in self._index().items():
             at, upto = start.get(p, 0), end.get(p, 0)
             while at < upto:
-                segment = at // rows
-                take = min(upto, (segment + 1) * rows) - at
-                out.append(Slice(f"{self.root}/log/partition={p}/segment={segment}", int(p), at - segment * rows, take))
+                segment, inside = divmod(at, rows)
+                piece, skip = divmod(inside, piece_rows)
+                take = min(upto - at, rows - inside, piece_rows - skip)
+                out.append(Slice(f"{self.root}/log/partition={p}/segment={segment}/piece={piece}", int(p), skip, take))
                 at += take
         if self.admitted and out:
             ahead = {p: max(n, planned.get(p, 0)) for p, n in end.items()}

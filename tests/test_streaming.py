@@ -445,6 +445,26 @@ def test_segments_are_read_by_offsets(spark, folder):
     assert segments.SegmentReader(f"{folder}/log", None, 0).latestOffset() == {"0": 100, "1": 100}
 
 
+def test_long_segments_are_read_in_pieces(spark, folder, monkeypatch):
+    """A task of a batch reads one piece, however long the segments and the batch are; every record comes once, in its order."""
+    monkeypatch.setattr(segments, "_PIECE_ROWS", 10)
+    rows = [("t", i % 2, 10 * i, f"v{i}") for i in range(200)]
+    raw = spark.createDataFrame(rows, "topic string, partition int, offset bigint, value string")
+    segments.write_segments(raw, f"{folder}/log", rows=25)
+    reader = segments.SegmentReader(f"{folder}/log", None, 0)
+    slices = reader.partitions({"0": 3, "1": 0}, {"0": 100, "1": 60})
+    assert all(s.skip + s.take <= 10 for s in slices)
+    got = [r[1:] for s in slices for r in reader.read(s)]
+    assert [r for r in got if r[0] == 0] == [(0, n, 20 * n, f"v{2 * n}") for n in range(3, 100)]
+    assert [r for r in got if r[0] == 1] == [(1, n, 20 * n + 10, f"v{2 * n + 1}") for n in range(60)]
+    live = segments.read_segments(spark, f"{folder}/log", f"{folder}/own", per_batch=30)
+    seen = []
+    query = live.writeStream.foreachBatch(lambda batch, _: seen.extend(r["offset"] for r in batch.collect())).option("checkpointLocation", f"{folder}/c").start()
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(seen) == [10 * i for i in range(200)]
+
+
 def test_batches_do_not_grow_with_the_table(spark, monkeypatch):
     """A long table has more files a batch; all rows come, batch after batch in their order."""
     monkeypatch.setattr(stream_checks, "_FILE_ROWS", 10)
