@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from driftgate.plans.registry import table
 
 _T0 = 1_700_000_000_000
-_MOVED = 10_000_000
+MOVED = 10_000_000
 
 # --- the log as SQL --------------------------------------------------------
 
@@ -24,7 +24,7 @@ LOG_SQL = f"""ev AS (
       AND (d.dup = 0 OR (o_orderkey * 3 + s.step) % 13 = 0)),
 log AS (
     SELECT *, CASE WHEN off % 101 = 0 THEN 'tombstone' WHEN off % 103 = 0 THEN 'corrupt' ELSE 'event' END AS status,
-           CASE WHEN step = 1 AND k % 35 = 0 THEN k + {_MOVED} ELSE k END AS new_k,
+           CASE WHEN step = 1 AND k % 35 = 0 THEN k + {MOVED} ELSE k END AS new_k,
            CASE WHEN raw_op = 'x' THEN 'r' ELSE raw_op END AS op,
            coalesce(gtid, CASE WHEN ts_ms IS NULL THEN CAST(off AS VARCHAR) WHEN ts_ms <> 0 THEN CAST(ts_ms AS VARCHAR)
                                ELSE 'no-gtid:cdc.shop.orders:' || part || ':' || off END) AS identity
@@ -60,7 +60,7 @@ def raw_log(spark, folder) -> DataFrame:
 
     full = image(k, F.col("cust"), F.col("st"))
     old = image(k, status=F.col("st"))
-    moved = F.when((step == 1) & (k % 35 == 0), k + _MOVED).otherwise(k)
+    moved = F.when((step == 1) & (k % 35 == 0), k + MOVED).otherwise(k)
     new = image(moved, status=F.lit("U"))
     before = F.when(step == 0, "null").when(step == 1, old).otherwise(full)
     after = F.when(step == 0, full).when(step == 1, new).otherwise(F.lit("null"))

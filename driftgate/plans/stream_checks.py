@@ -12,7 +12,7 @@ from driftgate.functions.risk_rules import risk_band
 from driftgate.operators import anomaly
 from driftgate.plans.anomaly_checks import BEATS_SQL, heartbeats
 from driftgate.plans.cdc_checks import STEPS_SQL
-from driftgate.plans.cdc_inputs import FENCE_SQL, LOG_SQL, raw_log, stale_target
+from driftgate.plans.cdc_inputs import FENCE_SQL, LOG_SQL, MOVED, raw_log, stale_target
 from driftgate.plans.compare_checks import CLOCK_START, compared, compared_sql
 from driftgate.plans.inputs import edge_orders, target_orders, touched_orders
 from driftgate.plans.registry import check, table
@@ -208,9 +208,9 @@ def _applied(spark, folder) -> tuple[str, BucketedTable]:
     """The change log in three batches or so, with partial images and repeats, and the last batch once more."""
     place = _scratch(spark)
     log = raw_log(spark, folder)
-    # all changes of a key stay in one file, since batches follow each other by file
+    # all changes of a key, and of the key a change moves it to, stay in one file, since batches follow each other by file
     files = max(1, -(-table(spark, folder, "orders").count() // (3 * _FILE_ROWS)))  # of a batch
-    log.repartition(3 * files, F.floor(F.col("offset") / 8)).write.json(f"{place}/raw")
+    log.repartition(3 * files, F.floor(F.col("offset") / 8) % MOVED).write.json(f"{place}/raw")
     target = stale_target(spark, folder)
     held = BucketedTable(spark, f"{place}/table", "o_orderkey", target.schema, buckets=16)
     held.create(target)

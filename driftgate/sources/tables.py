@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+_BROADCAST_KEYS = 100_000  # of a batch, at most
+
 
 def merge_statement(target: str, batch: str, pk: Sequence[str], columns: Sequence[str]) -> str:
     """MERGE INTO for a catalog table format that supports it; ``_deleted`` marks removals."""
@@ -77,11 +79,14 @@ class BucketedTable:
         gone = upserts.select(*self.pk)
         if deletes is not None:
             gone = gone.unionByName(deletes.select(*self.pk)).distinct()
-        touched = [r[0] for r in gone.select(self._bucket().alias("b")).distinct().collect()]  # as many as there are buckets
+        found = gone.groupBy(self._bucket().alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()  # as many as there are buckets
+        touched = [r["b"] for r in found]
         if not touched:
             return
         old = self._files().where(F.col("_live") & F.col("_bucket").isin(touched))
         other = gone.select(*[F.col(k).alias(f"_gone_{k}") for k in self.pk])
+        if sum(r["n"] for r in found) > _BROADCAST_KEYS:
+            other = other.hint("merge")  # Spark knows only the size of the files, and would broadcast many keys
         same = F.lit(True)
         for key in self.pk:
             same = same & F.col(key).eqNullSafe(F.col(f"_gone_{key}"))

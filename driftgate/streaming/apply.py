@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from driftgate.operators.cdc import dedup_batch, ledger_rows, net_changes, with_event_id
 from driftgate.operators.fencing import audit_rows, fence
 from driftgate.sources.cdc import dead_letters, good_events, parse_cdc
-from driftgate.sources.tables import BucketedTable, observe_rows, read_ledger, remove_ledger_days, write_ledger
+from driftgate.sources.tables import BucketedTable, observe_rows, read_ledger, remove_ledger_days, remove_path, write_ledger
 
 
 def deduplicated(events: DataFrame, event_time: str, horizon: str = "7 days") -> DataFrame:
@@ -56,9 +56,9 @@ class CdcApplier:
     def __call__(self, raw: DataFrame, batch_id: int) -> None:
         pk = self.table.pk
         self.table.recover()
-        parsed = parse_cdc(raw).persist()
-        fresh = None
         try:
+            parsed = parse_cdc(raw)
+            parsed = self._stored(parsed.withColumn("value", F.when(F.col("status") == "corrupt", F.col("value"))), "parsed", batch_id)
             failed = dead_letters(parsed)
             failed.write.mode("overwrite").parquet(f"{self.folder}/dead_letters/batch_id={batch_id}")
             events = with_event_id(good_events(parsed), pk, self.id_mode).withColumn("_at", F.timestamp_millis(F.col("ts_ms")))
@@ -69,22 +69,34 @@ class CdcApplier:
                 events, late = split_late(events, "_at", F.when(F.col("ts_ms") != 0, oldest))
                 late.drop("_at").write.mode("overwrite").parquet(f"{self.folder}/late/batch_id={batch_id}")
             ledger = read_ledger(self.spark, f"{self.folder}/ledger", batch_id, days["first"], days["last"])
-            fresh = dedup_batch(events, ledger).persist()
+            fresh = self._stored(dedup_batch(events.drop("topic", "db", "op_unknown", "_at"), ledger), "fresh", batch_id)
             others = [c for c in self.columns if c not in pk]
-            net = net_changes(fresh, pk, others)
-            keys = [F.col(f"_pk_{k}").cast(self.columns[k]).alias(k) for k in pk]
-            upserts = net.where("_alive").select(
-                *keys, *[F.col(f"_set_{c}")["v"].cast(self.columns[c]).alias(c) for c in others],
-                *[F.col(f"_set_{c}").isNull().alias(f"_keep_{c}") for c in others], "_reset",
-            )
-            deletes = net.where("not _alive").select(*keys)
+            changes = self._stored(self._changes(fresh, others), "changes", batch_id)
+            upserts, deletes = changes.where("_alive").drop("_alive"), changes.where("not _alive").select(*pk)
             self.table.write_batch(self._completed(upserts, others), deletes, batch_id)
-            write_ledger(ledger_rows(fresh, F.col("_at")), f"{self.folder}/ledger", batch_id)
+            write_ledger(ledger_rows(fresh, F.timestamp_millis(F.col("ts_ms"))), f"{self.folder}/ledger", batch_id)
             self._counters(parsed, events, fresh).write.mode("overwrite").parquet(f"{self.folder}/counters/batch_id={batch_id}")
         finally:
-            parsed.unpersist()
-            if fresh is not None:
-                fresh.unpersist()
+            remove_path(self.spark, f"{self.folder}/work/batch_id={batch_id}")
+
+    def _stored(self, rows: DataFrame, name: str, batch_id: int) -> DataFrame:
+        """The rows as files of the batch, removed when it ends.
+
+        They are read several times, and ``persist`` would not do: what it keeps and what it serializes to disk, up to a
+        hundred blocks of rows a task, lies in the executors' heap, so that a batch larger than their storage memory fails.
+        """
+        path = f"{self.folder}/work/batch_id={batch_id}/{name}"
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def _changes(self, fresh: DataFrame, others: Sequence[str]) -> DataFrame:
+        """One row a key: its new values, which of them the images left out, and whether it stays."""
+        pk = self.table.pk
+        return net_changes(fresh, pk, others).select(
+            *[F.col(f"_pk_{k}").cast(self.columns[k]).alias(k) for k in pk],
+            *[F.col(f"_set_{c}")["v"].cast(self.columns[c]).alias(c) for c in others],
+            *[F.col(f"_set_{c}").isNull().alias(f"_keep_{c}") for c in others], "_reset", "_alive",
+        )
 
     def _counters(self, parsed: DataFrame, events: DataFrame, fresh: DataFrame) -> DataFrame:
         """One row of the batch's figures; ``watch.sink_totals`` adds the batches up."""
@@ -111,7 +123,7 @@ class CdcApplier:
         same = F.lit(True)
         for key in self.table.pk:
             same = same & F.col(key).eqNullSafe(F.col(f"_held_{key}"))
-        joined = upserts.join(held, same, "left")
+        joined = upserts.join(held.hint("merge"), same, "left")  # a table's files are far smaller than its rows in memory
         return joined.select(
             *self.table.pk,
             *[F.when(F.col(f"_keep_{c}") & ~F.col("_reset"), F.col(f"_old_{c}")).otherwise(F.col(c)).alias(c) for c in others],

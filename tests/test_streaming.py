@@ -6,6 +6,7 @@ import sys
 import tempfile
 import time
 
+import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -13,8 +14,8 @@ from pyspark.sql.utils import AnalysisException
 
 from driftgate.operators import cdc, fencing
 from driftgate.plans import stream_checks
-from driftgate.plans.cdc_inputs import fencing_log, raw_log, stale_target
-from driftgate.sources.cdc import good_events, parse_cdc, read_cdc_files
+from driftgate.plans.cdc_inputs import MOVED, fencing_log, raw_log, stale_target
+from driftgate.sources.cdc import RAW_SCHEMA, good_events, parse_cdc, read_cdc_files
 from driftgate.sources.tables import BucketedTable, list_folder, read_ledger, remove_path, write_ledger
 from driftgate.sources import segments
 from driftgate.streaming import apply, carry, drain, live, metrics, stateful, watch
@@ -488,3 +489,31 @@ def test_ledger_has_few_files_a_day(spark, tmp_path):
     write_ledger(rows, f"{tmp_path}/ledger", 0)
     assert read_ledger(spark, f"{tmp_path}/ledger").count() == 400
     assert len(list(tmp_path.rglob("*.parquet"))) <= 20
+
+
+def test_batch_of_changes_keeps_no_rows_in_memory(spark, sf, folder, monkeypatch):
+    """What a batch reads several times lies in files, which go when it ends, since executors cannot hold a whole log."""
+    raw_log(spark, sf).write.json(f"{folder}/raw")
+    target = stale_target(spark, sf)
+    table = BucketedTable(spark, f"{folder}/table", "o_orderkey", target.schema, buckets=4)
+    table.create(target)
+    seen, write, before = [], table.write_batch, spark.sparkContext._jsc.getPersistentRDDs().size()
+
+    def watched(*args):
+        write(*args)
+        seen.append(spark.sparkContext._jsc.getPersistentRDDs().size() - before)
+
+    monkeypatch.setattr(table, "write_batch", watched)
+    apply.CdcApplier(spark, table, f"{folder}/sink", COLUMNS)(spark.read.schema(RAW_SCHEMA).json(f"{folder}/raw"), 0)
+    assert seen == [0]
+    assert list_folder(spark, f"{folder}/sink/work") == []
+
+
+def test_moved_key_meets_its_own_changes_in_one_batch(spark, folder):
+    """Keys so large that a moved one is another row's: its changes must not come in a later or an earlier batch."""
+    keys = [base + 35 * n for base in (0, MOVED) for n in range(1, 60)]
+    rows = spark.createDataFrame([(k, k % 100, "F") for k in keys], "o_orderkey bigint, o_custkey bigint, o_orderstatus string")
+    rows.write.parquet(f"{folder}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{folder}/orders.parquet/*.parquet'")
+    assert verify.compare(spark, con, "str1_apply_stream", folder)[0]
